@@ -38,7 +38,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM n WINDOW g AS (PARTITION BY t)""",
     "op6_quality_rules": f"""
         WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{_WS}]+') AS ws FROM documents),
-        l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^{_WS}]')) AS ls FROM w),
+        l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_WS}]')) AS ls FROM w),
         u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
         g AS (SELECT doc_id, i, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p AS g FROM u WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
         k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE g IS NOT NULL),
@@ -47,7 +47,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
                    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
                    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-                   len(ls)::BIGINT AS n_lines, len(list_filter(ws, x -> x IN ({_STOP})))::BIGINT AS n_stop_words,
+                   len(ls)::BIGINT AS n_lines, len(list_filter(ws, lambda x: x IN ({_STOP})))::BIGINT AS n_stop_words,
                    length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g'))::BIGINT AS n_upper
             FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
         b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
