@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, language_model, licenses, mixing, packing, quality_rules
+from . import exact_dedup, language_id, language_model, licenses, mixing, packing, quality_classifier, quality_rules
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_lm_scoring, op3_packing, op5_language_id, op6_quality_rules, op8_license_scan, op10_mixing)
+    for f in (op1_exact_dedup, op2_lm_scoring, op3_packing, op5_language_id, op6_quality_rules, op7_quality_classifier, op8_license_scan, op10_mixing)
 }
 
 _WS = "\\x20\\x09-\\x0D"
