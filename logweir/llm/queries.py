@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, language_model, licenses, mixing, packing, quality_classifier, quality_rules
+from . import exact_dedup, jaccard_join, language_id, language_model, licenses, mixing, packing, quality_classifier, quality_rules
 from .common import table
 
 
@@ -45,13 +45,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_lm_scoring, op3_packing, op5_language_id, op6_quality_rules, op7_quality_classifier, op8_license_scan, op10_mixing)
+    for f in (op1_exact_dedup, op2_lm_scoring, op3_packing, op5_language_id, op6_quality_rules, op7_quality_classifier, op8_license_scan, op9_jaccard_join, op10_mixing)
 }
 
 _WS = "\\x20\\x09-\\x0D"
