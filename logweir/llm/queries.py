@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, language_model, licenses, mixing, packing, quality_classifier, quality_rules
+from . import exact_dedup, jaccard_join, language_id, language_model, licenses, mixing, packing, quality_classifier, quality_rules, suffix_dedup
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_corpus(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_lm_scoring, op3_packing, op5_language_id, op6_quality_rules, op7_quality_classifier, op8_license_scan, op9_jaccard_join, op10_mixing)
+    for f in (op1_exact_dedup, op2_lm_scoring, op3_packing, op4_suffix_dedup, op5_language_id, op6_quality_rules, op7_quality_classifier, op8_license_scan, op9_jaccard_join, op10_mixing)
 }
 
 _WS = "\\x20\\x09-\\x0D"
