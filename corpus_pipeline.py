@@ -5,24 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm import exact_dedup, quality_rules
+from logweir.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules
 from logweir.llm.common import new_dir, table
+from logweir.llm.queries import vocabulary
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose identifier is in ids (column _id)."""
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules pass."""
-    marked = quality_rules.apply_rules(docs, keep=tuple(docs.columns))
-    return marked.where("kept").select(*docs.columns)
+    return quality_rules.apply_rules(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs, keep="largest").where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Of equal texts, the document with the largest identifier."""
+    return only(docs, exact_dedup.exact_dedup(docs, keep="largest").where("kept").select(F.col("doc_id").alias("_id")))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that similar ones connect, the one with the smallest identifier."""
+    found = jaccard_join.jaccard_components(docs)
+    return only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as their source's target has them, in the order of training."""
+    return mixing.training_stream(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 4096 tokens."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("quality rules", rules), ("exact dedup", exact)]
-#: Tokens come from a vocabulary file, which SQL cannot read: the pipeline is tested against a brute-force version.
+STAGES = [("quality rules", rules), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]
+#: Near duplicates connect over any number of steps and tokens come from a vocabulary file, which SQL cannot express:
+#: tests/llm compares the stages with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -16,14 +16,14 @@ partition is over the table of sources (one row each).
 
 Null texts have size 0. A null source is a source, last in order. Documents of size 0 take 0 words and the position
 where they stand. Ties in the order fall back on identifier and size; equal rows are interchangeable. An empty table
-gives an empty result; other columns pass through schedule() and are ignored by mix().
+gives an empty result; other columns pass through training_stream() and are ignored by mix().
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_bits, cut, words_of
@@ -56,8 +56,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, slopes:
     return levels.withColumn("_target", F.least("_cap", F.coalesce(level * F.col("_w"), F.col("_cap")))).select("_source", "_source_size", "_slope", "_target")
 
 
-def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, most: float = 3.0) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken, and position (when it is first trained on; null if never), sorted by position in ranges."""
+def placed(docs: DataFrame, text: str, id: str, source: str, weights: Sequence[float], slopes: Sequence[float], most: float) -> DataFrame:
+    """(_id, _size, _source_size, _target, _slope, _start, _taken): a document, its source and where it stands in it."""
     bits = bucket_bits(docs.sparkSession, 6)
     sized = docs.select(F.col(id).alias("_id"), F.col(source).alias("_source"), F.size(words_of(F.col(text))).cast("long").alias("_size"))
     sized = cut(sized.withColumn("_order", F.xxhash64("_id")), "sizes").withColumn("_range", F.shiftright("_order", 64 - bits))
@@ -68,17 +68,42 @@ def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "
     ranges = ranges.join(targets, F.col("_s").eqNullSafe(F.col("_source"))).drop("_source")
     same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))
     inside = Window.partitionBy("_s", "_r").orderBy("_order", F.col("_id").asc_nulls_first(), "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.join(ranges, same).withColumn("_start", F.col("_before") + F.sum("_size").over(inside) - F.col("_size"))
+    stands = sized.join(ranges, same).withColumn("_start", F.col("_before") + F.sum("_size").over(inside) - F.col("_size"))
     words = F.round("_target").cast("long")
     passes = F.when(F.col("_source_size") > 0, F.floor(words / F.col("_source_size"))).otherwise(F.lit(0)).cast("long")
     tail = words - passes * F.col("_source_size") - F.col("_start")
     taken = passes * F.col("_size") + F.greatest(F.lit(0), F.least(tail, F.col("_size")))
-    share = F.col("_start") / F.col("_target")
-    a = F.col("_slope")
-    when = F.when(a == 0, share).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * share)) / (2 * a))
-    out = placed.select(
+    return stands.select("_id", "_size", "_source_size", "_target", "_slope", "_start", taken.cast("long").alias("_taken"))
+
+
+def position(word: Column) -> Column:
+    """The time at which a source's demand reaches its word-th word; null beyond its target."""
+    share, a = word / F.when(F.col("_target") > 0, F.col("_target")), F.col("_slope")
+    return F.when(share > 1, None).when(a == 0, share).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * share)) / (2 * a))
+
+
+def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, most: float = 3.0) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken, and position (when it is first trained on; null if never), sorted by position in ranges."""
+    out = placed(docs, text, id, source, weights, slopes, most).select(
         F.col("_id").alias(id), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), taken.cast("long").alias("taken"),
-        F.when((F.col("_target") > 0) & (share <= 1), when).alias("position"),
+        F.col("_target").alias("target"), F.col("_taken").alias("taken"), position(F.col("_start")).alias("position"),
     )
     return out.repartitionByRange(F.col("position").asc_nulls_last(), id).sortWithinPartitions(F.col("position").asc_nulls_last(), id)
+
+
+def training_stream(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, most: float = 3.0) -> DataFrame:
+    """The documents as they are trained on: a row for each pass over each, with all columns of docs, sorted by position in ranges.
+
+    A last pass that the target cuts short keeps the first words of its text, joined by single spaces. Identifiers must
+    be unique, as after deduplication; rows that share one get each other's passes, too."""
+    rows = placed(docs, text, id, source, weights, slopes, most).where("_taken > 0")
+    passes = rows.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_taken") / F.col("_size")) - 1).cast("int"))).alias("_pass"))
+    timed = passes.select(
+        F.col("_id"), F.least(F.col("_size"), F.col("_taken") - F.col("_pass") * F.col("_size")).alias("_words"), "_size",
+        position(F.col("_start") + F.col("_pass") * F.col("_source_size")).alias("_position"),
+    )
+    joined = docs.join(timed, F.col(id).eqNullSafe(F.col("_id")))
+    first = F.array_join(F.slice(words_of(F.col(text)), F.lit(1), F.col("_words").cast("int")), " ")
+    whole = F.when(F.col("_words") == F.col("_size"), F.col(text)).otherwise(first)
+    out = joined.select(*[whole.alias(text) if c == text else F.col(c) for c in docs.columns], "_position")
+    return out.repartitionByRange("_position", id).sortWithinPartitions("_position", id).drop("_position")

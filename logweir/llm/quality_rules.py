@@ -107,7 +107,9 @@ def statistics(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
         "n_stop_words": F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))),
         "n_upper": F.length(F.regexp_replace("_marks", "\\P{Lu}+", "")),
     }
-    return counted.select(*carry, *[values[k].cast("long").alias(k) for k in COUNTS])
+    # a filter on the result is not pushed below an explode, where it would repeat all of the above for each mention
+    row = F.explode(F.array(F.struct(*[values[k].cast("long").alias(k) for k in COUNTS]))).alias("_counts")
+    return counted.select(*carry, row).select(*carry, *[F.col("_counts")[k].alias(k) for k in COUNTS])
 
 
 def passes(rules: tuple[Rule, ...]) -> Column:
