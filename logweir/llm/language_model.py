@@ -29,7 +29,6 @@ and scored one by one; other columns are ignored.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, cut, hashed_words, local_file, mix, new_dir, pair, put_file, text_batches
+from .common import bucket_bits, cut, hashed_words, mix, new_dir, pair, put_file, text_batches
+from .hash_arrays import block_rows, lookup, pack_arrays, unpack_arrays
 
 START, END = mix(np.array([0x5354415254, 0x454E44], dtype=np.uint64))
 FLUSH = 1_500_000
@@ -78,29 +78,6 @@ def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def pack_arrays(*arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    for a in arrays:
-        if a.dtype.kind in "iu" and a.dtype != np.uint64:
-            a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-        np.lib.format.write_array(out, np.ascontiguousarray(a), allow_pickle=False)
-    return out.getvalue()
-
-
-def unpack_arrays(data) -> list[np.ndarray]:
-    src, out = io.BytesIO(data), []
-    while src.tell() < len(data):
-        out.append(np.lib.format.read_array(src, allow_pickle=False))
-    return out
-
-
-def block_rows(bucket: np.ndarray, make) -> pa.RecordBatch:
-    """A row for each bucket in a sorted array of buckets; make(a, b) packs its rows."""
-    cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, dtype=np.int64)
-    rows = [(int(bucket[a]), make(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block"])
-
-
 def pair_blocks(tokens: np.ndarray, prior: np.ndarray, bits: int) -> pa.RecordBatch:
     """Pairs with counts; in a block, words before are kept once, with how many pairs each has."""
     order, starts = grouped(prior, tokens)
@@ -184,47 +161,6 @@ class Model:
     rest: float  # g', the mass that discounts free at the lower order
 
 
-_mapped: dict[str, list[np.ndarray]] = {}
-
-
-def mapped(uri: str) -> list[np.ndarray]:
-    """The arrays of one file, memory-mapped; empty if the bucket has no rows."""
-    if uri not in _mapped:
-        if len(_mapped) > 4096:
-            _mapped.clear()
-        arrays: list[np.ndarray] = []
-        try:
-            path = local_file(uri)
-            size = np.memmap(path, dtype=np.uint8, mode="r").size
-        except FileNotFoundError:
-            size = 0
-        if size:
-            with open(path, "rb") as src:
-                while src.tell() < size:
-                    np.lib.format.read_magic(src)
-                    shape, _, kind = np.lib.format.read_array_header_1_0(src)
-                    arrays.append(np.memmap(path, dtype=kind, mode="r", offset=src.tell(), shape=shape) if shape[0] else np.zeros(0, dtype=kind))
-                    src.seek(src.tell() + shape[0] * kind.itemsize)
-        _mapped[uri] = arrays
-    return _mapped[uri]
-
-
-def lookup(model: Model, name: str, keys: np.ndarray, columns: int) -> np.ndarray:
-    """For sorted keys, the columns beside them in the files `name`; zeros where there is none."""
-    out = np.zeros((columns, len(keys)), dtype=np.int64)
-    cuts = np.searchsorted(keys >> np.uint64(64 - model.bits), np.arange((1 << model.bits) + 1, dtype=np.uint64))
-    for bucket in np.flatnonzero(np.diff(cuts)):
-        a, b = cuts[bucket], cuts[bucket + 1]
-        arrays = mapped(f"{model.folder}/{name}-{bucket}.npy")
-        if not arrays or not len(arrays[0]):
-            continue
-        at = np.minimum(np.searchsorted(arrays[0], keys[a:b]), len(arrays[0]) - 1)
-        hit = arrays[0][at] == keys[a:b]
-        for k in range(columns):
-            out[k, a:b] = np.where(hit, arrays[k + 1][at], 0)
-    return out
-
-
 def score_batch(model: Model, texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base_score and score for each text."""
     tokens, offsets = tokens_of(texts)
@@ -238,9 +174,9 @@ def score_batch(model: Model, texts: list[str | None]) -> tuple[np.ndarray, ...]
     keys = keys >> np.uint64(model.bits) | contexts[v] >> np.uint64(64 - model.bits) << np.uint64(64 - model.bits) if model.bits else keys
     by_key = np.argsort(keys)
     seen = np.zeros(len(keys), dtype=np.int64)
-    seen[by_key] = lookup(model, "pairs", keys[by_key], 1)[0]
-    ends, occurrences = lookup(model, "words", words, 2)
-    total, one, two, more = lookup(model, "before", contexts, 4)
+    seen[by_key] = lookup(model.folder, "pairs", model.bits, keys[by_key], 1)[0]
+    ends, occurrences = lookup(model.folder, "words", model.bits, words, 2)
+    total, one, two, more = lookup(model.folder, "before", model.bits, contexts, 4)
     low, high = model.words.discounts(), model.pairs.discounts()
     lower = np.maximum(ends - low[np.minimum(ends, 3)], 0) / max(model.ends, 1) + (model.rest if model.ends else 1.0) / (model.kinds + 1)
     free = np.where(total > 0, (high[1] * one + high[2] * two + high[3] * more) / np.maximum(total, 1), 1.0)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_bits, mix, new_dir, pair, powers, prefix_sums, put_file, span_hash, text_batches
-from .language_model import block_rows, mapped, pack_arrays, unpack_arrays
+from .hash_arrays import block_rows, lookup, pack_arrays, unpack_arrays
 
 SPAN, GRAM = 200, 24
 HEAVY, FLUSH_ROWS, MATRIX = 20_000, 40_000, 20_000
@@ -89,14 +89,7 @@ def repeated_at(folder: str, bits: int, hashes: np.ndarray) -> np.ndarray:
     """How often each anchor occurs in the corpus, 0 if once; from the mapped arrays."""
     out = np.zeros(len(hashes), dtype=np.int64)
     order = np.argsort(hashes)
-    keys = hashes[order]
-    cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    for bucket in np.flatnonzero(np.diff(cuts)):
-        a, b = cuts[bucket], cuts[bucket + 1]
-        arrays = mapped(f"{folder}/anchors-{bucket}.npy")
-        if arrays and len(arrays[0]):
-            at = np.minimum(np.searchsorted(arrays[0], keys[a:b]), len(arrays[0]) - 1)
-            out[order[a:b]] = np.where(arrays[0][at] == keys[a:b], arrays[1][at], 0)
+    out[order] = lookup(folder, "anchors", bits, hashes[order], 1)[0]
     return out
 
 
