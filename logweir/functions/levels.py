@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 ERROR, WARN, INFO, DEBUG, TRACE, UNKNOWN = range(6)
 NAMES = ("ERROR", "WARN", "INFO", "DEBUG", "TRACE", "—")
 #: The words of each level.
@@ -25,11 +27,13 @@ def level_of_word(text: str) -> int:
 
 
 def level_from_text(text: Column) -> Column:
-    word = F.lower(F.trim(text))
-    out = None
-    for level, words in WORDS.items():
-        out = (F if out is None else out).when(word.isin(*words), F.lit(level))
-    return out.otherwise(F.lit(UNKNOWN))
+    def of(word: Column) -> Column:
+        out = None
+        for level, words in WORDS.items():
+            out = (F if out is None else out).when(word.isin(*words), F.lit(level))
+        return out.otherwise(F.lit(UNKNOWN))
+
+    return bind(F.lower(F.trim(text)), of)
 
 
 def level_from_number(number: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 HEAD = 96
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 #: The layouts that are recognised, in the order in which they are tried.
@@ -81,16 +83,18 @@ def find_timestamp(text: Column, now_ms: Column | None = None, year: int | None
     """struct(ts, stop): the first timestamp in the text's head and the number of characters up to its end; ts is null for none.
 
     now_ms: what tells the year of dates without one (the query's time by default); year: that year itself."""
-    head = F.substring(text, 1, HEAD)
     now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
-    out = None
-    for pattern, value in ((ISO, _iso), (CLF, _clf), (SYSLOG, lambda m: _syslog(m, now_ms, year)), (EPOCH, _epoch)):
-        m = F.regexp_substr(head, F.lit(pattern))
-        ts = value(m)
-        stop = F.regexp_instr(head, F.lit(pattern)) + F.length(m) - 1
-        hit = m.isNotNull() if pattern in (ISO, EPOCH) else ts.isNotNull()
-        out = (F if out is None else out).when(hit, F.struct(ts.cast("bigint").alias("ts"), stop.alias("stop")))
-    return out.otherwise(F.struct(F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("int").alias("stop")))
+
+    def of(head: Column) -> Column:
+        def one(pattern: str, value) -> Column:
+            made = lambda m: F.struct(value(m).cast("bigint").alias("ts"), (F.instr(head, m) + F.length(m) - 1).alias("stop"))
+            return bind(F.regexp_substr(head, F.lit(pattern)), lambda m: F.when(m.isNotNull(), made(m)))
+
+        dated = lambda found: F.when(found["ts"].isNotNull(), found)  # noqa: E731  a month may be no month
+        tried = (one(ISO, _iso), bind(one(CLF, _clf), dated), bind(one(SYSLOG, lambda m: _syslog(m, now_ms, year)), dated), one(EPOCH, _epoch))
+        return F.coalesce(*tried, F.struct(F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("int").alias("stop")))
+
+    return bind(F.substring(text, 1, HEAD), of)
 
 
 def number_timestamp(value: Column) -> Column:
@@ -101,7 +105,10 @@ def number_timestamp(value: Column) -> Column:
 
 def text_timestamp(value: Column, now_ms: Column | None = None) -> Column:
     """A field's value: a timestamp, a number, or one of FIELD_FORMATS."""
-    number = F.trim(value).try_cast("double")
-    plain = F.regexp_replace(F.trim(value), "^[A-Za-z]{3}, ", "")
-    dates = F.coalesce(*[F.unix_millis(F.try_to_timestamp(plain, F.lit(f))) for f in FIELD_FORMATS])
-    return F.coalesce(find_timestamp(value, now_ms)["ts"], F.when(number.isNotNull(), number_timestamp(number)).otherwise(dates))
+
+    def other(text: Column) -> Column:
+        plain = F.regexp_replace(text, "^[A-Za-z]{3}, ", "")
+        dates = F.coalesce(*[F.unix_millis(F.try_to_timestamp(plain, F.lit(f))) for f in FIELD_FORMATS])
+        return bind(text.try_cast("double"), lambda number: F.when(number.isNotNull(), number_timestamp(number)).otherwise(dates))
+
+    return F.coalesce(find_timestamp(value, now_ms)["ts"], other(F.trim(value)))

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.levels import UNKNOWN, INFO, level_from_number, level_from_status, level_from_text
+from ..functions.binding import bind
+from ..functions.levels import INFO, UNKNOWN, level_from_number, level_from_status, level_from_text
 from ..functions.timestamps import find_timestamp, number_timestamp, text_timestamp
 
 JSON, LOGFMT, ACCESS, SYSLOG, GENERIC, RAW, CONTINUATION, CSV, CUSTOM = range(9)
@@ -67,26 +68,34 @@ def json_object(line: Column) -> Column:
     return F.when(line.startswith("{") & whole, F.try_parse_json(line))
 
 
-def json_values(line: Column, keys: tuple[str, ...]) -> Column:
-    """For each key: struct(text, number), both null where it is missing or neither."""
-    body = json_object(line)
+def json_values(body: Column, keys: tuple[str, ...]) -> Column:
+    """For each key of a variant: struct(text, number), both null where it is missing or neither."""
 
     def one(key: str) -> Column:
-        path = f"$['{key}']"
-        kind = F.schema_of_variant(F.try_variant_get(body, path, "variant"))
-        text = F.when(kind == "STRING", F.try_variant_get(body, path, "string"))
-        number = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(body, path, "double"))
-        return F.struct(text.alias("text"), number.alias("number"))
+        value = F.try_variant_get(body, f"$['{key}']", "variant")
+
+        def typed(v: Column) -> Column:
+            kind = F.schema_of_variant(v)
+            text = F.when(kind == "STRING", v.try_cast("string"))
+            number = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), v.try_cast("double"))
+            return F.struct(text.alias("text"), number.alias("number"))
+
+        return bind(value, typed)
 
     return F.array(*[one(k) for k in keys])
 
 
-def parse_json(line: Column, now_ms: Column | None = None) -> Column:
-    ts = first_of(json_values(line, TIME_KEYS), lambda v: F.coalesce(number_timestamp(v["number"]), text_timestamp(v["text"], now_ms)))
-    level = first_of(json_values(line, LEVEL_KEYS), lambda v: known_level(F.when(v["text"].isNotNull(), level_from_text(v["text"])).when(v["number"].isNotNull(), level_from_number(v["number"]))))
-    message = first_of(json_values(line, MESSAGE_KEYS), lambda v: F.nullif(v["text"], F.lit("")))
-    service = first_of(json_values(line, SERVICE_KEYS), lambda v: service_name(v["text"]))
-    return record(JSON, ts, F.coalesce(level, F.lit(UNKNOWN)), service, F.coalesce(message, line))
+def parse_json(line: Column, now_ms: Column | None = None, body: Column | None = None) -> Column:
+    """body: the line's variant, if it is at hand."""
+
+    def of(body: Column) -> Column:
+        ts = first_of(json_values(body, TIME_KEYS), lambda v: F.coalesce(number_timestamp(v["number"]), text_timestamp(v["text"], now_ms)))
+        level = first_of(json_values(body, LEVEL_KEYS), lambda v: known_level(F.when(v["text"].isNotNull(), level_from_text(v["text"])).when(v["number"].isNotNull(), level_from_number(v["number"]))))
+        message = first_of(json_values(body, MESSAGE_KEYS), lambda v: F.nullif(v["text"], F.lit("")))
+        service = first_of(json_values(body, SERVICE_KEYS), lambda v: service_name(v["text"]))
+        return record(JSON, ts, F.coalesce(level, F.lit(UNKNOWN)), service, F.coalesce(message, line))
+
+    return bind(json_object(line), of) if body is None else of(body)
 
 
 def json_fields(line: Column) -> Column:
@@ -104,27 +113,33 @@ def logfmt_map(line: Column, most: int | None = PAIRS) -> Column:
 
     def entry(pair: Column) -> Column:
         key = F.substring_index(pair, "=", 1)
-        raw = F.substring(pair, F.length(key) + 2, F.length(pair))
         # a quoted value loses its first and its last character, whatever that is
-        inner = F.regexp_replace(F.substring(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0))), r"\\(.)", "$1")
-        return F.struct(key.alias("key"), F.when(raw.startswith('"'), inner).otherwise(raw).alias("value"))
+        inner = lambda raw: F.regexp_replace(F.substring(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0))), r"\\(.)", "$1")
+        value = bind(F.substring(pair, F.length(key) + 2, F.length(pair)), lambda raw: F.when(raw.startswith('"'), inner(raw)).otherwise(raw))
+        return F.struct(key.alias("key"), value.alias("value"))
 
     return F.map_from_entries(F.transform(found, entry))
 
 
-def is_logfmt(line: Column) -> Column:
+def logfmt_fields(line: Column) -> Column:
+    """The map of a line that has two pairs and two keys with a value, or null."""
     pairs = F.size(F.slice(F.regexp_extract_all(line, F.lit(PAIR), F.lit(0)), 1, PAIRS))
-    return F.contains(line, F.lit("=")) & (pairs >= 2) & (F.size(F.filter(F.map_values(logfmt_map(line)), lambda v: v != "")) >= 2)
+    enough = lambda fields: F.when(F.size(F.filter(F.map_values(fields), lambda v: v != "")) >= 2, fields)
+    return F.when(F.contains(line, F.lit("=")), F.when(pairs >= 2, bind(logfmt_map(line), enough)))
 
 
-def parse_logfmt(line: Column, now_ms: Column | None = None) -> Column:
-    fields = logfmt_map(line)
-    values = lambda keys: F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.try_element_at(fields, k))
-    ts = F.coalesce(first_of(values(TIME_KEYS), lambda v: text_timestamp(v, now_ms)), find_timestamp(line, now_ms)["ts"])
-    level = first_of(values(LEVEL_KEYS), lambda v: known_level(level_from_text(v)))
-    message = first_of(values(MESSAGE_KEYS), lambda v: F.nullif(v, F.lit("")))
-    service = first_of(values(SERVICE_KEYS), service_name)
-    return record(LOGFMT, ts, F.coalesce(level, F.lit(UNKNOWN)), service, F.coalesce(message, line))
+def parse_logfmt(line: Column, now_ms: Column | None = None, fields: Column | None = None) -> Column:
+    """fields: the line's map, if it is at hand."""
+
+    def of(fields: Column) -> Column:
+        values = lambda keys: F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.try_element_at(fields, k))
+        ts = F.coalesce(first_of(values(TIME_KEYS), lambda v: text_timestamp(v, now_ms)), find_timestamp(line, now_ms)["ts"])
+        level = first_of(values(LEVEL_KEYS), lambda v: known_level(level_from_text(v)))
+        message = first_of(values(MESSAGE_KEYS), lambda v: F.nullif(v, F.lit("")))
+        service = first_of(values(SERVICE_KEYS), service_name)
+        return record(LOGFMT, ts, F.coalesce(level, F.lit(UNKNOWN)), service, F.coalesce(message, line))
+
+    return bind(logfmt_fields(line), of) if fields is None else of(fields)
 
 
 # --- other families -----------------------------------------------------------------------------
@@ -145,24 +160,25 @@ def access_fields(line: Column) -> Column:
 def level_in(text: Column) -> Column:
     """The first level word in the text's head."""
     token = F.regexp_extract(F.substring(text, 1, 160), LEVEL_TOKEN, 1)
-    return F.when(token == "", F.lit(UNKNOWN)).otherwise(level_from_text(token))
+    return bind(token, lambda t: F.when(t == "", F.lit(UNKNOWN)).otherwise(level_from_text(t)))
 
 
 def parse_syslog(line: Column, now_ms: Column | None = None, year: int | None = None) -> Column:
-    body = F.regexp_extract(line, SYSLOG_LINE, 4)
-    level = F.coalesce(known_level(level_in(body)), F.lit(INFO))
-    return record(SYSLOG, find_timestamp(line, now_ms, year)["ts"], level, F.regexp_extract(line, SYSLOG_LINE, 2), F.when(body == "", line).otherwise(body))
+    ts = find_timestamp(line, now_ms, year)["ts"]
+    level = lambda body: F.coalesce(known_level(level_in(body)), F.lit(INFO))
+    made = lambda body: record(SYSLOG, ts, level(body), F.regexp_extract(line, SYSLOG_LINE, 2), F.when(body == "", line).otherwise(body))
+    return bind(F.regexp_extract(line, SYSLOG_LINE, 4), made)
 
 
 def parse_generic(line: Column, now_ms: Column | None = None, year: int | None = None) -> Column:
-    found = find_timestamp(line, now_ms, year)
-    level = level_in(line)
-    after = F.substring(line, found["stop"] + 1, F.lit(120))
-    group = lambda k: F.nullif(F.regexp_extract(after, GENERIC_SERVICE, k), F.lit(""))
-    name = F.coalesce(group(1), group(2))
-    service = F.when(found["ts"].isNotNull() & (level_from_text(name) == UNKNOWN), name)
-    kind = F.when(found["stop"].isNotNull() | (level != UNKNOWN), F.lit(GENERIC)).otherwise(F.lit(RAW))
-    return record(kind, found["ts"], level, service, line)
+    def service(found: Column) -> Column:
+        group = lambda after, k: F.nullif(F.regexp_extract(after, GENERIC_SERVICE, k), F.lit(""))
+        name = bind(F.substring(line, found["stop"] + 1, F.lit(120)), lambda after: F.coalesce(group(after, 1), group(after, 2)))
+        return F.when(found["ts"].isNotNull(), bind(name, lambda n: F.when(level_from_text(n) == UNKNOWN, n)))
+
+    kind = lambda found, level: F.when(found["stop"].isNotNull() | (level != UNKNOWN), F.lit(GENERIC)).otherwise(F.lit(RAW))
+    made = lambda found, level: record(kind(found, level), found["ts"], level, service(found), line)
+    return bind(find_timestamp(line, now_ms, year), lambda found: bind(level_in(line), lambda level: made(found, level)))
 
 
 def is_continuation(line: Column) -> Column:
@@ -171,10 +187,6 @@ def is_continuation(line: Column) -> Column:
 
 def parse_line(line: Column, now_ms: Column | None = None, year: int | None = None) -> Column:
     """The record of a line."""
-    return (
-        F.when(json_object(line).isNotNull(), parse_json(line, now_ms))
-        .when(line.rlike(ACCESS_LINE), parse_access(line, now_ms))
-        .when(line.rlike(SYSLOG_LINE), parse_syslog(line, now_ms, year))
-        .when(is_logfmt(line), parse_logfmt(line, now_ms))
-        .otherwise(parse_generic(line, now_ms, year))
-    )
+    other = F.when(line.rlike(ACCESS_LINE), parse_access(line, now_ms)).when(line.rlike(SYSLOG_LINE), parse_syslog(line, now_ms, year))
+    loose = bind(logfmt_fields(line), lambda fields: F.when(fields.isNotNull(), parse_logfmt(line, now_ms, fields)).otherwise(parse_generic(line, now_ms, year)))
+    return bind(json_object(line), lambda body: F.when(body.isNotNull(), parse_json(line, now_ms, body)).otherwise(other.otherwise(loose)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..work import cut
 from .parsers import is_continuation, parse_line
 
 FOLD_BYTES = 1 << 20
@@ -21,12 +22,12 @@ def running(df: DataFrame, value: Column, name: str, how: str = "sum", order: st
     """Adds the running sum or maximum of value in each file's order. df has file_id, part and the order column."""
     total = {"sum": F.sum, "max": F.max}[how]
     inside = Window.partitionBy("file_id", "part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = df.withColumn("_value", value)
+    marked = df.withColumn("_run_value", value)
     earlier = Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = marked.groupBy("file_id", "part").agg(total("_value").alias("_total")).select("file_id", "part", total("_total").over(earlier).alias("_before"))
-    joined = marked.withColumn("_own", total("_value").over(inside)).join(parts, ["file_id", "part"])
-    found = F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0)) if how == "sum" else F.greatest("_own", "_before")
-    return joined.withColumn(name, found).drop("_value", "_own", "_before")
+    parts = marked.groupBy("file_id", "part").agg(total("_run_value").alias("_run_total")).select("file_id", "part", total("_run_total").over(earlier).alias("_run_before"))
+    joined = marked.withColumn("_run_own", total("_run_value").over(inside)).join(parts, ["file_id", "part"])
+    found = F.coalesce("_run_own", F.lit(0)) + F.coalesce("_run_before", F.lit(0)) if how == "sum" else F.greatest("_run_own", "_run_before")
+    return joined.withColumn(name, found).drop("_run_value", "_run_own", "_run_before")
 
 
 def number_lines(tagged: DataFrame) -> DataFrame:
@@ -60,13 +61,15 @@ def fold(lines: DataFrame, head: Column | None = None, most: int = FOLD_BYTES) -
     rows above `most` bytes are cut one line after the other; all others are grouped by running sums."""
     head = ~is_continuation(F.col("value")) if head is None else head
     marked = lines.withColumn("head", F.coalesce(head, F.lit(True)) | (F.col("line_no") == 1)).withColumn("size", F.octet_length("value"))
-    grouped = running(marked, F.col("head").cast("bigint"), "group")
+    grouped = cut(running(marked, F.col("head").cast("bigint"), "group"), "lines")
     long = grouped.groupBy("file_id", "group").agg((F.sum("size") + F.count(F.lit(1)) - 1).alias("_bytes")).where(F.col("_bytes") > most).select("file_id", "group")
-    cuts = split_long_groups(grouped.join(long, ["file_id", "group"], "left_semi").select("file_id", "line_no", "group", "size"), most)
-    again = grouped.drop("group").join(cuts.select("file_id", "line_no", F.col("head").alias("_cut")), ["file_id", "line_no"], "left")
-    again = running(again.withColumn("head", F.coalesce("_cut", "head")).drop("_cut"), F.col("head").cast("bigint"), "group")
+    if not long.isEmpty():
+        cuts = split_long_groups(grouped.join(long, ["file_id", "group"], "left_semi").select("file_id", "line_no", "group", "size"), most)
+        again = grouped.drop("group").join(cuts.select("file_id", "line_no", F.col("head").alias("_cut")), ["file_id", "line_no"], "left")
+        again = cut(again.withColumn("head", F.coalesce("_cut", "head")).drop("_cut"), "lines")
+        grouped = running(again, F.col("head").cast("bigint"), "group")
     first = F.min(F.struct("line_no", "part", "value"))
-    rows = again.groupBy("file_id", "file", "group").agg(first.alias("_first"), F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("_lines"))
+    rows = grouped.groupBy("file_id", "file", "group").agg(first.alias("_first"), F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("_lines"))
     return rows.select(
         "file_id", "file", F.col("_first.part").alias("part"), (F.col("group") - 1).alias("row_seq"), F.col("_first.line_no").alias("line_no"),
         F.col("_first.value").alias("text"), F.array_join(F.col("_lines.value"), "\n").alias("raw"), (F.size("_lines") - 1).alias("folded"),
@@ -74,8 +77,8 @@ def fold(lines: DataFrame, head: Column | None = None, most: int = FOLD_BYTES) -
 
 
 def with_effective_time(rows: DataFrame) -> DataFrame:
-    """Adds eff_ts: the latest ts_ms so far in the file, so that late rows stay where they stand."""
-    return running(rows, F.col("ts_ms"), "eff_ts", "max", "row_seq")
+    """Adds eff_ts: the latest ts_ms so far in the file, so that late rows stay where they stand. Rows are written first, so that they are parsed once."""
+    return running(cut(rows, "rows"), F.col("ts_ms"), "eff_ts", "max", "row_seq")
 
 
 def build_logs(lines: DataFrame, now_ms: Column | None = None) -> DataFrame:
