@@ -12,7 +12,8 @@ small enough to broadcast; each task looks up one row.
 
 Words repeat, so each Python worker keeps the ids of words that it has seen, at most CACHE of them. Words end at
 ASCII white space, where the vocabulary's own splitting ends pieces, too; trailing ASCII punctuation after plain
-letters is a piece of its own. The results are those of encoding whole texts, which the tests check.
+letters is a piece of its own, and lower-cased Latin letters go to the model directly. The results are those of
+encoding whole texts, which the tests check.
 
 Null and empty texts have only the end id. Rows with one identifier are packed one by one. An empty table gives an
 empty result; other columns are ignored.
@@ -32,10 +33,17 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_batches
 
-CACHE = 400_000
+CACHE = 1_000_000
 _PUNCTUATION = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
     """Token ids of texts, as little-endian bytes, by a vocabulary file of the tokenizers library."""
 
@@ -47,15 +55,27 @@ class Encoder:
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end], dtype=self.width).tobytes()
         self.special = [str(x.content).encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.plain = self._is_plain()
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes | str, bytes] = {}
+
+    def _is_plain(self) -> bool:
+        """Whether a lower-case word goes to the model as one piece, which some probes tell."""
+        probe = ["hello", "straße", "déjà", "abcdefghij"]
+        return all(self._piece(p) == np.array(self.tokenizer.encode(f"{p.upper()}!" if p != "straße" else f"{p}!", add_special_tokens=False).ids[:-1], dtype=self.width).tobytes() for p in probe)
+
+    def _piece(self, letters: str) -> bytes:
+        """Ids of one word of lower-case letters, straight from the model."""
+        found = self.model.tokenize(letters.encode().decode("latin-1").translate(self.letters))
+        return np.array([t.id for t in found], dtype=self.width).tobytes()
 
-    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        """Letters, then trailing punctuation, or the word as it is."""
+    def _parts(self, word: bytes) -> tuple[str, bytes]:
+        """Letters (Latin, lower-cased) and trailing punctuation, or no letters and the word as it is."""
         head = word.rstrip(_PUNCTUATION)
-        if head and (letters := head.decode()).isalpha() and max(letters) < "ɐ" and not any(s in word for s in self.special):
-            return head.lower(), word[len(head) :]
-        return word, b""
+        if self.plain and head and (letters := head.decode().lower()).isalpha() and max(letters) < "\u0250" and not any(s in word for s in self.special):
+            return letters, word[len(head) :]
+        return "", word
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.words) + len(words) > CACHE:
@@ -63,14 +83,17 @@ class Encoder:
         if len(self.pieces) > CACHE:
             self.pieces = {}
         parts = {w: self._parts(w) for w in words}
-        new = [p for p in {p for pair in parts.values() for p in pair if p} if p not in self.pieces]
+        pieces = self.pieces
+        new = [p for p in {rest for _, rest in parts.values() if rest} if p not in pieces]
         for at in range(0, len(new), 4096):
             block = new[at : at + 4096]
             for piece, found in zip(block, self.tokenizer.encode_batch_fast([p.decode() for p in block], add_special_tokens=False), strict=True):
-                self.pieces[piece] = np.array(found.ids, dtype=self.width).tobytes()
-        self.pieces[b""] = b""
-        for w, (head, tail) in parts.items():
-            self.words[w] = self.pieces[head] + self.pieces[tail]
+                pieces[piece] = np.array(found.ids, dtype=self.width).tobytes()
+        pieces[b""] = pieces[""] = b""
+        for w, (letters, rest) in parts.items():
+            if letters not in pieces:
+                pieces[letters] = self._piece(letters)
+            self.words[w] = pieces[letters] + pieces[rest]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
