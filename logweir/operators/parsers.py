@@ -64,38 +64,37 @@ def service_name(value: Column) -> Column:
 def json_object(line: Column) -> Column:
     """The line as a variant if it is one JSON object and nothing else."""
     # each of the two wrappings refuses what trailing text the other lets pass
-    whole = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}"))).isNotNull()
-    return F.when(line.startswith("{") & whole, F.try_parse_json(line))
+    listed = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).isNotNull()
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}")))
+    return F.when(line.startswith("{"), F.when(listed, F.try_variant_get(held, "$.v", "variant")))
 
 
-def json_values(body: Column, keys: tuple[str, ...]) -> Column:
-    """For each key of a variant: struct(text, number), both null where it is missing or neither."""
+def json_values(fields: Column, keys: tuple[str, ...]) -> Column:
+    """The values of those keys that an object's fields have, in the order of keys."""
+    return F.filter(F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.try_element_at(fields, k)), lambda v: v.isNotNull())
 
-    def one(key: str) -> Column:
-        value = F.try_variant_get(body, f"$['{key}']", "variant")
 
-        def typed(v: Column) -> Column:
-            kind = F.schema_of_variant(v)
-            text = F.when(kind == "STRING", v.try_cast("string"))
-            number = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), v.try_cast("double"))
-            return F.struct(text.alias("text"), number.alias("number"))
+def typed(value: Column, text: Callable[[Column], Column], number: Callable[[Column], Column] | None = None) -> Column:
+    """text() of a variant that is a string, number() of one that is a number; null for others."""
 
-        return bind(value, typed)
+    def of(kind: Column) -> Column:
+        out = F.when(kind == "STRING", text(value.try_cast("string")))
+        return out.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), number(value.try_cast("double"))) if number else out
 
-    return F.array(*[one(k) for k in keys])
+    return bind(F.schema_of_variant(value), of)
 
 
 def parse_json(line: Column, now_ms: Column | None = None, body: Column | None = None) -> Column:
     """body: the line's variant, if it is at hand."""
 
-    def of(body: Column) -> Column:
-        ts = first_of(json_values(body, TIME_KEYS), lambda v: F.coalesce(number_timestamp(v["number"]), text_timestamp(v["text"], now_ms)))
-        level = first_of(json_values(body, LEVEL_KEYS), lambda v: known_level(F.when(v["text"].isNotNull(), level_from_text(v["text"])).when(v["number"].isNotNull(), level_from_number(v["number"]))))
-        message = first_of(json_values(body, MESSAGE_KEYS), lambda v: F.nullif(v["text"], F.lit("")))
-        service = first_of(json_values(body, SERVICE_KEYS), lambda v: service_name(v["text"]))
+    def of(fields: Column) -> Column:
+        ts = first_of(json_values(fields, TIME_KEYS), lambda v: typed(v, lambda t: text_timestamp(t, now_ms), number_timestamp))
+        level = first_of(json_values(fields, LEVEL_KEYS), lambda v: known_level(typed(v, level_from_text, level_from_number)))
+        message = first_of(json_values(fields, MESSAGE_KEYS), lambda v: typed(v, lambda t: F.nullif(t, F.lit(""))))
+        service = first_of(json_values(fields, SERVICE_KEYS), lambda v: typed(v, service_name))
         return record(JSON, ts, F.coalesce(level, F.lit(UNKNOWN)), service, F.coalesce(message, line))
 
-    return bind(json_object(line), of) if body is None else of(body)
+    return bind((json_object(line) if body is None else body).try_cast("map<string,variant>"), of)
 
 
 def json_fields(line: Column) -> Column:

@@ -65,7 +65,7 @@ def parsed(df: DataFrame, record: Column) -> DataFrame:
 
 
 def parse_query(family: str, parse: Callable[[Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: parsed(events(spark, sf_dir), parse(line_of(family)))
+    return lambda spark, sf_dir: parsed(events(spark, sf_dir).withColumn("line", line_of(family)), parse(F.col("line")))
 
 
 FAMILIES = ("json", "logfmt", "access", "syslog", "generic", "raw")
@@ -90,19 +90,21 @@ def time_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "iso_offset": F.concat(shifted, F.lit("+01:30")), "clf": stamp("dd/MMM/yyyy:HH:mm:ss"), "epoch_s": F.floor(F.col("ms") / 1000).cast("string"),
         "epoch_ms": F.col("ms").cast("string"), "epoch_frac": F.concat(F.floor(F.col("ms") / 1000).cast("string"), F.lit("."), F.lpad((F.col("ms") % 1000).cast("string"), 3, "0")),
     }
-    return df.select("event_id", *[find_timestamp(t, F.lit(NOW_MS))["ts"].alias(k) for k, t in texts.items()], text_timestamp(F.col("ms").cast("string"), F.lit(NOW_MS)).alias("field_ms"))
+    df = df.select("event_id", *[t.alias(f"_{k}") for k, t in texts.items()])
+    return df.select("event_id", *[find_timestamp(F.col(f"_{k}"), F.lit(NOW_MS))["ts"].alias(k) for k in texts], text_timestamp(F.col("_epoch_ms"), F.lit(NOW_MS)).alias("field_ms"))
 
 
 def strptime_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir)
     formats = {"dotted": ("%d.%m.%Y %H:%M:%S", "dd.MM.yyyy HH:mm:ss"), "clock12": ("%d %b %Y %I:%M %p", "dd MMM yyyy hh:mm a"), "millis": ("%Y-%m-%d %H:%M:%S,%L", "yyyy-MM-dd HH:mm:ss,SSS"), "zoned": ("%Y%m%d%H%M%S %z", "yyyyMMddHHmmss '+0100'")}
-    return df.select("event_id", *[compile_time_format(f).parse(stamp(p)).alias(k) for k, (f, p) in formats.items()])
+    df = df.select("event_id", *[stamp(p).alias(f"_{k}") for k, (_, p) in formats.items()])
+    return df.select("event_id", *[compile_time_format(f).parse(F.col(f"_{k}")).alias(k) for k, (f, _) in formats.items()])
 
 
 def pattern_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     made = compile_pattern_format(PatternSpec((r"^(?<timestamp>[\d.]+ [\d:]+) \| (?<level>\w+) \| (?<service>\w+) \| (?<message>.*)$",), ("%d.%m.%Y %H:%M:%S",), {"error": ("weird",)}), spark)
-    return parsed(events(spark, sf_dir), made.parse(line_of("dotted")))
+    return parsed(events(spark, sf_dir).withColumn("line", line_of("dotted")), made.parse(F.col("line")))
 
 
 def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +214,9 @@ def detail_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detail_logfmt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = logfmt_map(line_of("logfmt"), None)
-    return events(spark, sf_dir).select("event_id", F.size(fields).alias("n"), F.element_at(fields, "service").alias("service"), F.element_at(fields, "msg").alias("msg"))
+    df = events(spark, sf_dir).select("event_id", line_of("logfmt").alias("line")).select("event_id", logfmt_map(F.col("line"), None).alias("fields"))
+    fields = F.col("fields")
+    return df.select("event_id", F.size(fields).alias("n"), F.element_at(fields, "service").alias("service"), F.element_at(fields, "msg").alias("msg"))
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
