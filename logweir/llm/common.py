@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -14,6 +13,8 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..work import cut, new_dir, shared_dir  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The six ASCII white-space characters that part words.
 SPACE = "\\x20\\x09-\\x0D"
@@ -33,30 +34,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; where it is unset (tests), a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else None
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="logweir-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/logweir/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: its lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucket_bits(spark: SparkSession, least: int = 4) -> int:
     """log2 of the number of hash buckets: as many buckets at least as the session has shuffle partitions."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

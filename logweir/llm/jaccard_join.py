@@ -17,12 +17,15 @@ bears on cost alone: any order gives all links.
 
 Join. Tasks send keys in sorted blocks to hash buckets; a bucket's task lists the documents of each key that has more
 than one. Equal lists merge. First, each list's smallest document is paired with the others; pairs are verified on
-whole texts, and links become components. Then, for what a list still holds outside its smallest document's
-component, all pairs across components are verified, too. So every candidate pair is verified or already connected,
-while a large group of near copies costs a pair for each document instead of all pairs.
+whole texts, and links become components. What a long list still holds outside its smallest document's component, is
+open, is paired with a few delegates of the list, in two rounds. Then, for what is open still, all pairs across
+components are verified. So every candidate pair is verified or already connected, while a large group of near copies
+costs a few pairs for each document instead of all pairs.
 
-Verification joins both texts to a pair and intersects their sets. Nothing is collected on the driver but counts and
-the order's bounded list of frequent segments.
+Verification compares dense sketches of a bit or two for each shingle first, which lose no link and cost a fiftieth of
+the text, and then joins both texts to a pair that is left and intersects their sets. Texts in no such pair are not
+exchanged: scans look identifiers up in sorted arrays that workers map. Nothing is collected on the driver but counts
+and the order's bounded list of frequent segments.
 
 Null and empty texts have no shingles, size 0, and stand alone; so do null identifiers, whose component is null.
 Fewer than five words are one shingle. Rows that repeat an identifier and text are linked; other columns are ignored.
@@ -35,17 +38,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_bits, cut, hashed_words, mix, pair, text_batches
 from .components import components
-from .language_model import block_rows, pack_arrays, unpack_arrays
+from .hash_arrays import block_rows, has_ids, keep_ids, pack_arrays, unpack_arrays
 
 WORDS, NUM, DEN = 5, 3, 4
 FLUSH, CHUNK = 1_500_000, 4096
 #: One of so many documents serves for the order of segments; the list holds at most so many of those seen LEAST times.
 SAMPLED, FREQUENT, LEAST = 8, 1 << 19, 3
+#: In lists of more than LARGE, what is open is first paired with so many delegates of the list, in so many rounds.
+LARGE, DELEGATES, ROUNDS = 32, 6, 2
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
@@ -97,22 +102,45 @@ def prefix_keys(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) ->
         out.append(keys)
     return np.concatenate(out)
 
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """As many bits as the next power of two above the set's size (64 at least); each shingle flips one."""
+    size = max(64, 1 << len(hashes).bit_length())
+    flips = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def may_link(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
+    """False if the sketches differ in more bits than the sets of a link can differ in shingles. The longer one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (DEN + NUM) <= (DEN - NUM) * (n_a + n_b)
+
+
+def class_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit name for each set: its size and two independent sums of its hashes, mixed."""
+    with np.errstate(over="ignore"):
+        n = np.array([len(s) for s in sets], dtype=np.uint64)
+        k1 = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
+        k2 = np.array([np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5))) if len(s) else 0 for s in sets], dtype=np.uint64)
+    return pair(pair(k1, k2), n).view(np.int64)
+
+
 def set_rows(docs: DataFrame, text: str, id: str, runs: int) -> DataFrame:
-    """(id, n, k1, k2, run): a class is known by its size and two independent sums of its hashes."""
+    """(id, n, cid, sketch, run): each document's set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, text):
             sets = shingle_sets(batch.column(text).to_pylist())
-            n = pa.array([len(s) for s in sets], pa.int64())
-            with np.errstate(over="ignore"):
-                k1 = pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64))
-                k2 = pa.array(np.array([np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5))) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column(id), n, k1, k2], ["id", "n", "k1", "k2"])
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(class_of(sets)), pa.array([parity_sketch(s) for s in sets], pa.binary())]
+            yield pa.record_batch([batch.column(id), *columns], ["id", "n", "cid", "sketch"])
 
-    kind = docs.schema[id].dataType.simpleString()
-    found = docs.select(id, text).mapInArrow(rows, f"id {kind}, n bigint, k1 bigint, k2 bigint")
+    found = docs.select(F.col(id).cast("bigint").alias(id), text).mapInArrow(rows, "id bigint, n bigint, cid bigint, sketch binary")
     return found.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int"))
 
+
 def frequent_segments(docs: DataFrame, text: str, id: str) -> tuple[np.ndarray, np.ndarray]:
     """Keys that are frequent in the sample, sorted, with their counts."""
 
@@ -133,7 +161,7 @@ def frequent_segments(docs: DataFrame, text: str, id: str) -> tuple[np.ndarray,
     return keys[order], top["n"].to_numpy(dtype=np.int64)[order]
 
 def candidate_lists(docs: DataFrame, text: str, id: str, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(gid, leader, ids, sizes): documents that share a key, in chunks of at most CHUNK; the leader is the list's smallest."""
+    """(gid, chunk, ids, sizes): classes that share a key, in chunks of at most CHUNK."""
     spark = docs.sparkSession
     bits = bucket_bits(spark, 6)
     shared = spark.sparkContext.broadcast(order)  # at most FREQUENT entries
@@ -154,8 +182,9 @@ def candidate_lists(docs: DataFrame, text: str, id: str, order: tuple[np.ndarray
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, sizes, held = [], [], [], 0
         for batch in text_batches(batches, text):
-            for one, found in zip(batch.column(id).to_pylist(), shingle_sets(batch.column(text).to_pylist()), strict=True):
-                if len(found):
+            sets = shingle_sets(batch.column(text).to_pylist())
+            for one, real, found in zip(class_of(sets).tolist(), batch.column(id).is_valid().to_pylist(), sets, strict=True):
+                if real and len(found):
                     keys.append(prefix_keys(found, *shared.value))
                     ids.append(one)
                     sizes.append(len(found))
@@ -174,6 +203,8 @@ def candidate_lists(docs: DataFrame, text: str, id: str, order: tuple[np.ndarray
         del parts
         by_key = np.lexsort((ids, keys))
         keys, ids, sizes = keys[by_key], ids[by_key], sizes[by_key]
+        once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])  # copies send equal keys
+        keys, ids, sizes = keys[once], ids[once], sizes[once]
         cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
         long = np.flatnonzero(np.diff(cuts) > 1)
         seen: set[int] = set()
@@ -188,21 +219,40 @@ def candidate_lists(docs: DataFrame, text: str, id: str, order: tuple[np.ndarray
             seen.add(gid)
             for at in range(a, b, CHUNK):
                 stop = min(at + CHUNK, b)
-                rows.append((gid, int(ids[a]), int(sizes[a]), (at - a) // CHUNK, ids[at:stop], sizes[at:stop]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["gid", "leader", "leader_size", "chunk", "ids", "sizes"])
+                rows.append((gid, (at - a) // CHUNK, ids[at:stop], sizes[at:stop]))
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["gid", "chunk", "ids", "sizes"])
 
     blocks = docs.select(id, text).mapInArrow(emit, "bucket int, block binary")
-    lists = blocks.groupBy("bucket").applyInArrow(meet, "gid bigint, leader bigint, leader_size bigint, chunk int, ids array<bigint>, sizes array<bigint>")
+    lists = blocks.groupBy("bucket").applyInArrow(meet, "gid bigint, chunk int, ids array<bigint>, sizes array<bigint>")
     return lists.dropDuplicates(["gid", "chunk"])
 
 def fits(a: str, b: str):
     """Whether sizes allow a link."""
     return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, id: str) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets are similar enough."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id: str) -> DataFrame:
+    """Those of the distinct pairs (a, b) of representatives whose sets are similar enough: first by sketch, then by text."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")]
+            yield batch.select(["a", "b"]).filter(pa.array([may_link(*row) for row in zip(*columns, strict=True)], pa.bool_()))
+
+    of = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    near = cut(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(sift, "a bigint, b bigint"), "near")
+    kept = keep_ids(near.select("a").union(near.select("b")).distinct())
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id")
+            real = np.asarray(ids.is_valid())
+            values = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(real & has_ids(kept, values)))
+
+    # only texts of pairs are exchanged
+    texts = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(needed, "id bigint, text string")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -229,44 +279,63 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, id: str) -> DataFrame
                 good.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = docs.select(F.col(id).alias("a"), F.col(text).alias("ta"))
-    right = docs.select(F.col(id).alias("b"), F.col(text).alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(check, "a bigint, b bigint")
+    left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
+    both = near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    return both.mapInArrow(check, "a bigint, b bigint").distinct()
+
+
+def settled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists' members with their components so far; settled are those in their leader's component."""
+    found = cut(components(links), "components")
+    placed = members.join(found, "id", "left").select("gid", "leader", "id", "size", F.coalesce("component", "id").alias("component"))
+    of_leader = found.select(F.col("id").alias("leader"), F.col("component").alias("of_leader"))
+    placed = placed.join(of_leader, "leader", "left").withColumn("settled", F.col("component") == F.coalesce("of_leader", "leader"))
+    return cut(placed.drop("of_leader"), "placed")
+
+
+def apart(some: DataFrame, placed: DataFrame) -> DataFrame:
+    """Distinct pairs of a list's open members with some of its members in other components, as far as sizes allow."""
+    rows = placed.where(~F.col("settled")).select("gid", F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("component").alias("x_component"))
+    differ = (F.col("component") != F.col("x_component")) & fits("size", "x_size")
+    return some.join(rows, "gid").where(differ).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+
 
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id that it reaches by links), class_id (the smallest id with the same set)."""
     spark = docs.sparkSession
     runs = 1 << bucket_bits(spark, 6)
-    key = ["n", "k1", "k2"]
     sets = cut(set_rows(docs, text, id, runs), "sets")
     filled = sets.where("n > 0 AND id IS NOT NULL")
-    first = filled.groupBy("run", *key).agg(F.min("id").alias("own"))
-    root = cut(first.groupBy(*key).agg(F.min("own").alias("rep")), "classes")
-
-    reps = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).join(root.select(F.col("rep").alias("id")), "id", "left_semi")
-    lists = cut(candidate_lists(reps, "text", "id", frequent_segments(docs, text, id)), "lists")
-    members = lists.select("gid", "leader", "leader_size", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("gid", "leader", "leader_size", F.col("m.ids").alias("id"), F.col("m.sizes").alias("size"))
+    first = filled.groupBy("run", "cid").agg(F.min("id").alias("own"), F.min("n").alias("n"))
+    root = first.groupBy("cid").agg(F.min("own").alias("rep"), F.min("n").alias("n"))
+    sketches = filled.select(F.col("id").alias("rep"), "cid", "sketch").dropDuplicates(["rep", "cid"])
+    classes = cut(root.join(sketches, ["rep", "cid"]), "classes")
+    lists = cut(candidate_lists(docs, text, id, frequent_segments(docs, text, id)), "lists")
+    listed = lists.select("gid", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("gid", F.col("m.ids").alias("cid"), F.col("m.sizes").alias("size"))
+    members = listed.join(classes.select("cid", F.col("rep").alias("id")), "cid").select("gid", "id", "size")
+    lead = members.groupBy("gid").agg(F.min(F.struct("id", "size")).alias("lead"), F.count(F.lit(1)).alias("n"))
+    lead = lead.select("gid", F.col("lead.id").alias("leader"), F.col("lead.size").alias("leader_size"), "n")
+    members = cut(members.join(lead, "gid"), "members")
     star = members.where((F.col("id") != F.col("leader")) & fits("leader_size", "size")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(verified(star, reps, "text", "id"), "star-links")
-    found = cut(components(links), "components")
-    # what each list still holds outside its leader's component
-    placed = members.join(found, "id", "left").select("gid", "leader", "id", "size", F.coalesce("component", "id").alias("component"))
-    lead = found.select(F.col("id").alias("leader"), F.col("component").alias("of_leader"))
-    placed = placed.join(lead, "leader", "left").withColumn("settled", F.col("component") == F.coalesce("of_leader", "leader"))
-    placed = cut(placed.drop("of_leader"), "placed")
-    open_rows = placed.where(~F.col("settled")).select("gid", F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("component").alias("x_component"))
-    others = placed.where(F.col("id") != F.col("leader"))
-    apart = (F.col("component") != F.col("x_component")) & fits("size", "x_size") & (F.col("settled") | (F.col("x") < F.col("id")))
-    rest = others.join(open_rows, "gid").where(apart).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    more = cut(verified(rest, reps, "text", "id"), "more-links")
+    links = cut(verified(star, classes, docs, text, id), "star-links")
+    for salt in range(ROUNDS):
+        placed = settled(members, links)
+        large = members.where(F.col("n") > LARGE).withColumn("_place", F.row_number().over(Window.partitionBy("gid").orderBy(F.xxhash64("id", F.lit(salt)), "id")))
+        few = large.where(F.col("_place") <= DELEGATES).select("gid", "id").join(placed.select("gid", "id", "size", "component", "settled"), ["gid", "id"])
+        links = cut(links.union(verified(apart(few, placed), classes, docs, text, id)).distinct(), "links")
+    placed = settled(members, links)
+    # the leader itself has been compared
+    rest = apart(placed.where(F.col("id") != F.col("leader")), placed)
+    more = verified(rest, classes, docs, text, id)
     final = components(links.union(more))
-    named = root.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*key, "rep", F.coalesce("component", "rep").alias("component"))
-    labelled = first.select("run", *key).join(named, key)
+    named = classes.select("cid", "rep").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("cid", "rep", F.coalesce("component", "rep").alias("component"))
+    # a class has at most one row in each run, and a run only its share of a large class
+    labelled = first.select("run", "cid").join(named, "cid")
     alone = (F.col("s.n") == 0) | F.col("s.id").isNull()
-    joined = sets.alias("s").join(labelled.alias("c"), ["run", *key], "left")
+    joined = sets.drop("sketch").alias("s").join(labelled.alias("c"), ["run", "cid"], "left")
+    kind = docs.schema[id].dataType.simpleString()
     return joined.select(
-        F.col("s.id").alias(id), F.col("n").alias("n_shingles"),
+        F.col("s.id").cast(kind).alias(id), F.col("n").alias("n_shingles"),
         F.when(alone, F.col("s.id")).otherwise(F.col("component")).alias("component_id"),
         F.when(alone, F.col("s.id")).otherwise(F.col("rep")).alias("class_id"),
     )

@@ -42,7 +42,7 @@ from .common import bucket_bits, mix, new_dir, pair, powers, prefix_sums, put_fi
 from .hash_arrays import block_rows, lookup, pack_arrays, unpack_arrays
 
 SPAN, GRAM = 200, 24
-HEAVY, FLUSH_ROWS, MATRIX = 20_000, 40_000, 20_000
+HEAVY, FLUSH_ROWS, MATRIX = 20_000, 10_000, 4_000
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -236,7 +236,7 @@ def as_runs(starts: np.ndarray, owner: np.ndarray, span: int) -> tuple[np.ndarra
 def intervals(docs: DataFrame, text: str, span: int = SPAN, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """(id, row, start, stop): parts of texts that repeated strings cover. docs: id, row and text."""
     spark = docs.sparkSession
-    bits, folder = bucket_bits(spark, 6), new_dir(spark, "anchors")
+    bits, folder = bucket_bits(spark, 6) + 2, new_dir(spark, "anchors")  # small buckets, since rows are wide
 
     def encoded(batch: pa.RecordBatch) -> Anchored:
         return Anchored([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(text).to_pylist()], span, gram)
