@@ -34,6 +34,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get at most so many texts at once, since one may be long; a smaller setting is left as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def bucket_bits(spark: SparkSession, least: int = 4) -> int:
     """log2 of the number of hash buckets: as many buckets at least as the session has shuffle partitions."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

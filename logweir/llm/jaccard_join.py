@@ -41,12 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, cut, hashed_words, mix, pair, text_batches
+from .common import bucket_bits, cut, hashed_words, mix, pair, small_batches, text_batches
 from .components import components
 from .hash_arrays import block_rows, has_ids, keep_ids, pack_arrays, unpack_arrays
 
 WORDS, NUM, DEN = 5, 3, 4
-FLUSH, CHUNK = 1_500_000, 4096
+FLUSH, CHUNK = 700_000, 4096
 #: One of so many documents serves for the order of segments; the list holds at most so many of those seen LEAST times.
 SAMPLED, FREQUENT, LEAST = 8, 1 << 19, 3
 #: In lists of more than LARGE, what is open is first paired with so many delegates of the list, in so many rounds.
@@ -163,7 +163,7 @@ def frequent_segments(docs: DataFrame, text: str, id: str) -> tuple[np.ndarray,
 def candidate_lists(docs: DataFrame, text: str, id: str, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(gid, chunk, ids, sizes): classes that share a key, in chunks of at most CHUNK."""
     spark = docs.sparkSession
-    bits = bucket_bits(spark, 6)
+    bits = bucket_bits(spark, 6) + 2
     shared = spark.sparkContext.broadcast(order)  # at most FREQUENT entries
 
     def pack(keys: list[np.ndarray], ids: list[int], sizes: list[int]) -> pa.RecordBatch:
@@ -256,7 +256,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, i
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for batch in text_batches(text_batches(batches, "ta"), "tb"):
+        for batch in text_batches(text_batches(batches, "ta", most=3 << 20), "tb", most=3 << 20):
             new = {}
             for ids, texts in (("a", "ta"), ("b", "tb")):
                 for k, one in enumerate(batch.column(ids).to_pylist()):
@@ -303,6 +303,7 @@ def apart(some: DataFrame, placed: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id that it reaches by links), class_id (the smallest id with the same set)."""
     spark = docs.sparkSession
+    small_batches(spark, 400)
     runs = 1 << bucket_bits(spark, 6)
     sets = cut(set_rows(docs, text, id, runs), "sets")
     filled = sets.where("n > 0 AND id IS NOT NULL")

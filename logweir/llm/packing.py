@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_batches
 
-CACHE = 1_000_000
+CACHE = 500_000
 _PUNCTUATION = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 
 
