@@ -18,9 +18,10 @@ bears on cost alone: any order gives all links.
 Join. Tasks send keys in sorted blocks to hash buckets; a bucket's task lists the documents of each key that has more
 than one. Equal lists merge. First, each list's smallest document is paired with the others; pairs are verified on
 whole texts, and links become components. What a long list still holds outside its smallest document's component, is
-open, is paired with a few delegates of the list, in two rounds. Then, for what is open still, all pairs across
-components are verified. So every candidate pair is verified or already connected, while a large group of near copies
-costs a few pairs for each document instead of all pairs.
+open, is paired with a few delegates of the list first. What is open still meets its lists' members in other
+components by blocks: a task compares the short sketches of two blocks in numpy and gives only pairs that they allow,
+so that a large group of texts just below the threshold makes no rows for its pairs. So every candidate pair is
+compared or already connected, while a large group of near copies costs a few pairs for each document.
 
 Verification compares dense sketches of a bit or two for each shingle first, which lose no link and cost a fiftieth of
 the text, and then joins both texts to a pair that is left and intersects their sets. Texts in no such pair are not
@@ -49,8 +50,10 @@ WORDS, NUM, DEN = 5, 3, 4
 FLUSH, CHUNK = 700_000, 4096
 #: One of so many documents serves for the order of segments; the list holds at most so many of those seen LEAST times.
 SAMPLED, FREQUENT, LEAST = 8, 1 << 19, 3
-#: In lists of more than LARGE, what is open is first paired with so many delegates of the list, in so many rounds.
-LARGE, DELEGATES, ROUNDS = 32, 6, 2
+#: In lists of more than LARGE, what is open is first paired with so many delegates of the list, in so many rounds (cost alone).
+LARGE, DELEGATES, ROUNDS = 32, 8, 1
+#: Lists are compared in blocks of about so many members, by sketches of so many bits at most, so many pairs at a time.
+BLOCK, BRIEF, AT_ONCE = 256, 4096, 1 << 16
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
@@ -102,9 +105,9 @@ def prefix_keys(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) ->
         out.append(keys)
     return np.concatenate(out)
 
-def parity_sketch(hashes: np.ndarray) -> bytes:
-    """As many bits as the next power of two above the set's size (64 at least); each shingle flips one."""
-    size = max(64, 1 << len(hashes).bit_length())
+def parity_sketch(hashes: np.ndarray, most: int = 1 << 62) -> bytes:
+    """As many bits as the next power of two above the set's size (64 at least), up to most; each shingle flips one."""
+    size = min(max(64, 1 << len(hashes).bit_length()), most)
     flips = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -129,15 +132,15 @@ def class_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, text: str, id: str, runs: int) -> DataFrame:
-    """(id, n, cid, sketch, run): each document's set."""
+    """(id, n, cid, sketch, brief, run): each document's set; brief is the sketch folded to BRIEF bits."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, text):
             sets = shingle_sets(batch.column(text).to_pylist())
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(class_of(sets)), pa.array([parity_sketch(s) for s in sets], pa.binary())]
-            yield pa.record_batch([batch.column(id), *columns], ["id", "n", "cid", "sketch"])
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(class_of(sets)), *[pa.array([parity_sketch(s, *most) for s in sets], pa.binary()) for most in ((), (BRIEF,))]]
+            yield pa.record_batch([batch.column(id), *columns], ["id", "n", "cid", "sketch", "brief"])
 
-    found = docs.select(F.col(id).cast("bigint").alias(id), text).mapInArrow(rows, "id bigint, n bigint, cid bigint, sketch binary")
+    found = docs.select(F.col(id).cast("bigint").alias(id), text).mapInArrow(rows, "id bigint, n bigint, cid bigint, sketch binary, brief binary")
     return found.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int"))
 
 
@@ -287,17 +290,85 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, i
 def settled(members: DataFrame, links: DataFrame) -> DataFrame:
     """The lists' members with their components so far; settled are those in their leader's component."""
     found = cut(components(links), "components")
-    placed = members.join(found, "id", "left").select("gid", "leader", "id", "size", F.coalesce("component", "id").alias("component"))
+    placed = members.join(found, "id", "left").select("gid", "leader", "id", "size", "n", F.coalesce("component", "id").alias("component"))
     of_leader = found.select(F.col("id").alias("leader"), F.col("component").alias("of_leader"))
     placed = placed.join(of_leader, "leader", "left").withColumn("settled", F.col("component") == F.coalesce("of_leader", "leader"))
     return cut(placed.drop("of_leader"), "placed")
 
 
-def apart(some: DataFrame, placed: DataFrame) -> DataFrame:
-    """Distinct pairs of a list's open members with some of its members in other components, as far as sizes allow."""
-    rows = placed.where(~F.col("settled")).select("gid", F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("component").alias("x_component"))
-    differ = (F.col("component") != F.col("x_component")) & fits("size", "x_size")
-    return some.join(rows, "gid").where(differ).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+class Members:
+    """Members of lists in a batch of blocks, as arrays; row k of the batch has those from offsets[k] to offsets[k + 1]."""
+
+    def __init__(self, blocks: pa.Array):
+        rows = blocks.flatten()
+        self.offsets = blocks.offsets.to_numpy() - blocks.offsets[0].as_py()
+        self.id, self.size, self.component = (rows.field(c).to_numpy() for c in ("id", "size", "component"))
+        self.open = ~rows.field("settled").to_numpy(zero_copy_only=False)
+        sketches = rows.field("brief").to_pylist()
+        self.bytes = np.array([len(b) for b in sketches], dtype=np.int64)
+        self.place = np.zeros(len(sketches), dtype=np.int64)
+        self.words: dict[int, np.ndarray] = {}
+        for n in np.unique(self.bytes).tolist():
+            own = np.flatnonzero(self.bytes == n)
+            self.place[own] = np.arange(len(own))
+            self.words[n] = np.frombuffer(b"".join(sketches[k] for k in own), np.uint64).reshape(len(own), n // 8)
+
+    def folded(self, n: int, to: int) -> np.ndarray:
+        """The sketches of n bytes, folded."""
+        return np.bitwise_xor.reduce(self.words[n].reshape(-1, n // to, to // 8), axis=1)
+
+
+def close(x: Members, y: Members, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) have sketches that allow a link."""
+    out = np.zeros(len(i), dtype=bool)
+    kind = x.bytes[i] << 32 | y.bytes[j]
+    for one in np.unique(kind).tolist():
+        n, m = one >> 32, one & 0xFFFFFFFF
+        a, b = x.folded(n, min(n, m)), y.folded(m, min(n, m))
+        own = np.flatnonzero(kind == one)
+        for at in range(0, len(own), AT_ONCE):
+            some = own[at : at + AT_ONCE]
+            differ = np.bitwise_count(a[x.place[i[some]]] ^ b[y.place[j[some]]]).sum(axis=1, dtype=np.int64)
+            out[some] = differ * (DEN + NUM) <= (DEN - NUM) * (x.size[i[some]] + y.size[j[some]])
+    return out
+
+
+def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of open members in x with members in y, of different components, whose sizes and sketches allow a link."""
+    for batch in batches:
+        x, y = Members(batch.column("x")), Members(batch.column("y"))
+        many, others = np.diff(x.offsets).astype(np.int64), np.diff(y.offsets).astype(np.int64)
+        done = np.concatenate([[0], np.cumsum(many * others)])
+        row = 0
+        while row < batch.num_rows:
+            stop = max(row + 1, int(np.searchsorted(done, done[row] + 8 * AT_ONCE, side="right")) - 1)
+            of = np.repeat(np.arange(row, stop), np.diff(done[row : stop + 1]))
+            nth = np.arange(len(of)) + done[row] - done[of]
+            i, j = x.offsets[of] + nth // others[of], y.offsets[of] + nth % others[of]
+            p, q = x.size[i], y.size[j]
+            # a pair of two open members comes in both orders
+            fit = x.open[i] & (x.component[i] != y.component[j]) & (~y.open[j] | (x.id[i] < y.id[j])) & (DEN * np.minimum(p, q) >= NUM * np.maximum(p, q))
+            i, j = i[fit], j[fit]
+            good = close(x, y, i, j)
+            a, b = x.id[i[good]], y.id[j[good]]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            row = stop
+
+
+def across(rows: DataFrame, classes: DataFrame, few: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs of the lists' open members with members in other components, as far as sizes and sketches allow.
+
+    rows: members with their components; few: the members to compare with, a bounded number in each list, else all."""
+    sketched = lambda x: x.join(classes.select(F.col("rep").alias("id"), "brief"), "id")
+    gathered = lambda settled: F.collect_list(F.struct("id", "size", "component", settled, "brief")).alias("rows")
+    lists = rows.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.max(~F.col("settled")).alias("open")).where("open")
+    grouped = sketched(rows.join(lists.select("gid", "blocks"), "gid")).groupBy("gid", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
+    blocks = grouped.agg(gathered(F.col("settled")), F.max(~F.col("settled")).alias("open"))
+    blocks = cut(blocks, "blocks") if few is None else blocks
+    # one of the few counts as settled, so that every open member meets it
+    others = blocks if few is None else sketched(few).groupBy("gid").agg(gathered(F.lit(True).alias("settled")))
+    met = blocks.where("open").select("gid", F.col("rows").alias("x")).join(others.select("gid", F.col("rows").alias("y")), "gid")
+    return met.select("x", "y").mapInArrow(block_pairs, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -309,7 +380,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id")
     filled = sets.where("n > 0 AND id IS NOT NULL")
     first = filled.groupBy("run", "cid").agg(F.min("id").alias("own"), F.min("n").alias("n"))
     root = first.groupBy("cid").agg(F.min("own").alias("rep"), F.min("n").alias("n"))
-    sketches = filled.select(F.col("id").alias("rep"), "cid", "sketch").dropDuplicates(["rep", "cid"])
+    sketches = filled.select(F.col("id").alias("rep"), "cid", "sketch", "brief").dropDuplicates(["rep", "cid"])
     classes = cut(root.join(sketches, ["rep", "cid"]), "classes")
     lists = cut(candidate_lists(docs, text, id, frequent_segments(docs, text, id)), "lists")
     listed = lists.select("gid", F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("gid", F.col("m.ids").alias("cid"), F.col("m.sizes").alias("size"))
@@ -322,18 +393,17 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id")
     for salt in range(ROUNDS):
         placed = settled(members, links)
         large = members.where(F.col("n") > LARGE).withColumn("_place", F.row_number().over(Window.partitionBy("gid").orderBy(F.xxhash64("id", F.lit(salt)), "id")))
-        few = large.where(F.col("_place") <= DELEGATES).select("gid", "id").join(placed.select("gid", "id", "size", "component", "settled"), ["gid", "id"])
-        links = cut(links.union(verified(apart(few, placed), classes, docs, text, id)).distinct(), "links")
+        few = large.where(F.col("_place") <= DELEGATES).select("gid", "id").join(placed.select("gid", "id", "size", "component"), ["gid", "id"])
+        links = cut(links.union(verified(across(placed.where(~F.col("settled") & (F.col("n") > LARGE)), classes, few), classes, docs, text, id)).distinct(), "links")
     placed = settled(members, links)
-    # the leader itself has been compared
-    rest = apart(placed.where(F.col("id") != F.col("leader")), placed)
-    more = verified(rest, classes, docs, text, id)
+    # leaders have been compared with all
+    more = verified(across(placed.where(F.col("id") != F.col("leader")), classes), classes, docs, text, id)
     final = components(links.union(more))
     named = classes.select("cid", "rep").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("cid", "rep", F.coalesce("component", "rep").alias("component"))
     # a class has at most one row in each run, and a run only its share of a large class
     labelled = first.select("run", "cid").join(named, "cid")
     alone = (F.col("s.n") == 0) | F.col("s.id").isNull()
-    joined = sets.drop("sketch").alias("s").join(labelled.alias("c"), ["run", "cid"], "left")
+    joined = sets.drop("sketch", "brief").alias("s").join(labelled.alias("c"), ["run", "cid"], "left")
     kind = docs.schema[id].dataType.simpleString()
     return joined.select(
         F.col("s.id").cast(kind).alias(id), F.col("n").alias("n_shingles"),
