@@ -227,7 +227,7 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("text"))
-    hit = highlight(F.substring("text", 1, 200), F.lit("TH"))
+    hit = highlight(F.col("text"), F.lit("TH"))
     return df.select("doc_id", format_bytes(F.col("n_chars") * 1000 + 1).alias("size"), format_bucket(F.col("doc_id") % 400 * 1000 * 3600).alias("bucket"), F.length(hit["before"]).alias("before"), hit["hit"].alias("hit"))
 
 

@@ -30,3 +30,11 @@ def test_query(spark, duck, name):
     assert sorted(found.columns) == columns
     place = [found.columns.index(c) for c in columns]
     assert got == sorted(repr(tuple(r[i] for i in place)) for r in found.fetchall())
+
+
+def test_display_formats_reads_whole_texts(spark, tmp_path):
+    texts = ["x" * 250 + "The end", "The start", "y" * 900, "é" * 300 + "tHe", ""]
+    spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.before, r.hit) for r in QUERIES["display_formats"](spark, str(tmp_path)).collect()}
+    places = [t.lower().find("th") for t in texts]
+    assert got == {k: (len(t), "") if at < 0 else (at, t[at : at + 2]) for k, (t, at) in enumerate(zip(texts, places, strict=True))}
