@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules
-from logweir.llm.common import new_dir, table
+from logweir.llm.common import keyed, new_dir, table
 from logweir.llm.queries import vocabulary
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose identifier is in ids (column _id)."""
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents whose row key is in rows (column _row), without the key."""
+    return docs.join(rows, "_row", "left_semi").drop("_row")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,18 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest identifier."""
-    return only(docs, exact_dedup.exact_dedup(docs, keep="largest").where("kept").select(F.col("doc_id").alias("_id")))
+    """Of equal texts, the document with the largest identifier; one row, though identifiers repeat or are null."""
+    docs = keyed(docs)
+    named = docs.select(F.struct("doc_id", "_row").alias("_name"), "text")
+    return only(docs, exact_dedup.exact_dedup(named, id="_name", keep="largest").where("kept").select("_name._row"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that similar ones connect, the one with the smallest identifier."""
-    found = jaccard_join.jaccard_components(docs)
-    return only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")))
+    """Of documents that similar ones connect, the one with the smallest identifier; one row, though identifiers repeat or are null."""
+    docs = keyed(docs)
+    found = jaccard_join.jaccard_components(docs, id="_row").select("_row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+    return only(docs, found.join(docs.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first).select("first._row"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row (_row), written once so that every read finds the same keys."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII texts take the fast lower()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, cut, words_of
+from .common import bucket_bits, cut, keyed, words_of
 
 #: By a source's place in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -56,10 +56,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, slopes:
     return levels.withColumn("_target", F.least("_cap", F.coalesce(level * F.col("_w"), F.col("_cap")))).select("_source", "_source_size", "_slope", "_target")
 
 
-def placed(docs: DataFrame, text: str, id: str, source: str, weights: Sequence[float], slopes: Sequence[float], most: float) -> DataFrame:
-    """(_id, _size, _source_size, _target, _slope, _start, _taken): a document, its source and where it stands in it."""
+def placed(docs: DataFrame, text: str, id: str, source: str, weights: Sequence[float], slopes: Sequence[float], most: float, key: Sequence[str] = ()) -> DataFrame:
+    """(_id, _size, _source_size, _target, _slope, _start, _taken): a document, its source and where it stands in it.
+
+    key: columns that tell rows apart; they break the last ties and are passed on."""
     bits = bucket_bits(docs.sparkSession, 6)
-    sized = docs.select(F.col(id).alias("_id"), F.col(source).alias("_source"), F.size(words_of(F.col(text))).cast("long").alias("_size"))
+    sized = docs.select(*key, F.col(id).alias("_id"), F.col(source).alias("_source"), F.size(words_of(F.col(text))).cast("long").alias("_size"))
     sized = cut(sized.withColumn("_order", F.xxhash64("_id")), "sizes").withColumn("_range", F.shiftright("_order", 64 - bits))
     ranges = sized.groupBy("_source", "_range").agg(F.sum("_size").alias("_range_size"))
     targets = source_targets(ranges.groupBy("_source").agg(F.sum("_range_size").alias("_source_size")), weights, slopes, most)
@@ -67,13 +69,13 @@ def placed(docs: DataFrame, text: str, id: str, source: str, weights: Sequence[f
     ranges = ranges.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), before.alias("_before"))
     ranges = ranges.join(targets, F.col("_s").eqNullSafe(F.col("_source"))).drop("_source")
     same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))
-    inside = Window.partitionBy("_s", "_r").orderBy("_order", F.col("_id").asc_nulls_first(), "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_s", "_r").orderBy("_order", F.col("_id").asc_nulls_first(), "_size", *key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stands = sized.join(ranges, same).withColumn("_start", F.col("_before") + F.sum("_size").over(inside) - F.col("_size"))
     words = F.round("_target").cast("long")
     passes = F.when(F.col("_source_size") > 0, F.floor(words / F.col("_source_size"))).otherwise(F.lit(0)).cast("long")
     tail = words - passes * F.col("_source_size") - F.col("_start")
     taken = passes * F.col("_size") + F.greatest(F.lit(0), F.least(tail, F.col("_size")))
-    return stands.select("_id", "_size", "_source_size", "_target", "_slope", "_start", taken.cast("long").alias("_taken"))
+    return stands.select(*key, "_id", "_size", "_source_size", "_target", "_slope", "_start", taken.cast("long").alias("_taken"))
 
 
 def position(word: Column) -> Column:
@@ -94,16 +96,17 @@ def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "
 def training_stream(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, most: float = 3.0) -> DataFrame:
     """The documents as they are trained on: a row for each pass over each, with all columns of docs, sorted by position in ranges.
 
-    A last pass that the target cuts short keeps the first words of its text, joined by single spaces. Identifiers must
-    be unique, as after deduplication; rows that share one get each other's passes, too."""
-    rows = placed(docs, text, id, source, weights, slopes, most).where("_taken > 0")
+    A last pass that the target cuts short keeps the first words of its text, joined by single spaces. Rows are known by a
+    key of their own, so that identifiers may repeat or be null."""
+    columns, docs = docs.columns, keyed(docs)
+    rows = placed(docs, text, id, source, weights, slopes, most, key=["_row"]).where("_taken > 0")
     passes = rows.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_taken") / F.col("_size")) - 1).cast("int"))).alias("_pass"))
     timed = passes.select(
-        F.col("_id"), F.least(F.col("_size"), F.col("_taken") - F.col("_pass") * F.col("_size")).alias("_words"), "_size",
+        "_row", F.least(F.col("_size"), F.col("_taken") - F.col("_pass") * F.col("_size")).alias("_words"), "_size",
         position(F.col("_start") + F.col("_pass") * F.col("_source_size")).alias("_position"),
     )
-    joined = docs.join(timed, F.col(id).eqNullSafe(F.col("_id")))
+    joined = docs.join(timed, "_row")
     first = F.array_join(F.slice(words_of(F.col(text)), F.lit(1), F.col("_words").cast("int")), " ")
     whole = F.when(F.col("_words") == F.col("_size"), F.col(text)).otherwise(first)
-    out = joined.select(*[whole.alias(text) if c == text else F.col(c) for c in docs.columns], "_position")
+    out = joined.select(*[whole.alias(text) if c == text else F.col(c) for c in columns], "_position")
     return out.repartitionByRange("_position", id).sortWithinPartitions("_position", id).drop("_position")

@@ -308,6 +308,29 @@ def test_training_stream(docs):
     assert all(words[i] == n for i, n in taken.items())
 
 
+def test_training_stream_repeated_ids(spark):
+    data = [(k, f"doc{k} " * (k % 7 + 1), "s") for k in range(20)] + [(None, f"none{k} " * 5, "s") for k in range(12)] + [(7, f"seven{k} " * 9, "t") for k in range(12)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(3)
+    size = sum(len(words_of(t)) for _, t, _ in data)
+    got = mixing.training_stream(df).collect()
+    assert sum(len(words_of(r.text)) for r in got) == size and {r.text.split()[0] for r in got} <= {t.split()[0] for _, t, _ in data}
+    passes = Counter((r.doc_id, r.text) for r in got)
+    assert max(passes.values()) <= 3
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    prose = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    data = [(1, prose(1)), (1, prose(1)), (2, prose(1).upper()), (2, prose(1)), (None, prose(2)), (None, prose(2)), (None, prose(3)), (None, prose(3) + " tail"), (3, prose(4)), (3, prose(4) + " tail"), (5, prose(5)), (None, prose(5)), (6, prose(6)), (None, prose(6) + " tail")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    exact = corpus_pipeline.exact(spark, df, "")
+    found = exact.collect()
+    assert exact.columns == df.columns and Counter((r.doc_id, r.text.lower()) for r in found) == Counter({(2, prose(1)), (None, prose(2)), (None, prose(3)), (None, prose(3) + " tail"), (3, prose(4)), (3, prose(4) + " tail"), (5, prose(5)), (6, prose(6)), (None, prose(6) + " tail")})
+    left = Counter((r.doc_id, r.text.lower().removesuffix(" tail")) for r in corpus_pipeline.near(spark, exact, "").collect())
+    assert left == Counter({(2, prose(1)), (None, prose(2)), (None, prose(3)), (3, prose(4)), (5, prose(5)), (6, prose(6))})
+
+
 def test_empty_tables(empty):
     for df in (exact_dedup.exact_dedup(empty), quality_rules.apply_rules(empty), licenses.scan_licenses(empty), language_model.score_corpus(empty), suffix_dedup.remove_repeats(empty)):
         assert df.count() == 0
