@@ -36,8 +36,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as their source's target has them, in the order of training."""
-    return mixing.training_stream(docs)
+    """The whole documents as often as their source's target has them, in the order of training."""
+    return mixing.training_stream(docs, whole=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

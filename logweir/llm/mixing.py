@@ -93,13 +93,16 @@ def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "
     return out.repartitionByRange(F.col("position").asc_nulls_last(), id).sortWithinPartitions(F.col("position").asc_nulls_last(), id)
 
 
-def training_stream(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, most: float = 3.0) -> DataFrame:
+def training_stream(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, most: float = 3.0, whole: bool = False) -> DataFrame:
     """The documents as they are trained on: a row for each pass over each, with all columns of docs, sorted by position in ranges.
 
-    A last pass that the target cuts short keeps the first words of its text, joined by single spaces. Rows are known by a
+    A last pass that the target cuts short keeps the first words of its text, joined by single spaces; if `whole`, it is
+    taken whole or not at all, whichever is nearer to the target, so that all texts stay as they are. Rows are known by a
     key of their own, so that identifiers may repeat or be null."""
     columns, docs = docs.columns, keyed(docs)
     rows = placed(docs, text, id, source, weights, slopes, most, key=["_row"]).where("_taken > 0")
+    if whole:
+        rows = rows.withColumn("_taken", F.expr("(2 * _taken + _size) div (2 * _size) * _size")).where("_taken > 0")
     passes = rows.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_taken") / F.col("_size")) - 1).cast("int"))).alias("_pass"))
     timed = passes.select(
         "_row", F.least(F.col("_size"), F.col("_taken") - F.col("_pass") * F.col("_size")).alias("_words"), "_size",
@@ -107,6 +110,6 @@ def training_stream(docs: DataFrame, text: str = "text", id: str = "doc_id", sou
     )
     joined = docs.join(timed, "_row")
     first = F.array_join(F.slice(words_of(F.col(text)), F.lit(1), F.col("_words").cast("int")), " ")
-    whole = F.when(F.col("_words") == F.col("_size"), F.col(text)).otherwise(first)
-    out = joined.select(*[whole.alias(text) if c == text else F.col(c) for c in columns], "_position")
+    part = F.col(text) if whole else F.when(F.col("_words") == F.col("_size"), F.col(text)).otherwise(first)
+    out = joined.select(*[part.alias(text) if c == text else F.col(c) for c in columns], "_position")
     return out.repartitionByRange("_position", id).sortWithinPartitions("_position", id).drop("_position")

@@ -318,6 +318,20 @@ def test_training_stream_repeated_ids(spark):
     assert max(passes.values()) <= 3
 
 
+def test_pipeline_mixes_whole_texts(spark, docs, rows):
+    import corpus_pipeline
+
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id] += r.taken
+    sizes, times = {r[0]: len(words_of(r[1])) for r in rows}, Counter(r[0] for r in rows)
+    got = corpus_pipeline.mixed(spark, docs, "").collect()
+    assert {r.text for r in got} <= {r[1] for r in rows}
+    passes = Counter(r.doc_id for r in got)
+    assert any(sizes[i] and taken[i] % sizes[i] for i in sizes)
+    assert all(passes[i] == int(taken[i] / sizes[i] + 0.5) for i in sizes if sizes[i] and times[i] == 1)
+
+
 def test_pipeline_keeps_one_row_of_a_group(spark):
     import corpus_pipeline
 
