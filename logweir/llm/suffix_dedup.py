@@ -43,6 +43,10 @@ from .hash_arrays import block_rows, lookup, pack_arrays, unpack_arrays
 
 SPAN, GRAM = 200, 24
 HEAVY, FLUSH_ROWS, MATRIX = 20_000, 10_000, 4_000
+#: Strings over HEAVY anchors are hashed so many at a time.
+WINDOWS = 1 << 18
+#: The symbol of columns outside a row's text: no byte equals it.
+PAD = 256
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -76,7 +80,8 @@ class Anchored:
             np.add.at(inside, self.offsets[1:][good] - span + 1, -1)
             chosen = least[np.cumsum(inside)[:-1] > 0] & ((np.uint64(1) << bits) - np.uint64(1))
             place = np.unique(chosen).astype(np.int64)
-        self.place, self.hash = place, grams[place]
+        # anchors have the least hashes; mixed again, they spread over all buckets
+        self.place, self.hash = place, mix(grams[place])
         self.text = np.searchsorted(self.offsets, place, side="right") - 1
 
 
@@ -121,7 +126,7 @@ def shard(batch: Anchored, pick: np.ndarray, ids: np.ndarray, bits: int, span: i
 def repeated_strings(rows: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """The first and last column where a repeated string of a row starts; first > last if none.
 
-    rows: aligned bytes; group: rows of one anchor are neighbours; left, right: the columns that lie in the text."""
+    rows: aligned symbols, PAD outside the text; group: rows of one anchor are neighbours; left, right: the columns that lie in the text."""
     n, columns = rows.shape
     order = np.arange(n)
     # where the match with the neighbour before begins; a group's first row has none
@@ -129,7 +134,7 @@ def repeated_strings(rows: np.ndarray, group: np.ndarray, left: np.ndarray, righ
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     begin[heads] = columns + 1
     first, last = np.full(n, columns, dtype=np.int64), np.full(n, -1, dtype=np.int64)
-    base = group.astype(np.int64) << 8
+    base = group.astype(np.int64) << 9
     for t in range(columns):
         key = base | rows[order, t]
         if (key[1:] < key[:-1]).any():
@@ -196,7 +201,7 @@ def merge_shards(blocks: pa.Table, span: int = SPAN, gram: int = GRAM) -> pa.Tab
         rows = rows[sizes[group[rows]] > 1]
         if len(rows):
             pick = heads[rows]
-            matrix = np.zeros((len(pick), gram + 2 * reach), np.uint8)
+            matrix = np.full((len(pick), gram + 2 * reach), PAD, np.uint16)
             size = length[pick]
             at = np.repeat(ends[pick] - size, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
             column = np.repeat(reach - left[pick], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
@@ -212,15 +217,20 @@ def merge_shards(blocks: pa.Table, span: int = SPAN, gram: int = GRAM) -> pa.Tab
     return pa.table([pa.array(ids[0][hit]), pa.array(ids[1][hit]), pa.array((start + a - reach)[hit]), pa.array((start + b - reach + span)[hit])], names=["id", "row", "start", "stop"])
 
 
-def window_hashes(batch: Anchored, pick: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The strings over the picked anchors: hash with the place in the row, start in the buffer, text."""
+def window_hashes(batch: Anchored, pick: np.ndarray, span: int = SPAN, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The strings over the picked anchors, each once however many anchors it has, in blocks: hash, start in the buffer, text."""
     place, text = batch.place[pick], batch.text[pick]
     low = np.maximum(place - (span - gram), batch.offsets[text])
     high = np.minimum(place, batch.offsets[text + 1] - span)
-    count = np.maximum(high - low + 1, 0)
-    starts = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    owner = np.repeat(text, count)
-    return span_hash(batch.sums, starts, starts + span), starts, owner
+    real = high >= low
+    inside = np.zeros(len(batch.raw) + 1, dtype=np.int32)
+    np.add.at(inside, low[real], 1)
+    np.add.at(inside, high[real] + 1, -1)
+    np.cumsum(inside, out=inside)
+    for at in range(0, len(inside), WINDOWS):
+        starts = np.flatnonzero(inside[at : at + WINDOWS]) + at
+        if len(starts):
+            yield span_hash(batch.sums, starts, starts + span), starts, np.searchsorted(batch.offsets, starts, side="right") - 1
 
 
 def as_runs(starts: np.ndarray, owner: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,19 +286,17 @@ def intervals(docs: DataFrame, text: str, span: int = SPAN, gram: int = GRAM, he
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, text, most=1 << 20):
             own = encoded(batch)
-            hashes, starts, owner = window_hashes(own, np.flatnonzero(repeated_at(folder, bits, own.hash) > heavy), span, gram)
-            if len(hashes):
-                _, once = np.unique(starts, return_index=True)  # a string over two anchors counts once
-                yield anchor_blocks([hashes[once]], bits)
+            for hashes, _, _ in window_hashes(own, np.flatnonzero(repeated_at(folder, bits, own.hash) > heavy), span, gram):
+                yield anchor_blocks([hashes], bits)
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, text, most=1 << 20):
             own = encoded(batch)
-            hashes, starts, owner = window_hashes(own, np.flatnonzero(repeated_at(folder, bits, own.hash) > heavy), span, gram)
-            again = repeated_at(f"{folder}/windows", bits, hashes) > 1
-            who, a, b = as_runs(starts[again], owner[again], span)
-            first = own.offsets[who]
-            yield pa.record_batch([batch.column("id").take(pa.array(who)), batch.column("row").take(pa.array(who)), pa.array(a - first), pa.array(b - first)], ["id", "row", "start", "stop"])
+            for hashes, starts, owner in window_hashes(own, np.flatnonzero(repeated_at(folder, bits, own.hash) > heavy), span, gram):
+                again = repeated_at(f"{folder}/windows", bits, hashes) > 1
+                who, a, b = as_runs(starts[again], owner[again], span)
+                first = own.offsets[who]
+                yield pa.record_batch([batch.column("id").take(pa.array(who)), batch.column("row").take(pa.array(who)), pa.array(a - first), pa.array(b - first)], ["id", "row", "start", "stop"])
 
     kind = "id bigint, row bigint, start bigint, stop bigint"
     counted = docs.select(text).mapInArrow(gather, "bucket int, block binary").groupBy("bucket").applyInArrow(keep("anchors", heavy + 1), "bucket int, n bigint")

@@ -157,6 +157,34 @@ def test_suffix_dedup(docs, rows, heavy):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == want[r.doc_id], r.doc_id
 
 
+def test_windows_of_low_periods_are_listed_once(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", 1000)
+    texts = [b"a" * 5000, b"ab " * 1000, b"", b"short", bytes(range(256)) * 3]
+    batch = suffix_dedup.Anchored(texts, 60, 12)
+    blocks = list(suffix_dedup.window_hashes(batch, np.arange(len(batch.place)), 60, 12))
+    assert max(len(hashes) for hashes, _, _ in blocks) <= 1000
+    starts, owner = (np.concatenate([b[k] for b in blocks]).tolist() for k in (1, 2))
+    assert list(zip(owner, starts, strict=True)) == [(k, int(batch.offsets[k]) + i) for k, t in enumerate(texts) for i in range(len(t) - 59)]
+
+
+def test_anchors_spread_over_buckets():
+    batch = suffix_dedup.Anchored([np.random.default_rng(3).integers(97, 123, 200_000, np.uint8).tobytes()])
+    share = np.bincount((batch.hash >> np.uint64(60)).astype(np.int64), minlength=16) / len(batch.hash)
+    assert len(batch.hash) > 1000 and share.max() < 2 / 16
+
+
+@pytest.mark.parametrize("heavy", [20_000, 3])
+def test_suffix_dedup_nul_bytes_at_ends(spark, heavy):
+    rng = random.Random(5)
+    middle = "".join(rng.choice("abcdefgh") for _ in range(90))
+    nuls = "\0" * 40
+    texts = [middle, middle + nuls, nuls + middle, "a" * 3000, "a" * 70]
+    strings = Counter(t[i : i + 60] for t in texts for i in range(len(t) - 59))
+    want = {k: sum(any(strings[t[i : i + 60]] > 1 for i in range(max(0, j - 59), min(j, len(t) - 60) + 1)) for j in range(len(t))) for k, t in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df, span=60, gram=12, heavy=heavy).collect()} == want
+
+
 def test_language_id(spark, empty):
     rng = random.Random(1)
     parts = {"aa": ["the", "and", "ing", "wh"], "bb": ["für", "über", "sch", "ung"]}
