@@ -22,6 +22,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -44,6 +45,20 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class Words(dict):
+    """Ids of words by their bytes, learned at the first look; at most CACHE words are kept."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = found = self.learn(word)
+        return found
+
+
 class Encoder:
     """Token ids of texts, as little-endian bytes, by a vocabulary file of the tokenizers library."""
 
@@ -52,61 +67,43 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([end], dtype=self.width).tobytes()
-        self.special = [str(x.content).encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        size = self.tokenizer.get_vocab_size()
+        self.width = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.codes = [k.to_bytes(self.width.itemsize, "little") for k in range(size)]
+        self.end = self.codes[end]
+        special = [str(x.content).encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) or b"(?!)")
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.plain = self._is_plain()
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes | str, bytes] = {}
+        self.ascii = self.plain and not any(x.isalpha() for x in special)
+        self.words, self.pieces, self.tails = Words(self._word), Words(self._letters), Words(self._whole)
 
     def _is_plain(self) -> bool:
         """Whether a lower-case word goes to the model as one piece, which some probes tell."""
         probe = ["hello", "straße", "déjà", "abcdefghij"]
-        return all(self._piece(p) == np.array(self.tokenizer.encode(f"{p.upper()}!" if p != "straße" else f"{p}!", add_special_tokens=False).ids[:-1], dtype=self.width).tobytes() for p in probe)
+        return all(self._letters(p.encode()) == self._whole(f"{p.upper()}!".encode() if p != "straße" else f"{p}!".encode())[: -self.width.itemsize] for p in probe)
 
-    def _piece(self, letters: str) -> bytes:
+    def _letters(self, letters: bytes) -> bytes:
         """Ids of one word of lower-case letters, straight from the model."""
-        found = self.model.tokenize(letters.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in found], dtype=self.width).tobytes()
+        word = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(self.letters)
+        return b"".join([self.codes[t.id] for t in self.model.tokenize(word)])
+
+    def _whole(self, word: bytes) -> bytes:
+        """Ids of any word by the vocabulary's whole chain of steps."""
+        return b"".join([self.codes[k] for k in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
 
-    def _parts(self, word: bytes) -> tuple[str, bytes]:
-        """Letters (Latin, lower-cased) and trailing punctuation, or no letters and the word as it is."""
+    def _word(self, word: bytes) -> bytes:
+        if self.ascii and word.isalpha():  # ASCII letters alone
+            return self.pieces[word.lower()]
         head = word.rstrip(_PUNCTUATION)
-        if self.plain and head and (letters := head.decode().lower()).isalpha() and max(letters) < "\u0250" and not any(s in word for s in self.special):
-            return letters, word[len(head) :]
-        return "", word
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > CACHE:
-            self.words = {}
-        if len(self.pieces) > CACHE:
-            self.pieces = {}
-        parts = {w: self._parts(w) for w in words}
-        pieces = self.pieces
-        new = [p for p in {rest for _, rest in parts.values() if rest} if p not in pieces]
-        for at in range(0, len(new), 4096):
-            block = new[at : at + 4096]
-            for piece, found in zip(block, self.tokenizer.encode_batch_fast([p.decode() for p in block], add_special_tokens=False), strict=True):
-                pieces[piece] = np.array(found.ids, dtype=self.width).tobytes()
-        pieces[b""] = pieces[""] = b""
-        for w, (letters, rest) in parts.items():
-            if letters not in pieces:
-                pieces[letters] = self._piece(letters)
-            self.words[w] = pieces[letters] + pieces[rest]
+        if self.plain and head and (letters := head.decode().lower()).isalpha() and max(letters) < "\u0250" and not self.special.search(word):
+            tail = word[len(head) :]
+            return self.pieces[letters.encode()] + (self.tails[tail] if tail else b"")
+        return self._whole(word)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        seen: set[bytes] = set()
-        for words in split:
-            seen.update(words)
-        unknown = seen - self.words.keys()
-        if unknown:
-            size = len(self.words)
-            self._learn(unknown)
-            if len(self.words) < size:  # the cache was emptied
-                self._learn(seen - self.words.keys())
-        return [b"".join([*map(self.words.__getitem__, words), self.end]) for words in split]
+        ids = self.words.__getitem__
+        return [b"".join([*map(ids, (t or "").encode().split()), self.end]) for t in texts]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
