@@ -73,22 +73,16 @@ def put_file(uri: str, data: bytes) -> None:
             out.write(data)
 
 
-def local_file(uri: str) -> str:
-    """A path that can be memory-mapped: the shared file itself, or a copy beside this worker if the store isn't mounted."""
+def file_bytes(uri: str) -> np.ndarray:
+    """A file's bytes: memory-mapped where the store is mounted, else read."""
     parsed = urlparse(uri)
     if parsed.scheme in ("", "file"):
-        return parsed.path
+        return np.memmap(parsed.path, dtype=np.uint8, mode="r")
     from pyarrow import fs
 
-    path = os.path.join(os.getcwd(), "mapped", parsed.path.strip("/").replace("/", "_"))
-    if not os.path.exists(path):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        store, remote = fs.FileSystem.from_uri(uri)
-        with store.open_input_stream(remote) as src, open(part := f"{path}.{uuid.uuid4().hex}", "wb") as out:
-            while chunk := src.read(8 << 20):
-                out.write(chunk)
-        os.replace(part, path)
-    return path
+    store, remote = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(remote) as src:
+        return np.frombuffer(src.read(), dtype=np.uint8)
 
 
 # --- hashed words in numpy --------------------------------------------------------------------

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, local_file, mix, new_dir, put_file
+from .common import bucket_bits, file_bytes, mix, new_dir, put_file
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
@@ -38,35 +38,42 @@ def block_rows(bucket: np.ndarray, make) -> pa.RecordBatch:
 _mapped: dict[str, list[np.ndarray]] = {}
 
 
+def finish(folder: str, name: str, buckets: list[int]) -> None:
+    """Writes which buckets have a file, at most one number for each; without it, or without such a file, look-ups fail."""
+    put_file(f"{folder}/{name}-buckets.npy", pack_arrays(np.array(sorted(buckets), dtype=np.int64)))
+
+
 def mapped(uri: str) -> list[np.ndarray]:
-    """The arrays of one file, memory-mapped; empty if the bucket has no rows."""
+    """The arrays of one file, memory-mapped where the store is mounted."""
     if uri not in _mapped:
         if len(_mapped) > 4096:
             _mapped.clear()
-        arrays: list[np.ndarray] = []
-        try:
-            path = local_file(uri)
-            size = np.memmap(path, dtype=np.uint8, mode="r").size
-        except FileNotFoundError:
-            size = 0
-        if size:
-            with open(path, "rb") as src:
-                while src.tell() < size:
-                    np.lib.format.read_magic(src)
-                    shape, _, kind = np.lib.format.read_array_header_1_0(src)
-                    arrays.append(np.memmap(path, dtype=kind, mode="r", offset=src.tell(), shape=shape) if shape[0] else np.zeros(0, dtype=kind))
-                    src.seek(src.tell() + shape[0] * kind.itemsize)
+        data = file_bytes(uri)
+        arrays, at = [], 0
+        while at < len(data):
+            src = io.BytesIO(data[at : at + 256].tobytes())
+            np.lib.format.read_magic(src)
+            shape, _, kind = np.lib.format.read_array_header_1_0(src)
+            start, at = at + src.tell(), at + src.tell() + shape[0] * kind.itemsize
+            arrays.append(data[start:at].view(kind))
         _mapped[uri] = arrays
     return _mapped[uri]
 
 
+def bucket_arrays(folder: str, name: str, bucket: int) -> list[np.ndarray]:
+    """The arrays of one bucket; none if it has no rows. Raises if a file is gone."""
+    there = mapped(f"{folder}/{name}-buckets.npy")[0]
+    at = np.searchsorted(there, bucket)
+    return mapped(f"{folder}/{name}-{bucket}.npy") if at < len(there) and there[at] == bucket else []
+
+
 def lookup(folder: str, name: str, bits: int, keys: np.ndarray, columns: int) -> np.ndarray:
     """For sorted keys, the columns beside them in the files `name`, the first being 1 for a file of keys alone; zeros where a key is missing."""
     out = np.zeros((max(columns, 1), len(keys)), dtype=np.int64)
     cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for bucket in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[bucket], cuts[bucket + 1]
-        arrays = mapped(f"{folder}/{name}-{bucket}.npy")
+        arrays = bucket_arrays(folder, name, int(bucket))
         if not arrays or not len(arrays[0]):
             continue
         at = np.minimum(np.searchsorted(arrays[0], keys[a:b]), len(arrays[0]) - 1)
@@ -78,29 +85,88 @@ def lookup(folder: str, name: str, bits: int, keys: np.ndarray, columns: int) ->
     return out
 
 
-def keep_ids(ids: DataFrame) -> tuple[str, int]:
-    """Writes the distinct identifiers of a one-column table as sorted arrays: the folder and the bits of its buckets."""
-    bits, folder = bucket_bits(ids.sparkSession), new_dir(ids.sparkSession, "ids")
+Store = tuple[str, str, int]
+
+
+def keep(rows: DataFrame, name: str, send, write) -> Store:
+    """Exchanges what send(batch, bits) makes of rows by bucket and writes what write(parts) makes of a bucket's blocks: folder, name, bits."""
+    spark = rows.sparkSession
+    bits, folder = bucket_bits(spark), new_dir(spark, name)
 
-    def send(batches):
+    def blocks(batches):
         for batch in batches:
-            keys = np.unique(mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
-            yield block_rows((keys >> np.uint64(64 - bits)).astype(np.int32), lambda a, b: pack_arrays(keys[a:b]))
+            yield send(batch, bits)
+
+    def put(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        put_file(f"{folder}/{name}-{bucket}.npy", pack_arrays(*write([unpack_arrays(b.as_buffer().to_pybytes()) for b in table.column("block")])))
+        return pa.table({"bucket": pa.array([bucket], pa.int32())})
+
+    written = rows.mapInArrow(blocks, "bucket int, block binary").groupBy("bucket").applyInArrow(put, "bucket int")
+    finish(folder, name, [r.bucket for r in written.collect()])
+    return folder, name, bits
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def keep_ids(ids: DataFrame) -> Store:
+    """Writes the distinct identifiers of a one-column table as sorted arrays."""
 
-    def write(blocks: pa.Table) -> pa.Table:
-        bucket = blocks.column("bucket")[0].as_py()
-        keys = np.unique(np.concatenate([unpack_arrays(b.as_buffer().to_pybytes())[0] for b in blocks.column("block")]))
-        put_file(f"{folder}/ids-{bucket}.npy", pack_arrays(keys))
-        return pa.table({"n": pa.array([len(keys)], pa.int64())})
+    def send(batch: pa.RecordBatch, bits: int) -> pa.RecordBatch:
+        keys = np.unique(mix(numbers(batch.column(0))))
+        return block_rows((keys >> np.uint64(64 - bits)).astype(np.int32), lambda a, b: pack_arrays(keys[a:b]))
 
-    ids.mapInArrow(send, "bucket int, block binary").groupBy("bucket").applyInArrow(write, "n bigint").agg(F.sum("n")).first()
-    return folder, bits
+    return keep(ids, "ids", send, lambda parts: [np.unique(np.concatenate([p[0] for p in parts]))])
 
 
-def has_ids(kept: tuple[str, int], ids: np.ndarray) -> np.ndarray:
+def has_ids(kept: Store, ids: np.ndarray) -> np.ndarray:
     """Which of the identifiers keep_ids has. mix() is one to one, so this is exact."""
+    folder, name, bits = kept
     keys = mix(ids.astype(np.int64).view(np.uint64))
     order = np.argsort(keys)
     out = np.zeros(len(keys), dtype=bool)
-    out[order] = lookup(kept[0], "ids", kept[1], keys[order], 0)[0] > 0
+    out[order] = lookup(folder, name, bits, keys[order], 0)[0] > 0
     return out
+
+
+def keep_groups(rows: DataFrame) -> Store:
+    """Writes a table (identifier, number) as sorted arrays: the distinct numbers of each identifier."""
+
+    def send(batch: pa.RecordBatch, bits: int) -> pa.RecordBatch:
+        keys, values = mix(numbers(batch.column(0))), numbers(batch.column(1))
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        return block_rows((keys >> np.uint64(64 - bits)).astype(np.int32), lambda a, b: pack_arrays(keys[a:b], values[a:b]))
+
+    def write(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        keys, values = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.lexsort((values, keys))
+        keys, values = keys[order], values[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (values[1:] != values[:-1])])
+        keys, values = keys[new], values[new]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return [keys[first], np.concatenate([first[1:], [len(keys)]]), values]
+
+    return keep(rows, "groups", send, write)
+
+
+def groups_of(kept: Store, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For identifiers: offsets and their numbers, ascending for each; identifier k has those from offsets[k] to offsets[k + 1]."""
+    folder, name, bits = kept
+    keys = mix(ids.astype(np.int64).view(np.uint64))
+    order = np.argsort(keys)
+    sizes, found = np.zeros(len(keys), dtype=np.int64), {}
+    cuts = np.searchsorted(keys[order] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    for bucket in np.flatnonzero(np.diff(cuts)):
+        arrays = bucket_arrays(folder, name, int(bucket))
+        if not arrays:
+            continue
+        own = order[cuts[bucket] : cuts[bucket + 1]]
+        at = np.minimum(np.searchsorted(arrays[0], keys[own]), len(arrays[0]) - 1)
+        for k, place in zip(own[arrays[0][at] == keys[own]].tolist(), at[arrays[0][at] == keys[own]].tolist(), strict=True):
+            found[k] = arrays[2][int(arrays[1][place - 1]) if place else 0 : int(arrays[1][place])]
+            sizes[k] = len(found[k])
+    flat = [found[k] for k in sorted(found)]
+    return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(flat) if flat else np.zeros(0, np.uint64)

@@ -20,11 +20,14 @@ than one. Equal lists merge. First, each list's smallest document is paired with
 whole texts, and links become components. What a long list still holds outside its smallest document's component, is
 open, is paired with a few delegates of the list first. What is open still meets its lists' members in other
 components by blocks: a task compares the short sketches of two blocks in numpy and gives only pairs that they allow,
-so that a large group of texts just below the threshold makes no rows for its pairs. So every candidate pair is
+so that a large group of texts just below the threshold makes rows for few of its pairs. So every candidate pair is
 compared or already connected, while a large group of near copies costs a few pairs for each document.
 
-Verification compares dense sketches of a bit or two for each shingle first, which lose no link and cost a fiftieth of
-the text, and then joins both texts to a pair that is left and intersects their sets. Texts in no such pair are not
+Two documents share many lists, but only the one with the smallest number among those compares them: the lists of each
+document are kept as sorted arrays, in which a task looks up a pair that its sketches allow. So a pair is given once.
+
+Verification compares dense sketches of four to eight bits for each shingle first, which lose no link and cost a tenth
+of the text, and then joins both texts to a pair that is left and intersects their sets. Texts in no such pair are not
 exchanged: scans look identifiers up in sorted arrays that workers map. Nothing is collected on the driver but counts
 and the order's bounded list of frequent segments.
 
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_bits, cut, hashed_words, mix, pair, small_batches, text_batches
 from .components import components
-from .hash_arrays import block_rows, has_ids, keep_ids, pack_arrays, unpack_arrays
+from .hash_arrays import Store, block_rows, groups_of, has_ids, keep_groups, keep_ids, pack_arrays, unpack_arrays
 
 WORDS, NUM, DEN = 5, 3, 4
 FLUSH, CHUNK = 700_000, 4096
@@ -53,7 +56,7 @@ SAMPLED, FREQUENT, LEAST = 8, 1 << 19, 3
 #: In lists of more than LARGE, what is open is first paired with so many delegates of the list, in so many rounds (cost alone).
 LARGE, DELEGATES, ROUNDS = 32, 8, 1
 #: Lists are compared in blocks of about so many members, by sketches of so many bits at most, so many pairs at a time.
-BLOCK, BRIEF, AT_ONCE = 256, 4096, 1 << 16
+BLOCK, BRIEF, AT_ONCE = 128, 4096, 1 << 16
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
@@ -76,7 +79,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
 
 def segments(hashes: np.ndarray, octave: int) -> np.ndarray:
     """Keys of the sketch's segments that aren't empty; hashes are sorted."""
-    bits = octave + 12 if octave < 8 else octave
+    bits = 64 if octave < 3 else octave + 12 if octave < 8 else octave
     place = hashes >> np.uint64(64 - bits)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     code = np.bitwise_xor.reduceat(mix(hashes), first)
@@ -106,8 +109,8 @@ def prefix_keys(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) ->
     return np.concatenate(out)
 
 def parity_sketch(hashes: np.ndarray, most: int = 1 << 62) -> bytes:
-    """As many bits as the next power of two above the set's size (64 at least), up to most; each shingle flips one."""
-    size = min(max(64, 1 << len(hashes).bit_length()), most)
+    """Four times as many bits as the next power of two above the set's size (256 at least), up to most; each shingle flips one."""
+    size = min(max(256, 4 << len(hashes).bit_length()), most)
     flips = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -333,32 +336,65 @@ def close(x: Members, y: Members, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of open members in x with members in y, of different components, whose sizes and sketches allow a link."""
-    for batch in batches:
-        x, y = Members(batch.column("x")), Members(batch.column("y"))
-        many, others = np.diff(x.offsets).astype(np.int64), np.diff(y.offsets).astype(np.int64)
-        done = np.concatenate([[0], np.cumsum(many * others)])
-        row = 0
-        while row < batch.num_rows:
-            stop = max(row + 1, int(np.searchsorted(done, done[row] + 8 * AT_ONCE, side="right")) - 1)
-            of = np.repeat(np.arange(row, stop), np.diff(done[row : stop + 1]))
-            nth = np.arange(len(of)) + done[row] - done[of]
-            i, j = x.offsets[of] + nth // others[of], y.offsets[of] + nth % others[of]
-            p, q = x.size[i], y.size[j]
-            # a pair of two open members comes in both orders
-            fit = x.open[i] & (x.component[i] != y.component[j]) & (~y.open[j] | (x.id[i] < y.id[j])) & (DEN * np.minimum(p, q) >= NUM * np.maximum(p, q))
-            i, j = i[fit], j[fit]
-            good = close(x, y, i, j)
-            a, b = x.id[i[good]], y.id[j[good]]
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            row = stop
-
-
-def across(rows: DataFrame, classes: DataFrame, few: DataFrame | None = None) -> DataFrame:
+def met_before(left: Store, right: Store, a: np.ndarray, b: np.ndarray, gid: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) that meet in the lists gid share a list with a smaller number, too."""
+    (ids_a, at_a), (ids_b, at_b) = (np.unique(x, return_inverse=True) for x in (a, b))
+    (offsets_a, lists_a), (offsets_b, lists_b) = groups_of(left, ids_a), groups_of(right, ids_b)
+    kinds = np.unique(lists_b)
+    out = np.zeros(len(a), dtype=bool)
+    if not len(kinds):
+        return out
+    have = np.repeat(np.arange(len(ids_b)), np.diff(offsets_b)) * len(kinds) + np.searchsorted(kinds, lists_b)
+    sizes = np.diff(offsets_a)[at_a]
+    done = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(done, done[at] + 8 * AT_ONCE, side="right")) - 1)
+        of = np.repeat(np.arange(at, stop), sizes[at:stop])
+        value = lists_a[offsets_a[at_a[of]] + np.arange(len(of)) + done[at] - done[of]]
+        smaller = value < gid[of]
+        of, value = of[smaller], value[smaller]
+        place = np.minimum(np.searchsorted(kinds, value), len(kinds) - 1)
+        code = at_b[of] * len(kinds) + place
+        hit = (kinds[place] == value) & (have[np.minimum(np.searchsorted(have, code), len(have) - 1)] == code)
+        out[of[hit]] = True
+        at = stop
+    return out
+
+
+def block_pairs(batches: Iterator[pa.RecordBatch], left: Store, right: Store) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of open members in x with members in y, of different components, whose sizes and sketches allow a link, in the first list that they share."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, AT_ONCE // BLOCK**2 * 64):
+            batch = whole.slice(first, AT_ONCE // BLOCK**2 * 64)
+            x, y, gids = Members(batch.column("x")), Members(batch.column("y")), batch.column("gid").to_numpy().view(np.uint64)
+            many, others = np.diff(x.offsets).astype(np.int64), np.diff(y.offsets).astype(np.int64)
+            done = np.concatenate([[0], np.cumsum(many * others)])
+            row = 0
+            while row < batch.num_rows:
+                stop = max(row + 1, int(np.searchsorted(done, done[row] + 8 * AT_ONCE, side="right")) - 1)
+                of = np.repeat(np.arange(row, stop), np.diff(done[row : stop + 1]))
+                nth = np.arange(len(of)) + done[row] - done[of]
+                i, j = x.offsets[of] + nth // others[of], y.offsets[of] + nth % others[of]
+                p, q = x.size[i], y.size[j]
+                # a pair of two open members comes in both orders
+                fit = x.open[i] & (x.component[i] != y.component[j]) & (~y.open[j] | (x.id[i] < y.id[j])) & (DEN * np.minimum(p, q) >= NUM * np.maximum(p, q))
+                i, j, of = i[fit], j[fit], of[fit]
+                good = close(x, y, i, j)
+                a, b, of = x.id[i[good]], y.id[j[good]], of[good]
+                if len(a):
+                    new = ~met_before(left, right, a, b, gids[of])
+                    a, b = a[new], b[new]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                row = stop
+
+
+def across(rows: DataFrame, classes: DataFrame, left: Store, few: DataFrame | None = None) -> DataFrame:
     """Distinct pairs of the lists' open members with members in other components, as far as sizes and sketches allow.
 
-    rows: members with their components; few: the members to compare with, a bounded number in each list, else all."""
+    rows: members with their components; few: the members to compare with, a bounded number in each list, else all;
+    left: the lists of rows' members, by keep_groups, others in which a pair has been compared included."""
+    right = left if few is None else keep_groups(few.select("id", "gid"))
     sketched = lambda x: x.join(classes.select(F.col("rep").alias("id"), "brief"), "id")
     gathered = lambda settled: F.collect_list(F.struct("id", "size", "component", settled, "brief")).alias("rows")
     lists = rows.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.max(~F.col("settled")).alias("open")).where("open")
@@ -368,7 +404,7 @@ def across(rows: DataFrame, classes: DataFrame, few: DataFrame | None = None) ->
     # one of the few counts as settled, so that every open member meets it
     others = blocks if few is None else sketched(few).groupBy("gid").agg(gathered(F.lit(True).alias("settled")))
     met = blocks.where("open").select("gid", F.col("rows").alias("x")).join(others.select("gid", F.col("rows").alias("y")), "gid")
-    return met.select("x", "y").mapInArrow(block_pairs, "a bigint, b bigint").distinct()
+    return met.mapInArrow(lambda batches: block_pairs(batches, left, right), "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -393,11 +429,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id")
     for salt in range(ROUNDS):
         placed = settled(members, links)
         large = members.where(F.col("n") > LARGE).withColumn("_place", F.row_number().over(Window.partitionBy("gid").orderBy(F.xxhash64("id", F.lit(salt)), "id")))
-        few = large.where(F.col("_place") <= DELEGATES).select("gid", "id").join(placed.select("gid", "id", "size", "component"), ["gid", "id"])
-        links = cut(links.union(verified(across(placed.where(~F.col("settled") & (F.col("n") > LARGE)), classes, few), classes, docs, text, id)).distinct(), "links")
+        few = cut(large.where(F.col("_place") <= DELEGATES).select("gid", "id").join(placed.select("gid", "id", "size", "component"), ["gid", "id"]), "delegates")
+        still = placed.where(~F.col("settled") & (F.col("n") > LARGE))
+        links = cut(links.union(verified(across(still, classes, keep_groups(still.select("id", "gid")), few), classes, docs, text, id)).distinct(), "links")
     placed = settled(members, links)
     # leaders have been compared with all
-    more = verified(across(placed.where(F.col("id") != F.col("leader")), classes), classes, docs, text, id)
+    more = verified(across(placed.where(F.col("id") != F.col("leader")), classes, keep_groups(members.select("id", "gid"))), classes, docs, text, id)
     final = components(links.union(more))
     named = classes.select("cid", "rep").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("cid", "rep", F.coalesce("component", "rep").alias("component"))
     # a class has at most one row in each run, and a run only its share of a large class

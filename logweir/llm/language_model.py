@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_bits, cut, hashed_words, mix, new_dir, pair, put_file, text_batches
-from .hash_arrays import block_rows, lookup, pack_arrays, unpack_arrays
+from .hash_arrays import block_rows, finish, lookup, pack_arrays, unpack_arrays
 
 START, END = mix(np.array([0x5354415254, 0x454E44], dtype=np.uint64))
 FLUSH = 1_500_000
@@ -210,7 +210,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         unigrams, stats = merge_pairs(block_table, folder, bits)
         kinds, ends, occurrences = unpack_arrays(unigrams)
         own = block_rows((kinds >> np.uint64(64 - bits)).astype(np.int32), lambda a, b: pack_arrays(kinds[a:b], ends[a:b], occurrences[a:b]))
-        rows = pa.table({"bucket": own.column("bucket"), "block": own.column("block")})
+        rows = pa.table({"own": pa.array([stats[0]] * own.num_rows, pa.int32()), "bucket": own.column("bucket"), "block": own.column("block")})
         for k, name in enumerate(f.split()[0] for f in STATS.split(", ")[1:]):
             rows = rows.append_column(name, pa.array([stats[k + 1]] + [0] * (rows.num_rows - 1), pa.int64()))
         return rows
@@ -226,10 +226,14 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     sums = STATS.split(", ")[1:]
     # the first exchange's results are kept, as two things are made of them
     blocks = docs.select(text).mapInArrow(count, "bucket int, block binary")
-    firsts = cut(blocks.groupBy("bucket").applyInArrow(merge, "bucket int, block binary, " + ", ".join(sums)), "unigrams")
+    firsts = cut(blocks.groupBy("bucket").applyInArrow(merge, "own int, bucket int, block binary, " + ", ".join(sums)), "unigrams")
     names = [f.split()[0] for f in sums]
     high = firsts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
-    low = firsts.select("bucket", "block").groupBy("bucket").applyInArrow(merge_words, STATS).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    for name in ("pairs", "before"):
+        finish(folder, name, [r.own for r in firsts.select("own").distinct().collect()])
+    written = F.collect_list("bucket").alias("written")  # at most 2 ** bits
+    low = firsts.select("bucket", "block").groupBy("bucket").applyInArrow(merge_words, STATS).agg(written, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    finish(folder, "words", low.written)
     pairs, words = Order((high.n1, high.n2, high.n3, high.n4)), Order((low.n1, low.n2, low.n3, low.n4))
     d = words.discounts()
     rest = (d[1] * low.n1 + d[2] * low.n2 + d[3] * (low.kinds - low.n1 - low.n2)) / max(low.total, 1)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_bits, mix, new_dir, pair, powers, prefix_sums, put_file, span_hash, text_batches
-from .hash_arrays import block_rows, lookup, pack_arrays, unpack_arrays
+from .hash_arrays import block_rows, finish, lookup, pack_arrays, unpack_arrays
 
 SPAN, GRAM = 200, 24
 HEAVY, FLUSH_ROWS, MATRIX = 20_000, 10_000, 4_000
@@ -300,11 +300,14 @@ def intervals(docs: DataFrame, text: str, span: int = SPAN, gram: int = GRAM, he
 
     kind = "id bigint, row bigint, start bigint, stop bigint"
     counted = docs.select(text).mapInArrow(gather, "bucket int, block binary").groupBy("bucket").applyInArrow(keep("anchors", heavy + 1), "bucket int, n bigint")
-    hot = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    written = F.collect_list("bucket").alias("written")  # at most 2 ** bits
+    anchors = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hot"), written).first()
+    finish(folder, "anchors", anchors.written)
+    hot = anchors.hot
     found = docs.select("id", "row", text).mapInArrow(rows, "bucket int, block binary").groupBy("bucket").applyInArrow(lambda t: merge_shards(t, span, gram), kind)
     if hot:
         again = docs.select(text).mapInArrow(windows, "bucket int, block binary").groupBy("bucket").applyInArrow(keep("windows/anchors", 2), "bucket int, n bigint")
-        again.agg(F.sum("n")).first()
+        finish(f"{folder}/windows", "anchors", again.agg(written).first().written)
         found = found.union(docs.select("id", "row", text).mapInArrow(covered, kind))
     return found
 

@@ -1,15 +1,17 @@
 """Each corpus operator against a brute-force version on a small table with nulls, ties, repeats and long texts."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logweir.llm import exact_dedup, jaccard_join, language_id, language_model, licenses, mixing, packing, quality_classifier, quality_rules, suffix_dedup
+from logweir.llm import exact_dedup, hash_arrays, jaccard_join, language_id, language_model, licenses, mixing, packing, quality_classifier, quality_rules, suffix_dedup
 from logweir.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, score double"
@@ -397,3 +399,39 @@ def test_pipeline(spark, rows, tmp_path):
     assert {r.doc_id for r in seen["near dedup"].collect()} == set(want.values()) and len(left) > len(set(want.values()))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count() > 0
     assert seen["packing"].agg(F.sum("length")).first()[0] == seen["packing"].groupBy("doc_id", "start", "sequence_id", "offset").agg(F.first("length").alias("n")).agg(F.sum("n")).first()[0]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_jaccard_join_by_blocks(spark, monkeypatch, few):
+    """A group of near copies about the threshold, in lists of several blocks, with and without delegates."""
+    for name, value in (("LARGE", 4 if few else 10**6), ("DELEGATES", 2), ("BLOCK", 8)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for k in range(90):
+        near = list(base[: rng.randint(75, 90)])
+        for _ in range(rng.randint(1, 4)):
+            near[rng.randrange(len(near))] = f"x{k}"
+        texts.append(" ".join(near))
+    rows = list(enumerate(texts))
+    _, want = brute_components(rows)
+    assert 2 < len(set(want.values())) < 80
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_a_pair_is_given_in_its_first_list(spark, tmp_path):
+    rows = [(a, g) for g, ids in enumerate([[1, 2, 3], [2, 3], [1, 3, 4], [1, 2, 3, 4]]) for a in ids]
+    store = hash_arrays.keep_groups(spark.createDataFrame(rows, "id bigint, gid bigint").repartition(3))
+    lists = defaultdict(set)
+    for a, g in rows:
+        lists[a].add(g)
+    pairs = [(a, b, g) for a in lists for b in lists for g in lists[a] & lists[b] if a != b]
+    a, b, g = (np.array(x) for x in zip(*pairs, strict=True))
+    found = jaccard_join.met_before(store, store, a, b, g.astype(np.uint64))
+    assert found.tolist() == [min(lists[a] & lists[b]) < g for a, b, g in pairs]
+    os.remove(next(str(p) for p in sorted(Path(store[0].removeprefix("file:")).glob("groups-*.npy")) if "buckets" not in p.name))
+    hash_arrays._mapped.clear()
+    with pytest.raises(FileNotFoundError):
+        hash_arrays.groups_of(store, np.arange(10))
