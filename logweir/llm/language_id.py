@@ -1,18 +1,18 @@
 """Language ID: a bidirectional gated recurrent network over bytes labels every position; documents pool the labels.
 
-A text's bytes (A-Z lower-cased) are read in frames of four and windows of 48 frames; windows cover the whole text
-and start from an empty state, so that any length is read in parallel and in bounded memory. Each direction has gates
+A text's bytes (A-Z lower-cased) are read one by one in windows of LENGTH bytes, which cover the whole text and start
+from an empty state, so that any length is read in parallel and in bounded memory. Each direction has one gate (a
+light gated unit: no reset gate, so that a step is one product and one tanh):
 
-    z = sigmoid(x_z + h U_z)    r = sigmoid(x_r + h U_r)    n = tanh(x_n + r * (h U_n))    h' = z * h + (1 - z) * n
+    a = tanh(X[byte] + U h + c)    z = (1 + a[first half]) / 2    n = a[second half]    h' = z * h + (1 - z) * n
 
-where x is the sum of one learned vector for each byte of the frame and its place. Every frame, and so every byte of
-it, gets log probabilities of the languages from both directions' states. A document's probabilities are the softmax
-of the sum of its frames' log odds, tempered by the square root of their number.
+Every byte gets log probabilities of the languages from both directions' states. A document's probabilities are the
+softmax of the sum of its bytes' log probabilities, tempered by the square root of their number.
 
 Training is numpy backpropagation through time on the driver, over a bounded sample: for each language the documents
 with the smallest hash, PER_LANGUAGE at most, and from each WINDOWS windows at hashed places of the whole text. The
-sample is cut to those windows on the executors; its size does not grow with the corpus. There are at most
-LANGUAGES languages, the most frequent ones of the sample's candidates.
+sample is cut to those windows on the executors; its size does not grow with the corpus: of more than LANGUAGES full
+languages, the rows with the smallest hashes stay, PER_LANGUAGE * LANGUAGES in all.
 
 A text that is null or has no letter is `und` with score 0. Null languages are not learned from; if there is nothing
 to learn from, every text is `und`. Null identifiers count as held out. Rows that repeat are labelled one by one;
@@ -28,115 +28,105 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import ascii_lower, text_batches
 
-FRAME, LENGTH, HIDDEN = 4, 48, 12
-SPAN = FRAME * LENGTH
-PER_LANGUAGE, WINDOWS, LANGUAGES = 1200, 2, 256
+LENGTH, HIDDEN = 192, 8
+#: A window function with a limit up to 1000 is cut before its exchange.
+PER_LANGUAGE, WINDOWS, LANGUAGES = 1000, 2, 256
 EPOCHS, BATCH, RATE, SEED = 8, 256, 0.01, 7
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+#: Windows are labelled so many at a time.
+AT_ONCE = 1024
 
 
 class Network:
-    """Parameters by name; forward() and backward() over windows of bytes."""
+    """Parameters by name; forward() and backward() over windows of bytes. Arrays are (time, units, windows)."""
 
     def __init__(self, languages: list[str], seed: int = SEED):
         rng = np.random.default_rng(seed)
         normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
         self.languages = languages
-        self.p = {"out": normal(2 * HIDDEN, len(languages), scale=0.3), "bias": np.zeros(len(languages), np.float32)}
+        self.p = {"out": normal(len(languages), 2 * HIDDEN, scale=0.3), "bias": np.zeros(len(languages), np.float32)}
         for way in ("f", "b"):
-            self.p["x" + way] = normal(FRAME, 256, 3 * HIDDEN, scale=0.3)
-            self.p["u" + way] = normal(HIDDEN, 3 * HIDDEN, scale=0.3)
-            self.p["c" + way] = np.zeros(3 * HIDDEN, np.float32)
-
-    def _inputs(self, frames: np.ndarray, way: str) -> np.ndarray:
-        """frames: (time, windows, FRAME). The gates' inputs (time, windows, 3 * HIDDEN)."""
-        table = self.p["x" + way]
-        x = table[0].take(frames[..., 0], axis=0)
-        for k in range(1, FRAME):
-            x += table[k].take(frames[..., k], axis=0)
-        x += self.p["c" + way]
-        return x
-
-    def _run(self, frames: np.ndarray, mask: np.ndarray, way: str, kept: list | None) -> np.ndarray:
+            self.p["x" + way] = normal(2 * HIDDEN, 256, scale=0.5)
+            self.p["u" + way] = normal(2 * HIDDEN, HIDDEN, scale=0.3)
+            self.p["c" + way] = np.concatenate([np.ones(HIDDEN), np.zeros(HIDDEN)]).astype(np.float32)
+
+    def _run(self, text: np.ndarray, mask: np.ndarray, way: str, states: np.ndarray, kept: list | None) -> None:
+        """Fills states with one direction's."""
         steps, n = mask.shape
-        x, u = self._inputs(frames, way), self.p["u" + way]
-        states = np.zeros((steps, n, HIDDEN), np.float32)
-        h = np.zeros((n, HIDDEN), np.float32)
+        table, u = self.p["x" + way] + self.p["c" + way][:, None], self.p["u" + way]
+        h = np.zeros((HIDDEN, n), table.dtype)
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-            hu = h @ u
-            zr = sigmoid(x[t, :, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            candidate = np.tanh(x[t, :, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
+            a = u @ h
+            a += table.take(text[t], axis=1)
+            np.tanh(a, out=a)
+            z = a[:HIDDEN] + 1
+            z *= 0.5
             if kept is not None:
-                kept.append((t, h, z, r, candidate, hu[:, 2 * HIDDEN :]))
-            h = candidate + z * (h - candidate)
-            h *= mask[t][:, None]
-            states[t] = h
-        return states
-
-    def forward(self, frames: np.ndarray, mask: np.ndarray, tape: dict | None = None) -> np.ndarray:
-        """Log probabilities (time, windows, languages)."""
+                kept.append((t, h, a))
+            new = h - a[HIDDEN:]
+            new *= z
+            new += a[HIDDEN:]
+            new *= mask[t]
+            states[t] = h = new
+
+    def forward(self, text: np.ndarray, mask: np.ndarray, tape: dict | None = None) -> np.ndarray:
+        """Log probabilities (time, languages, windows)."""
         kept = {"f": [], "b": []} if tape is not None else {"f": None, "b": None}
-        states = [self._run(frames, mask, way, kept[way]) for way in ("f", "b")]
-        both = np.concatenate(states, axis=2)
-        logits = both @ self.p["out"] + self.p["bias"]
-        logits -= logits.max(axis=2, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        both = np.empty((len(mask), 2 * HIDDEN, mask.shape[1]), self.p["out"].dtype)
+        for k, way in enumerate(("f", "b")):
+            self._run(text, mask, way, both[:, k * HIDDEN : (k + 1) * HIDDEN], kept[way])
+        logits = self.p["out"] @ both
+        logits += self.p["bias"][:, None]
+        logits -= logits.max(axis=1, keepdims=True)
+        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         if tape is not None:
             tape |= {"kept": kept, "both": both}
         return logits
 
-    def backward(self, frames: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def backward(self, text: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over positions and its gradients."""
         tape: dict = {}
-        logp = self.forward(frames, mask, tape)
+        d = self.forward(text, mask, tape)
         weight = (mask / mask.sum()).astype(np.float32)
-        loss = -float((logp[:, np.arange(len(labels)), labels] * weight).sum())
-        d = np.exp(logp)
-        d[:, np.arange(len(labels)), labels] -= 1
-        d *= weight[..., None]
-        flat = tape["both"].reshape(-1, 2 * HIDDEN)
-        grads = {"out": flat.T @ d.reshape(-1, d.shape[2]), "bias": d.sum(axis=(0, 1))}
-        d_both = d @ self.p["out"].T
+        own = np.arange(len(labels))
+        loss = -float((d[:, labels, own] * weight).sum())
+        np.exp(d, out=d)
+        d[:, labels, own] -= 1
+        d *= weight[:, None]
+        grads = {"out": np.einsum("tln,tun->lu", d, tape["both"], optimize=True), "bias": d.sum(axis=(0, 2))}
+        d_both = self.p["out"].T @ d
         for k, way in enumerate(("f", "b")):
-            d_states, u = d_both[..., k * HIDDEN : (k + 1) * HIDDEN], self.p["u" + way]
-            d_x = np.zeros((*mask.shape, 3 * HIDDEN), np.float32)
-            d_u = np.zeros_like(u)
-            carry = np.zeros(d_states.shape[1:], np.float32)
-            for t, h, z, r, candidate, hun in reversed(tape["kept"][way]):
-                dh = (d_states[t] + carry) * mask[t][:, None]
-                d_candidate = dh * (1 - z) * (1 - candidate * candidate)
-                d_z = dh * (h - candidate) * z * (1 - z)
-                d_r = d_candidate * hun * r * (1 - r)
-                d_gates = np.concatenate([d_z, d_r, d_candidate], axis=1)
-                d_x[t] = d_gates
-                d_hu = np.concatenate([d_z, d_r, d_candidate * r], axis=1)
-                d_u += h.T @ d_hu
-                carry = dh * z + d_hu @ u.T
-            grads["u" + way], grads["c" + way] = d_u, d_x.sum(axis=(0, 1))
-            grads["x" + way] = np.zeros_like(self.p["x" + way])
-            for j in range(FRAME):
-                np.add.at(grads["x" + way][j], frames[..., j].ravel(), d_x.reshape(-1, 3 * HIDDEN))
+            d_states, u = d_both[:, k * HIDDEN : (k + 1) * HIDDEN], self.p["u" + way]
+            d_x = np.empty((len(mask), 2 * HIDDEN, len(labels)), u.dtype)
+            d_u, carry = np.zeros_like(u), np.zeros(d_states.shape[1:], u.dtype)
+            for t, h, a in reversed(tape["kept"][way]):
+                dh = (d_states[t] + carry) * mask[t]
+                z, candidate = 0.5 * a[:HIDDEN] + 0.5, a[HIDDEN:]
+                d_a = d_x[t]
+                d_a[:HIDDEN] = 0.5 * dh * (h - candidate)
+                d_a[HIDDEN:] = dh * (1 - z)
+                d_a *= 1 - a * a
+                d_u += d_a @ h.T
+                carry = dh * z + u.T @ d_a
+            flat, bytes_ = d_x.transpose(1, 0, 2).reshape(2 * HIDDEN, -1), text.ravel()
+            grads["u" + way], grads["c" + way] = d_u, flat.sum(axis=1)
+            grads["x" + way] = np.stack([np.bincount(bytes_, row, 256) for row in flat])
         return loss, grads
 
 
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """frames (time, windows, FRAME), mask (time, windows) and each window's text."""
-    counts = np.array([-(-len(t) // SPAN) for t in texts], dtype=np.int64)
-    raw = np.zeros((int(counts.sum()), SPAN), np.uint8)
+    """Bytes (time, windows), mask (time, windows) and each window's text."""
+    counts = np.array([-(-len(t) // LENGTH) for t in texts], dtype=np.int64)
+    raw = np.zeros((int(counts.sum()), LENGTH), np.uint8)
     at = np.concatenate([[0], np.cumsum(counts)])
     flat = raw.reshape(-1)
     for t, first in zip(texts, at[:-1], strict=True):
-        flat[first * SPAN : first * SPAN + len(t)] = np.frombuffer(t, np.uint8)
+        flat[first * LENGTH : first * LENGTH + len(t)] = np.frombuffer(t, np.uint8)
     owner = np.repeat(np.arange(len(texts)), counts)
-    left = np.array([len(t) for t in texts], dtype=np.int64)[owner] - (np.arange(len(owner)) - at[:-1][owner]) * SPAN
-    mask = (np.arange(LENGTH)[:, None] * FRAME < left).astype(np.float32)
-    return np.ascontiguousarray(raw.reshape(-1, LENGTH, FRAME).transpose(1, 0, 2)), mask, owner
+    left = np.array([len(t) for t in texts], dtype=np.int64)[owner] - (np.arange(len(owner)) - at[:-1][owner]) * LENGTH
+    mask = (np.arange(LENGTH)[:, None] < left).astype(np.float32)
+    return np.ascontiguousarray(raw.T), mask, owner
 
 
 def fit(samples: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
@@ -147,7 +137,7 @@ def fit(samples: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = SEED
         return None
     network, rng = Network(languages, seed), np.random.default_rng(seed)
     code = {lang: k for k, lang in enumerate(languages)}
-    frames, mask, owner = windows_of([b for b, _ in samples])
+    text, mask, owner = windows_of([b for b, _ in samples])
     labels = np.array([code[lang] for _, lang in samples])[owner]
     m = {k: np.zeros_like(v) for k, v in network.p.items()}
     v = {k: np.zeros_like(v) for k, v in network.p.items()}
@@ -156,7 +146,7 @@ def fit(samples: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = SEED
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            _, grads = network.backward(frames[:, pick], mask[:, pick], labels[pick])
+            _, grads = network.backward(text[:, pick], mask[:, pick], labels[pick])
             step += 1
             rate = RATE * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, g in grads.items():
@@ -172,14 +162,15 @@ def held_out(id: str, parts: int = 5) -> Column:
 
 def sample(docs: DataFrame, text: str, id: str, lang: str, per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
     """Windows of the labelled sample, cut on the executors."""
-    span, size = SPAN, F.octet_length("_text")
-    rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(id)).alias("_hash"))
+    span, size = LENGTH, F.octet_length("_text")
+    rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(ascii_lower(F.col(text)).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(id)).alias("_hash"))
     narrow = rows.select("_lang", "_hash", *[
         F.substring(F.encode("_text", "UTF-8"), (F.pmod(F.xxhash64("_hash", F.lit(k)), F.greatest(size - span + 1, F.lit(1))) + 1).cast("int"), F.lit(span)).alias(f"_w{k}") for k in range(WINDOWS)
     ])
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
+    order = ["_hash", *[f"_w{k}" for k in range(WINDOWS)]]  # identifiers may repeat
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(*order))
     taken = narrow.withColumn("_place", place).where(F.col("_place") <= per_language).drop("_place")
-    most = taken.orderBy("_hash", "_lang").limit(per_language * LANGUAGES)
+    most = taken.orderBy(*order, "_lang").limit(per_language * LANGUAGES)
     return [(bytes(r[f"_w{k}"]), r["_lang"]) for r in most.select("_lang", *[f"_w{k}" for k in range(WINDOWS)]).toLocalIterator() for k in range(WINDOWS)]
 
 
@@ -189,32 +180,30 @@ def label_texts(network: Network | None, texts: list[str | None]) -> tuple[list[
     if not live:
         return langs, scores
     data = [texts[i].encode("utf-8", "surrogatepass").lower() for i in live]
-    total, frames_of = np.zeros((len(live), len(network.languages))), np.zeros(len(live))
-    # windows of long texts are read 4096 at a time
+    total, size = np.zeros((len(live), len(network.languages))), np.array([len(b) for b in data])
+    # long texts are read AT_ONCE windows at a time
     block: list[bytes] = []
     owner: list[int] = []
 
     def flush() -> None:
         if block:
-            frames, mask, own = windows_of(block)
-            odds = (network.forward(frames, mask) * mask[..., None]).sum(axis=0)
-            at = np.array(owner)[own]
-            np.add.at(total, at, odds)
-            np.add.at(frames_of, at, mask.sum(axis=0))
+            found, mask, own = windows_of(block)
+            sums = np.einsum("tln,tn->nl", network.forward(found, mask), mask, optimize=True)
+            np.add.at(total, np.array(owner)[own], sums)
             block.clear()
             owner.clear()
 
     held = 0
     for k, b in enumerate(data):
-        for at in range(0, len(b), 4096 * SPAN):
-            block.append(b[at : at + 4096 * SPAN])
+        for at in range(0, len(b), AT_ONCE * LENGTH):
+            block.append(b[at : at + AT_ONCE * LENGTH])
             owner.append(k)
-            held += -(-len(block[-1]) // SPAN)
-            if held >= 4096:
+            held += -(-len(block[-1]) // LENGTH)
+            if held >= AT_ONCE:
                 flush()
                 held = 0
     flush()
-    pooled = total / np.sqrt(frames_of)[:, None]
+    pooled = total / np.sqrt(size)[:, None]
     pooled -= pooled.max(axis=1, keepdims=True)
     chance = np.exp(pooled)
     chance /= chance.sum(axis=1, keepdims=True)

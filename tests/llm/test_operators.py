@@ -202,18 +202,18 @@ def test_language_id(spark, empty):
 
 def test_gradients():
     network = language_id.Network(["a", "b"], 3)
-    frames, mask, owner = language_id.windows_of([b"hello wor", b"xy", bytes(range(97, 122)) * 9])
+    text, mask, owner = language_id.windows_of([b"hello wor", b"xy", bytes(range(97, 122)) * 9])
     labels = np.array([0, 1, 1])[owner]
     for k in network.p:
         network.p[k] = network.p[k].astype(np.float64)
-    _, grads = network.backward(frames, mask, labels)
+    _, grads = network.backward(text, mask, labels)
     for name in ("out", "bias", "xf", "xb", "uf", "ub", "cf", "cb"):
         at = np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
         step = 1e-3
         network.p[name][at] += step
-        up = network.backward(frames, mask, labels)[0]
+        up = network.backward(text, mask, labels)[0]
         network.p[name][at] -= 2 * step
-        down = network.backward(frames, mask, labels)[0]
+        down = network.backward(text, mask, labels)[0]
         network.p[name][at] += step
         assert abs((up - down) / (2 * step) - grads[name][at]) < 1e-3 * max(1, abs(grads[name][at])), name
 
