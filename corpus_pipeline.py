@@ -1,4 +1,6 @@
-"""The corpus pipeline: each stage works on the documents that the one before has kept."""
+"""The corpus pipeline: each stage works on the documents that the one before has kept.
+
+Documents may have further columns, of any name; they travel in a struct beside what an operator adds."""
 
 from __future__ import annotations
 
@@ -10,29 +12,30 @@ from logweir.llm.common import keyed, new_dir, table
 from logweir.llm.queries import vocabulary
 
 
-def only(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents whose row key is in rows (column _row), without the key."""
-    return docs.join(rows, "_row", "left_semi").drop("_row")
+def only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents of keyed rows whose key is in kept (column _row)."""
+    return rows.join(kept, "_row", "left_semi").select("_doc.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules pass."""
-    return quality_rules.apply_rules(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_doc"), "text")
+    return quality_rules.apply_rules(whole, keep=("_doc",)).where("kept").select("_doc.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest identifier; one row, though identifiers repeat or are null."""
-    docs = keyed(docs)
-    named = docs.select(F.struct("doc_id", "_row").alias("_name"), "text")
-    return only(docs, exact_dedup.exact_dedup(named, id="_name", keep="largest").where("kept").select("_name._row"))
+    rows = keyed(docs)
+    named = rows.select(F.struct("_doc.doc_id", "_row").alias("_name"), "_doc.text")
+    return only(rows, exact_dedup.exact_dedup(named, id="_name", keep="largest").where("kept").select("_name._row"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that similar ones connect, the one with the smallest identifier; one row, though identifiers repeat or are null."""
-    docs = keyed(docs)
-    found = jaccard_join.jaccard_components(docs, id="_row").select("_row", "component_id")
+    rows = keyed(docs)
+    found = jaccard_join.jaccard_components(rows.select("_row", "_doc.text"), id="_row").select("_row", "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
-    return only(docs, found.join(docs.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first).select("first._row"))
+    return only(rows, found.join(rows.select("_row", "_doc.doc_id"), "_row").groupBy("component_id").agg(first).select("first._row"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,8 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key for each row (_row), written once so that every read finds the same keys."""
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    """Each row of docs as a struct (_doc) with a key (_row), written once so that every read finds the same keys."""
+    return cut(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "keyed")
+
+
+def need_integers(docs: DataFrame, id: str) -> None:
+    """Raises where identifiers are not whole numbers of at most 64 bits."""
+    kind = docs.schema[id].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id} is {kind}: identifiers must be integers; key other rows with keyed()")
 
 
 def ascii_lower(text: Column) -> Column:

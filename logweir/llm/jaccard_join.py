@@ -32,7 +32,7 @@ exchanged: scans look identifiers up in sorted arrays that workers map. Nothing
 and the order's bounded list of frequent segments.
 
 Null and empty texts have no shingles, size 0, and stand alone; so do null identifiers, whose component is null.
-Fewer than five words are one shingle. Rows that repeat an identifier and text are linked; other columns are ignored.
+Identifiers are integers, others raise TypeError. Fewer than five words are one shingle. Rows that repeat an identifier and text are linked; other columns are ignored.
 A hash of 64 bits errs with a chance of about n^2 / 2^65 for n different shingles.
 """
 
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, cut, hashed_words, mix, pair, small_batches, text_batches
+from .common import bucket_bits, cut, hashed_words, mix, need_integers, pair, small_batches, text_batches
 from .components import components
 from .hash_arrays import Store, block_rows, groups_of, has_ids, keep_groups, keep_ids, pack_arrays, unpack_arrays
 
@@ -409,6 +409,7 @@ def across(rows: DataFrame, classes: DataFrame, left: Store, few: DataFrame | No
 
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id that it reaches by links), class_id (the smallest id with the same set)."""
+    need_integers(docs, id)
     spark = docs.sparkSession
     small_batches(spark, 400)
     runs = 1 << bucket_bits(spark, 6)

@@ -99,17 +99,18 @@ def training_stream(docs: DataFrame, text: str = "text", id: str = "doc_id", sou
     A last pass that the target cuts short keeps the first words of its text, joined by single spaces; if `whole`, it is
     taken whole or not at all, whichever is nearer to the target, so that all texts stay as they are. Rows are known by a
     key of their own, so that identifiers may repeat or be null."""
-    columns, docs = docs.columns, keyed(docs)
-    rows = placed(docs, text, id, source, weights, slopes, most, key=["_row"]).where("_taken > 0")
+    columns, rows = docs.columns, keyed(docs)
+    narrow = rows.select("_row", *[F.col("_doc")[c].alias(c) for c in (id, source, text)])
+    taken = placed(narrow, text, id, source, weights, slopes, most, key=["_row"]).where("_taken > 0")
     if whole:
-        rows = rows.withColumn("_taken", F.expr("(2 * _taken + _size) div (2 * _size) * _size")).where("_taken > 0")
-    passes = rows.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_taken") / F.col("_size")) - 1).cast("int"))).alias("_pass"))
+        taken = taken.withColumn("_taken", F.expr("(2 * _taken + _size) div (2 * _size) * _size")).where("_taken > 0")
+    passes = taken.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_taken") / F.col("_size")) - 1).cast("int"))).alias("_pass"))
     timed = passes.select(
         "_row", F.least(F.col("_size"), F.col("_taken") - F.col("_pass") * F.col("_size")).alias("_words"), "_size",
         position(F.col("_start") + F.col("_pass") * F.col("_source_size")).alias("_position"),
     )
-    joined = docs.join(timed, "_row")
-    first = F.array_join(F.slice(words_of(F.col(text)), F.lit(1), F.col("_words").cast("int")), " ")
-    part = F.col(text) if whole else F.when(F.col("_words") == F.col("_size"), F.col(text)).otherwise(first)
-    out = joined.select(*[part.alias(text) if c == text else F.col(c) for c in columns], "_position")
-    return out.repartitionByRange("_position", id).sortWithinPartitions("_position", id).drop("_position")
+    own = F.col("_doc")[text]
+    first = F.array_join(F.slice(words_of(own), F.lit(1), F.col("_words").cast("int")), " ")
+    part = own if whole else F.when(F.col("_words") == F.col("_size"), own).otherwise(first)
+    out = rows.join(timed, "_row").select("_position", F.struct(*[(part if c == text else F.col("_doc")[c]).alias(c) for c in columns]).alias("_doc"))
+    return out.repartitionByRange("_position", F.col("_doc")[id]).sortWithinPartitions("_position", F.col("_doc")[id]).select("_doc.*")

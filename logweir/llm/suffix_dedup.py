@@ -24,7 +24,7 @@ hash, with equal hashes in a task sent once, so that no task holds all of an anc
 
 Strings are judged on the input and never cross documents. Null and empty texts, and those under SPAN bytes, lose
 nothing. A row is known by its identifier and text: repeated rows remove each other, as copies do. Null identifiers
-are allowed; other columns are ignored. Hashes of 64 bits for anchors only choose rows to compare; HEAVY strings are
+are allowed, identifiers that aren't integers raise TypeError; other columns are ignored. Hashes of 64 bits for anchors only choose rows to compare; HEAVY strings are
 compared by 64-bit hashes within one anchor.
 """
 
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, mix, new_dir, pair, powers, prefix_sums, put_file, span_hash, text_batches
+from .common import bucket_bits, mix, need_integers, new_dir, pair, powers, prefix_sums, put_file, span_hash, text_batches
 from .hash_arrays import block_rows, finish, lookup, pack_arrays, unpack_arrays
 
 SPAN, GRAM = 200, 24
@@ -336,6 +336,7 @@ def without(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
 
 def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", span: int = SPAN, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that are left."""
+    need_integers(docs, id)
     keyed = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("row"))
     # null identifiers are told apart by their text alone
     found = intervals(keyed.withColumn("id", F.coalesce("id", F.lit(-(2**63)))), "text", span, gram, heavy)

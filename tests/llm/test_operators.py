@@ -435,3 +435,37 @@ def test_a_pair_is_given_in_its_first_list(spark, tmp_path):
     hash_arrays._mapped.clear()
     with pytest.raises(FileNotFoundError):
         hash_arrays.groups_of(store, np.arange(10))
+
+
+def test_pipeline_with_clashing_columns(spark):
+    """Columns named like those that operators add, nulls, empty and repeated rows, and an empty table pass every stage."""
+    import corpus_pipeline
+
+    names = ["_id", "kept", "_words", "_row", "row", "_doc", "_position", "n_words", "_size", "component_id", "_keep_text"]
+    prose = lambda k: " ".join(["the", "of", "and"] + [f"w{k}x{j}" for j in range(60)])
+    data = [(k, prose(k % 6), "en", ["s", None, "t"][k % 3], 1) for k in range(12)] + [(None, None, None, None, None), (3, "", "en", "s", 0), (None, prose(9), None, None, None)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name in names:
+        df = df.withColumn(name, F.lit(f"own {name}"))
+    for docs, sizes in ((df.repartition(3), [13, 7, 7]), (df.where("false"), [0, 0, 0])):
+        for (_, stage), size in zip(corpus_pipeline.STAGES, [*sizes, None, None], strict=True):
+            before, docs = docs.columns, stage(spark, docs, "")
+            rows = docs.collect()
+            assert size is None or len(rows) == size
+            assert "sequence_id" in docs.columns or docs.columns == before and all(r[n] == f"own {n}" for r in rows for n in names)
+            docs = spark.createDataFrame(rows, docs.schema)
+        assert (len(rows) > 0) == (sizes[0] > 0)
+
+
+def test_identifiers_that_are_not_integers(spark, docs):
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    for operator in (jaccard_join.jaccard_components, suffix_dedup.remove_repeats):
+        with pytest.raises(TypeError):
+            operator(named)
+    got = exact_dedup.exact_dedup(named).collect()
+    assert len(got) == docs.count() and language_model.score_corpus(named).count() == len(got) and mixing.mix(named).count() == len(got)
+
+
+def test_runs_are_merged_in_order(docs):
+    plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") >= 6  # other aggregates only list the digests of each run
