@@ -333,7 +333,7 @@ ORACLE_SQL: dict[str, str] = {
     "approx_bytes": f"{_ROWS} SELECT sum(octet_length(encode(raw)))::BIGINT AS bytes FROM l",
     "levels": f"""{_EVENTS}, x AS (SELECT (['ERROR', 'WARN', 'INFO', 'DEBUG', 'TRACE', '—'])[1 + {_LEVEL}] AS by_word, event_id % 8 * 10 - 5 AS n FROM e)
         SELECT by_word, CASE WHEN n >= 50 THEN 'ERROR' WHEN n >= 40 THEN 'WARN' WHEN n >= 30 THEN 'INFO' WHEN n >= 20 THEN 'DEBUG' WHEN n >= 10 THEN 'TRACE' ELSE '—' END AS by_number, count(*) AS n FROM x GROUP BY 1, 2""",
-    "display_formats": """WITH d AS (SELECT doc_id, n_chars, doc_id % 400 * 3600000 AS ms, substr(text, 1, 200) AS t FROM documents)
+    "display_formats": """WITH d AS (SELECT doc_id, n_chars, doc_id % 400 * 3600000 AS ms, text AS t FROM documents)
         SELECT doc_id, CASE WHEN n_chars * 1000 + 1 < 1024 THEN (n_chars * 1000 + 1) || ' B' WHEN n_chars * 1000 + 1 < 1048576 THEN printf('%.1f KB', (n_chars * 1000 + 1) / 1024.0) ELSE printf('%.1f MB', (n_chars * 1000 + 1) / 1048576.0) END AS size,
         CASE WHEN ms < 60000 THEN ms // 1000 || 's' WHEN ms < 86400000 THEN ms // 3600000 || 'h' ELSE ms // 86400000 || 'd' END AS bucket,
         (CASE WHEN instr(lower(t), 'th') > 0 THEN instr(lower(t), 'th') - 1 ELSE length(t) END)::INTEGER AS before,

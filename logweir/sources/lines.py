@@ -13,7 +13,7 @@ HEAD_CHARS = 64 * 1024
 
 
 def clean(value: Column) -> Column:
-    return F.make_valid_utf8(F.regexp_replace(value, "\r{1,2}$", ""))
+    return F.make_valid_utf8(F.regexp_replace(value, "\r{1,2}\\z", ""))
 
 
 def tagged_lines(spark: SparkSession, paths: Sequence[str], first_id: int = 0) -> DataFrame:

@@ -1,7 +1,8 @@
-"""A built-in incident to try things on: a service runs out of memory, its gateway answers 502 for two minutes.
+"""A built-in incident to try things on: a search index fills its disk, and the edge in front of it answers 503.
 
-Two files as numbered lines, made by Spark from hashes of row numbers, the same on every run: JSON lines of an
-application (with a stack trace) and access lines of a gateway, over half an hour.
+Two files as numbered lines, made by Spark from hashes of row numbers, the same on every run: JSON lines of the index's
+nodes (with a stack trace) and access lines of the edge, over half an hour. Minutes 0 to 12 are quiet; the disk is
+full in minute 14 and cleared in minute 17.
 """
 
 from __future__ import annotations
@@ -9,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: 2026-07-26 02:00:00 UTC.
-BASE_MS = 1_785_031_200_000
+#: 2027-03-04 21:30:00 UTC.
+BASE_MS = 1_804_195_800_000
 MINUTE = 60_000
-OOM_MS = BASE_MS + 14 * MINUTE + 4_612
-SERVICES = ("checkout", "payments", "auth", "inventory")
-PATHS = ("/api/cart", "/api/checkout", "/api/pay", "/api/login", "/api/stock", "/healthz")
-MESSAGES = ("request handled", "session refreshed", "stock check ok", "token issued", "order draft saved")
-FILES = ("checkout-app.log", "gateway-access.log")
+FULL_MS, CLEARED_MS = BASE_MS + 14 * MINUTE + 2_350, BASE_MS + 17 * MINUTE
+NODES = ("shard-a", "shard-b", "shard-c", "crawler", "ranker")
+PAGES = ("/find", "/suggest", "/similar/items", "/feeds/new", "/ping")
+USUAL = ("segment flushed", "query planned", "synonyms reloaded", "crawl batch stored", "snapshot verified")
+FILES = ("index-nodes.log", "edge-access.log")
 
 
 def chance(salt: int) -> Column:
@@ -32,41 +33,41 @@ def iso(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def app_lines(spark: SparkSession) -> DataFrame:
-    rows = spark.range(1500).withColumn("ms", F.lit(BASE_MS) + F.floor(chance(1) * 30 * MINUTE))
-    level = F.when(chance(2) < 0.06, "debug").when(chance(2) < 0.15, "warn").otherwise("info")
-    message = F.when(level == "warn", "retrying upstream call").when(level == "debug", "cache hit").otherwise(pick(4, MESSAGES))
-    line = F.format_string('{"time":"%s","level":"%s","service":"%s","msg":"%s","latency_ms":%d}', iso(F.col("ms")), level, pick(3, SERVICES), message, F.floor(5 + chance(5) * 90))
+def node_lines(spark: SparkSession) -> DataFrame:
+    rows = spark.range(1600).withColumn("ms", F.lit(BASE_MS) + F.floor(chance(1) * 30 * MINUTE))
+    level = F.when(chance(2) > 0.93, "debug").when(chance(2) > 0.85, "warn").otherwise("info")
+    text = F.when(level == "warn", "merge queue is long").when(level == "debug", "filter cache reused").otherwise(pick(4, USUAL))
+    line = F.format_string('{"ts":"%s","severity":"%s","component":"%s","message":"%s","docs":%d}', iso(F.col("ms")), level, pick(3, NODES), text, F.floor(chance(5) * 4000))
     usual = rows.select("ms", F.lit(0).alias("place"), line.alias("value"))
-    told = lambda ms, level, text: f'{{"time":"{{}}","level":"{level}","service":"checkout","msg":"{text}"}}'
-    story = [(BASE_MS + m * MINUTE + 30_000, 0, told(0, "warn", f"heap at {72 + m}% of limit after deploy")) for m in range(9, 14)]
-    story += [
-        (OOM_MS, 1, "{} ERROR checkout - java.lang.OutOfMemoryError: Java heap space"),
-        (OOM_MS, 2, "\tat com.example.cart.Serializer.write(Serializer.java:141)"),
-        (OOM_MS, 3, "\tat com.example.api.CheckoutHandler.handle(CheckoutHandler.java:52)"),
-        (OOM_MS, 4, "\tat java.base/java.lang.Thread.run(Thread.java:840)"),
-        (OOM_MS + 300, 0, told(0, "error", "worker pool exhausted - rejecting requests")),
-        (OOM_MS + 4_500, 0, told(0, "info", "process exited, supervisor restarting (attempt 1)")),
-        (BASE_MS + 15 * MINUTE + 41_000, 0, told(0, "info", "service healthy - heap 31% after restart")),
+    own = lambda level, text: f'{{"ts":"@","severity":"{level}","component":"shard-b","message":"{text}"}}'
+    told = [(BASE_MS + m * MINUTE + 12_000, 0, own("warn", f"volume data1 is {61 + 3 * m}% full, reindex still running")) for m in range(8, 13)]
+    told += [
+        (FULL_MS, 1, "@ ERROR shard-b - java.io.IOException: No space left on device"),
+        (FULL_MS, 2, "\tat org.example.index.SegmentWriter.flush(SegmentWriter.java:88)"),
+        (FULL_MS, 3, "\tat org.example.index.MergeQueue.drain(MergeQueue.java:207)"),
+        (FULL_MS, 4, "\tat org.example.node.Worker.run(Worker.java:33)"),
+        (FULL_MS + 700, 0, own("error", "shard is read-only, queries are refused")),
+        (CLEARED_MS - 20_000, 0, own("warn", "old segments are being deleted")),
+        (CLEARED_MS, 0, own("info", "volume data1 is 54% full, shard accepts writes")),
     ]
-    own = spark.createDataFrame(story, "ms bigint, place int, value string").withColumn("value", F.replace("value", F.lit("{}"), iso(F.col("ms"))))
-    return usual.union(own).withColumn("file_id", F.lit(0)).withColumn("file", F.lit(FILES[0]))
+    story = spark.createDataFrame(told, "ms bigint, place int, value string").withColumn("value", F.replace("value", F.lit("@"), iso(F.col("ms"))))
+    return usual.union(story).withColumn("file_id", F.lit(0)).withColumn("file", F.lit(FILES[0]))
 
 
-def gateway_lines(spark: SparkSession) -> DataFrame:
-    rows = spark.range(1300).withColumn("ms", F.lit(BASE_MS) + F.floor(chance(11) * 30 * MINUTE))
-    storm = F.col("ms").between(BASE_MS + 14 * MINUTE + 7_000, BASE_MS + 16 * MINUTE)
-    path = F.when(storm & (chance(12) < 0.8), pick(13, PATHS[1:3])).otherwise(pick(13, PATHS))
-    status = F.when(storm & path.isin(*PATHS[1:3]) & (chance(14) < 0.9), 502).when(chance(14) < 0.03, 404).otherwise(200)
+def edge_lines(spark: SparkSession) -> DataFrame:
+    rows = spark.range(1400).withColumn("ms", F.lit(BASE_MS) + F.floor(chance(11) * 30 * MINUTE))
+    refused = F.col("ms").between(FULL_MS + 1_000, CLEARED_MS)
+    page = pick(12, PAGES)
+    status = F.when(refused & (page != "/ping") & (chance(13) > 0.2), 503).when(chance(13) > 0.98, 410).otherwise(200)
     line = F.format_string(
-        '203.0.113.%d - - [%s +0000] "GET %s HTTP/1.1" %d %d "-" "Mozilla/5.0"',
-        F.floor(1 + chance(15) * 254), F.date_format(F.timestamp_millis(F.col("ms")), "dd/MMM/yyyy:HH:mm:ss"), path, status, F.floor(200 + chance(16) * 900),
+        '198.51.100.%d - - [%s +0000] "GET %s?q=%d HTTP/2" %d %d "-" "sample/1.0"',
+        F.floor(1 + chance(14) * 250), F.date_format(F.timestamp_millis(F.col("ms")), "dd/MMM/yyyy:HH:mm:ss"), page, F.floor(chance(15) * 500), status, F.floor(chance(16) * 3000),
     )
     return rows.select("ms", F.lit(0).alias("place"), line.alias("value")).withColumn("file_id", F.lit(1)).withColumn("file", F.lit(FILES[1]))
 
 
 def sample_lines(spark: SparkSession) -> DataFrame:
     """(file_id, file, part, line_no, value) of both files."""
-    both = app_lines(spark).unionByName(gateway_lines(spark))
+    both = node_lines(spark).unionByName(edge_lines(spark))
     place = F.row_number().over(Window.partitionBy("file_id").orderBy("ms", "place", "value")).cast("bigint")
     return both.select("file_id", "file", F.lit(0).alias("part"), place.alias("line_no"), "value")

@@ -26,10 +26,10 @@ def test_sample_incident(session):
     assert found.total_rows > 2000 and found.count == sum(b["errors"] for b in found.histogram) > 30
     base = found.histogram[0]["bucket_start_ms"]
     assert all(b["bucket_start_ms"] >= base + 13 * 60_000 for b in found.histogram if b["errors"])
-    oom = session.rows(FilterSpec(query="outofmemory"), 0, 5).collect()
-    assert len(oom) == 1 and oom[0].folded == 3
-    first_502 = session.rows(FilterSpec(query="502 get"), 0, 1).collect()[0]
-    assert first_502.ts_ms > oom[0].ts_ms
+    full = session.rows(FilterSpec(query="no space left"), 0, 5).collect()
+    assert len(full) == 1 and full[0].folded == 3
+    refused = session.rows(FilterSpec(query="503 get"), 0, 20).collect()
+    assert len(refused) > 10 and refused[0].ts_ms > full[0].ts_ms
     assert session.position_for_time(FilterSpec(), base) == 0
 
 
@@ -116,8 +116,7 @@ def test_records_match_a_plain_reader(spark):
             if not state:
                 want.append("\n".join(raw))
                 raw = []
-        want = [w for w in want + (["\n".join(raw)] if raw else [])][1:]
-        want = [w for w in want if delimited.split_fields(w, ",") != [""]]
+        want = [w for w in want + (["\n".join(raw)] if raw else []) if delimited.split_fields(w, ",") != [""]][1:]
         df = spark.createDataFrame([(0, "f", k // 5, k + 1, x) for k, x in enumerate(lines)], "file_id int, file string, part int, line_no bigint, value string")
         got = delimited.records(df, ",").orderBy("rec_no").select("raw").collect()
         assert [r.raw for r in got] == want, trial
@@ -136,3 +135,36 @@ def test_search_rules(session):
     session.add_text("t", '{"msg":"Ünïcode ÉCLAIR"}\nplain É line\n')
     hits = lambda q: session.query(FilterSpec(query=q)).count
     assert hits("éclair") == 1 and hits("É") == 1 and hits("PLAIN") == 1 and hits("") == 2
+
+
+def test_optional_groups(session):
+    made = compile_pattern_format(PatternSpec((r"^(?<timestamp>\S+)(?: svc=(?<service>\w+))?(?: msg=(?<message>.+))?$",)), session.spark)
+    df = session.spark.createDataFrame([("2027-03-04T21:30:00Z",), ("2027-03-04T21:30:00Z svc=a msg=b",)], "v string")
+    got = [(r.r.service, r.r.message) for r in df.select(made.parse(F.col("v")).alias("r")).collect()]
+    assert got == [(None, "2027-03-04T21:30:00Z"), ("a", "b")]
+
+
+def test_all_problems_of_a_spec_are_told(session):
+    with pytest.raises(FormatError) as told:
+        compile_pattern_format(PatternSpec(("", "(", "(?<a>x)(?<a>y)"), ("%K",), {"loud": ("x",)}), session.spark)
+    assert str(told.value).count(";") == 4
+
+
+def test_blank_lines_above_the_header(session):
+    session.add_text("x.csv", "\n\nmessage,level\n\nfirst,error\nsecond,info\n")
+    got = session.rows(FilterSpec(), 0, 9).collect()
+    assert [(r.message, r.level, r.line_no) for r in got] == [("first", 0, 1), ("second", 2, 2)]
+
+
+def test_carriage_returns_and_invalid_bytes(spark, tmp_path):
+    (tmp_path / "f.log").write_bytes(b"a\r\nb\r\r\nc\r\r\r\nd\rd\n\xff\xfee\xc3\n\xe2\x82")
+    got = [r.value for r in read_lines(spark, [str(tmp_path / "f.log")]).orderBy("line_no").collect()]
+    assert got[:4] == ["a", "b", "c\r", "d\rd"] and got[4] == "\ufffd\ufffde\ufffd" and got[5] == "\ufffd"
+
+
+def test_access_detail_and_export(session, tmp_path):
+    line = '198.51.100.9 - ada [04/Mar/2027:21:30:00 +0000] "PUT /items/7 HTTP/2" 503 77 "-" "x"'
+    session.add_text("edge", f"{line}\n\tat more\n")
+    assert session.detail(0)["fields"] == {"remote": "198.51.100.9", "user": "ada", "time": "04/Mar/2027:21:30:00 +0000", "method": "PUT", "path": "/items/7", "status": "503", "bytes": "77"}
+    session.export_text(0, str(tmp_path / "out"))
+    assert session.spark.read.text(str(tmp_path / "out")).count() == 2
