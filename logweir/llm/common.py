@@ -13,7 +13,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..work import cut, new_dir, shared_dir  # noqa: F401
+from ..work import cut, discard, new_dir, shared_dir  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The six ASCII white-space characters that part words.
@@ -46,12 +46,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get at most so many texts at once, since one may be long; a smaller setting is left as it is."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Python workers get at most so many bytes at once, but for a longer row; a smaller setting is left as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key, "67108864b").rstrip("bB"))
+    if now > most:
+        spark.conf.set(key, str(most))
 
 
 def bucket_bits(spark: SparkSession, least: int = 4) -> int:

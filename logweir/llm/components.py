@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def stars(links: DataFrame, large: bool) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = cut(flat, "links")
     mark = None
     for _ in range(most_rounds):
-        now = cut(stars(stars(now, True), False), "stars")
+        before, now = now, cut(stars(stars(now, True), False), "stars")
+        discard(links.sparkSession, before)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == mark:
             break

@@ -26,7 +26,7 @@ compared or already connected, while a large group of near copies costs a few pa
 Two documents share many lists, but only the one with the smallest number among those compares them: the lists of each
 document are kept as sorted arrays, in which a task looks up a pair that its sketches allow. So a pair is given once.
 
-Verification compares dense sketches of four to eight bits for each shingle first, which lose no link and cost a tenth
+Verification compares dense sketches of two to four bits for each shingle first, which lose no link and cost a twentieth
 of the text, and then joins both texts to a pair that is left and intersects their sets. Texts in no such pair are not
 exchanged: scans look identifiers up in sorted arrays that workers map. Nothing is collected on the driver but counts
 and the order's bounded list of frequent segments.
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, cut, hashed_words, mix, need_integers, pair, small_batches, text_batches
+from .common import bucket_bits, cut, discard, hashed_words, mix, need_integers, pair, small_batches, text_batches
 from .components import components
 from .hash_arrays import Store, block_rows, groups_of, has_ids, keep_groups, keep_ids, pack_arrays, unpack_arrays
 
@@ -55,8 +55,9 @@ FLUSH, CHUNK = 700_000, 4096
 SAMPLED, FREQUENT, LEAST = 8, 1 << 19, 3
 #: In lists of more than LARGE, what is open is first paired with so many delegates of the list, in so many rounds (cost alone).
 LARGE, DELEGATES, ROUNDS = 32, 8, 1
-#: Lists are compared in blocks of about so many members, by sketches of so many bits at most, so many pairs at a time.
-BLOCK, BRIEF, AT_ONCE = 128, 4096, 1 << 16
+#: Lists are compared in blocks of about so many members, by sketches of so many bits at most; so many pairs are listed
+#: and compared at a time, from so many pairs of blocks.
+BLOCK, BRIEF, LISTED, AT_ONCE, SLICE = 128, 4096, 1 << 18, 1 << 14, 64
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
@@ -109,8 +110,8 @@ def prefix_keys(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) ->
     return np.concatenate(out)
 
 def parity_sketch(hashes: np.ndarray, most: int = 1 << 62) -> bytes:
-    """Four times as many bits as the next power of two above the set's size (256 at least), up to most; each shingle flips one."""
-    size = min(max(256, 4 << len(hashes).bit_length()), most)
+    """Twice as many bits as the next power of two above the set's size (256 at least), up to most; each shingle flips one."""
+    size = min(max(256, 2 << len(hashes).bit_length()), most)
     flips = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -135,12 +136,14 @@ def class_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, text: str, id: str, runs: int) -> DataFrame:
-    """(id, n, cid, sketch, brief, run): each document's set; brief is the sketch folded to BRIEF bits."""
+    """(id, n, cid, sketch, brief, run): each document's set; brief is the sketch folded to BRIEF bits, sketch null where that is all of it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, text):
             sets = shingle_sets(batch.column(text).to_pylist())
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(class_of(sets)), *[pa.array([parity_sketch(s, *most) for s in sets], pa.binary()) for most in ((), (BRIEF,))]]
+            brief = [parity_sketch(s, BRIEF) for s in sets]
+            whole = [parity_sketch(s) if 8 * len(b) == BRIEF else None for s, b in zip(sets, brief, strict=True)]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(class_of(sets)), pa.array(whole, pa.binary()), pa.array(brief, pa.binary())]
             yield pa.record_batch([batch.column(id), *columns], ["id", "n", "cid", "sketch", "brief"])
 
     found = docs.select(F.col(id).cast("bigint").alias(id), text).mapInArrow(rows, "id bigint, n bigint, cid bigint, sketch binary, brief binary")
@@ -246,7 +249,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, i
             columns = [batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")]
             yield batch.select(["a", "b"]).filter(pa.array([may_link(*row) for row in zip(*columns, strict=True)], pa.bool_()))
 
-    of = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    of = lambda x: classes.select(F.col("rep").alias(x), F.coalesce("sketch", "brief").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     near = cut(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(sift, "a bigint, b bigint"), "near")
     kept = keep_ids(near.select("a").union(near.select("b")).distinct())
 
@@ -287,7 +290,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, i
 
     left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
     both = near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(check, "a bigint, b bigint").distinct()
+    out = cut(both.mapInArrow(check, "a bigint, b bigint").distinct(), "links")
+    discard(docs.sparkSession, near, kept[0])
+    return out
 
 
 def settled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -296,7 +301,9 @@ def settled(members: DataFrame, links: DataFrame) -> DataFrame:
     placed = members.join(found, "id", "left").select("gid", "leader", "id", "size", "n", F.coalesce("component", "id").alias("component"))
     of_leader = found.select(F.col("id").alias("leader"), F.col("component").alias("of_leader"))
     placed = placed.join(of_leader, "leader", "left").withColumn("settled", F.col("component") == F.coalesce("of_leader", "leader"))
-    return cut(placed.drop("of_leader"), "placed")
+    out = cut(placed.drop("of_leader"), "placed")
+    discard(links.sparkSession, found)
+    return out
 
 
 class Members:
@@ -349,7 +356,7 @@ def met_before(left: Store, right: Store, a: np.ndarray, b: np.ndarray, gid: np.
     done = np.concatenate([[0], np.cumsum(sizes)])
     at = 0
     while at < len(a):
-        stop = max(at + 1, int(np.searchsorted(done, done[at] + 8 * AT_ONCE, side="right")) - 1)
+        stop = max(at + 1, int(np.searchsorted(done, done[at] + LISTED, side="right")) - 1)
         of = np.repeat(np.arange(at, stop), sizes[at:stop])
         value = lists_a[offsets_a[at_a[of]] + np.arange(len(of)) + done[at] - done[of]]
         smaller = value < gid[of]
@@ -365,14 +372,14 @@ def met_before(left: Store, right: Store, a: np.ndarray, b: np.ndarray, gid: np.
 def block_pairs(batches: Iterator[pa.RecordBatch], left: Store, right: Store) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of open members in x with members in y, of different components, whose sizes and sketches allow a link, in the first list that they share."""
     for whole in batches:
-        for first in range(0, whole.num_rows, AT_ONCE // BLOCK**2 * 64):
-            batch = whole.slice(first, AT_ONCE // BLOCK**2 * 64)
+        for first in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(first, SLICE)
             x, y, gids = Members(batch.column("x")), Members(batch.column("y")), batch.column("gid").to_numpy().view(np.uint64)
             many, others = np.diff(x.offsets).astype(np.int64), np.diff(y.offsets).astype(np.int64)
             done = np.concatenate([[0], np.cumsum(many * others)])
             row = 0
             while row < batch.num_rows:
-                stop = max(row + 1, int(np.searchsorted(done, done[row] + 8 * AT_ONCE, side="right")) - 1)
+                stop = max(row + 1, int(np.searchsorted(done, done[row] + LISTED, side="right")) - 1)
                 of = np.repeat(np.arange(row, stop), np.diff(done[row : stop + 1]))
                 nth = np.arange(len(of)) + done[row] - done[of]
                 i, j = x.offsets[of] + nth // others[of], y.offsets[of] + nth % others[of]
@@ -404,14 +411,16 @@ def across(rows: DataFrame, classes: DataFrame, left: Store, few: DataFrame | No
     # one of the few counts as settled, so that every open member meets it
     others = blocks if few is None else sketched(few).groupBy("gid").agg(gathered(F.lit(True).alias("settled")))
     met = blocks.where("open").select("gid", F.col("rows").alias("x")).join(others.select("gid", F.col("rows").alias("y")), "gid")
-    return met.mapInArrow(lambda batches: block_pairs(batches, left, right), "a bigint, b bigint").distinct()
+    out = cut(met.mapInArrow(lambda batches: block_pairs(batches, left, right), "a bigint, b bigint").distinct(), "pairs")
+    discard(rows.sparkSession, left[0], *([blocks] if few is None else [right[0]]))
+    return out
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id that it reaches by links), class_id (the smallest id with the same set)."""
     need_integers(docs, id)
     spark = docs.sparkSession
-    small_batches(spark, 400)
+    small_batches(spark)
     runs = 1 << bucket_bits(spark, 6)
     sets = cut(set_rows(docs, text, id, runs), "sets")
     filled = sets.where("n > 0 AND id IS NOT NULL")
@@ -426,17 +435,19 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id")
     lead = lead.select("gid", F.col("lead.id").alias("leader"), F.col("lead.size").alias("leader_size"), "n")
     members = cut(members.join(lead, "gid"), "members")
     star = members.where((F.col("id") != F.col("leader")) & fits("leader_size", "size")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(verified(star, classes, docs, text, id), "star-links")
+    links = verified(star, classes, docs, text, id)
     for salt in range(ROUNDS):
         placed = settled(members, links)
         large = members.where(F.col("n") > LARGE).withColumn("_place", F.row_number().over(Window.partitionBy("gid").orderBy(F.xxhash64("id", F.lit(salt)), "id")))
         few = cut(large.where(F.col("_place") <= DELEGATES).select("gid", "id").join(placed.select("gid", "id", "size", "component"), ["gid", "id"]), "delegates")
         still = placed.where(~F.col("settled") & (F.col("n") > LARGE))
-        links = cut(links.union(verified(across(still, classes, keep_groups(still.select("id", "gid")), few), classes, docs, text, id)).distinct(), "links")
+        links = links.union(verified(across(still, classes, keep_groups(still.select("id", "gid")), few), classes, docs, text, id))
+        discard(spark, placed, few)
     placed = settled(members, links)
     # leaders have been compared with all
     more = verified(across(placed.where(F.col("id") != F.col("leader")), classes, keep_groups(members.select("id", "gid"))), classes, docs, text, id)
     final = components(links.union(more))
+    discard(spark, lists, members, placed)
     named = classes.select("cid", "rep").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("cid", "rep", F.coalesce("component", "rep").alias("component"))
     # a class has at most one row in each run, and a run only its share of a large class
     labelled = first.select("run", "cid").join(named, "cid")
