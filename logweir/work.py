@@ -31,4 +31,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(spark: SparkSession, *made: DataFrame | str) -> None:
+    """Deletes tables of cut() or folders that nothing will read again."""
+    for one in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(one if isinstance(one, str) else one.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
