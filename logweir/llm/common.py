@@ -97,7 +97,7 @@ def file_bytes(uri: str) -> np.ndarray:
 ONE = np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
-_STEP = 1 << 22
+_STEP = 1 << 20
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -37,4 +37,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    out.written_to = now.written_to
+    return out

@@ -441,7 +441,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id")
         large = members.where(F.col("n") > LARGE).withColumn("_place", F.row_number().over(Window.partitionBy("gid").orderBy(F.xxhash64("id", F.lit(salt)), "id")))
         few = cut(large.where(F.col("_place") <= DELEGATES).select("gid", "id").join(placed.select("gid", "id", "size", "component"), ["gid", "id"]), "delegates")
         still = placed.where(~F.col("settled") & (F.col("n") > LARGE))
-        links = links.union(verified(across(still, classes, keep_groups(still.select("id", "gid")), few), classes, docs, text, id))
+        links = cut(links.union(verified(across(still, classes, keep_groups(still.select("id", "gid")), few), classes, docs, text, id)), "links")
         discard(spark, placed, few)
     placed = settled(members, links)
     # leaders have been compared with all
@@ -454,8 +454,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id")
     alone = (F.col("s.n") == 0) | F.col("s.id").isNull()
     joined = sets.drop("sketch", "brief").alias("s").join(labelled.alias("c"), ["run", "cid"], "left")
     kind = docs.schema[id].dataType.simpleString()
-    return joined.select(
+    out = cut(joined.select(
         F.col("s.id").cast(kind).alias(id), F.col("n").alias("n_shingles"),
         F.when(alone, F.col("s.id")).otherwise(F.col("component")).alias("component_id"),
         F.when(alone, F.col("s.id")).otherwise(F.col("rep")).alias("class_id"),
-    )
+    ), "components")
+    discard(spark, sets, classes, final, links)
+    return out

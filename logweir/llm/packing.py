@@ -10,7 +10,7 @@ offsets in a sequence leave no gaps.
 The offsets' table has a row for each partition of the input (some bytes for each 128 MB), which is what makes it
 small enough to broadcast; each task looks up one row.
 
-Words repeat, so each Python worker keeps the ids of words that it has seen, at most CACHE of them. Words end at
+Words repeat, so a task keeps the ids of words that it has seen, at most CACHE of them. Words end at
 ASCII white space, where the vocabulary's own splitting ends pieces, too; trailing ASCII punctuation after plain
 letters is a piece of its own, and lower-cased Latin letters go to the model directly. The results are those of
 encoding whole texts, which the tests check.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_batches
 
-CACHE = 500_000
+CACHE = 200_000
 _PUNCTUATION = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 
 
@@ -101,6 +101,11 @@ class Encoder:
             return self.pieces[letters.encode()] + (self.tails[tail] if tail else b"")
         return self._whole(word)
 
+    def forget(self) -> None:
+        """Gives the memory of learned words back."""
+        for words in (self.words, self.pieces, self.tails):
+            words.clear()
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         ids = self.words.__getitem__
         return [b"".join([*map(ids, (t or "").encode().split()), self.end]) for t in texts]
@@ -110,7 +115,7 @@ _encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def encoder(path: str, end: int) -> Encoder:
-    """One for each worker process: its words outlast a task."""
+    """One for each worker process."""
     if (path, end) not in _encoders:
         _encoders[path, end] = Encoder(path, end)
     return _encoders[path, end]
@@ -133,6 +138,7 @@ def tokenized(docs: DataFrame, text: str, id: str, tokenizer: str, end: int) ->
                 [batch.column(id), pa.array(np.full(n, part, np.int64)), pa.array(starts), pa.array(sizes), pa.array(np.full(n, width, np.int32)), pa.array(ids, pa.binary())],
                 ["id", "part", "part_start", "n_ids", "width", "ids"],
             )
+        own.forget()
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(id, text).mapInArrow(encode, f"id {kind}, part bigint, part_start bigint, n_ids bigint, width int, ids binary")
