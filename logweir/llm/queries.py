@@ -71,6 +71,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY t)""",
+    "op9_jaccard_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        x AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+              WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gs FROM w),
+        s AS (SELECT doc_id, md5(unnest(gs)) AS g FROM x),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN x p ON p.doc_id = a JOIN x q ON q.doc_id = b WHERE 100 * n >= 75 * (len(p.gs) + len(q.gs) - n)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+        SELECT x.doc_id, len(gs)::BIGINT AS n_shingles, min(root) AS component_id,
+               CASE WHEN len(gs) = 0 THEN x.doc_id ELSE min(x.doc_id) OVER (PARTITION BY md5(array_to_string(list_sort(gs), chr(10)))) END AS class_id
+        FROM x JOIN r USING (doc_id) GROUP BY x.doc_id, gs""",
     "op6_quality_rules": f"""
         WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{_WS}]+') AS ws FROM documents),
         l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_WS}]')) AS ls FROM w),
