@@ -24,15 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Each row of docs as a struct (_doc) with a key (_row), written once so that every read finds the same keys."""
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def keyed(docs: DataFrame, id: str = "doc_id") -> DataFrame:
+    """Each row of docs as a struct (_doc) with a key (_row).
+
+    Integer identifiers are the keys where none is null or repeated, which one count over them tells. Else rows are
+    written once with numbers, so that every read finds the same keys."""
+    if docs.schema[id].dataType.simpleString() in INTEGERS:
+        counts = docs.groupBy(F.col(id).alias("_row")).agg(F.count(F.lit(1)).alias("_n"))
+        if counts.where("_row IS NULL OR _n > 1").isEmpty():
+            return docs.select(F.struct("*").alias("_doc"), F.col(id).cast("bigint").alias("_row"))
     return cut(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "keyed")
 
 
 def need_integers(docs: DataFrame, id: str) -> None:
     """Raises where identifiers are not whole numbers of at most 64 bits."""
     kind = docs.schema[id].dataType.simpleString()
-    if kind not in ("tinyint", "smallint", "int", "bigint"):
+    if kind not in INTEGERS:
         raise TypeError(f"{id} is {kind}: identifiers must be integers; key other rows with keyed()")
 
 

@@ -97,9 +97,9 @@ def training_stream(docs: DataFrame, text: str = "text", id: str = "doc_id", sou
     """The documents as they are trained on: a row for each pass over each, with all columns of docs, sorted by position in ranges.
 
     A last pass that the target cuts short keeps the first words of its text, joined by single spaces; if `whole`, it is
-    taken whole or not at all, whichever is nearer to the target, so that all texts stay as they are. Rows are known by a
-    key of their own, so that identifiers may repeat or be null."""
-    columns, rows = docs.columns, keyed(docs)
+    taken whole or not at all, whichever is nearer to the target, so that all texts stay as they are. Rows are known by
+    keyed(), so that identifiers may repeat or be null."""
+    columns, rows = docs.columns, keyed(docs, id)
     narrow = rows.select("_row", *[F.col("_doc")[c].alias(c) for c in (id, source, text)])
     taken = placed(narrow, text, id, source, weights, slopes, most, key=["_row"]).where("_taken > 0")
     if whole:
