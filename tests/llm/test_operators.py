@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweir.llm import exact_dedup, hash_arrays, jaccard_join, language_id, language_model, licenses, mixing, packing, quality_classifier, quality_rules, suffix_dedup
+from logweir.llm.common import keyed
 from logweir.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, score double"
@@ -469,3 +470,15 @@ def test_identifiers_that_are_not_integers(spark, docs):
 def test_runs_are_merged_in_order(docs):
     plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortAggregate") >= 6  # other aggregates only list the digests of each run
+
+
+def test_unique_identifiers_are_keys(spark):
+    def keys(ids):
+        docs = spark.createDataFrame([(i, "t", k) for k, i in enumerate(ids)], "doc_id int, text string, _row int")
+        return [(r._doc.doc_id, r._row) for r in keyed(docs).collect()]
+
+    assert sorted(keys([7, -3, 0])) == [(-3, -3), (0, 0), (7, 7)]
+    assert keys([]) == []
+    for ids in ([7, 7, 0], [7, None, 0], [None, None]):  # numbered, since identifiers don't tell rows apart
+        found = keys(ids)
+        assert len({key for _, key in found}) == len(ids) and sorted(map(str, ids)) == sorted(str(i) for i, _ in found)
