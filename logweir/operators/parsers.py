@@ -63,10 +63,10 @@ def service_name(value: Column) -> Column:
 
 def json_object(line: Column) -> Column:
     """The line as a variant if it is one JSON object and nothing else."""
-    # each of the two wrappings refuses what trailing text the other lets pass
-    listed = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).isNotNull()
-    held = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}")))
-    return F.when(line.startswith("{"), F.when(listed, F.try_variant_get(held, "$.v", "variant")))
+    # in a list, the line must be one value; only a line with a bracket may close the list early, which the second wrapping refuses
+    whole = ~F.contains(line, F.lit("]")) | F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}"))).isNotNull()
+    only = lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull() & whole, F.try_variant_get(v, "$[0]", "variant"))
+    return F.when(line.startswith("{"), bind(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))), only))
 
 
 def json_values(fields: Column, keys: tuple[str, ...]) -> Column:

@@ -2,15 +2,23 @@
 
 A file's lines carry their split (part), so that running sums and maxima come in two steps: inside each part, by tasks
 of their own, and over the parts' totals, a row for each part. No task needs a whole file.
+
+Lines that come straight from a scan are in order inside a split, so split_rows() parses, folds and keeps the running
+maximum in one pass over them; text is exchanged only where a row goes on in the next split.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..work import cut
+from ..work import cut, discard
 from .parsers import is_continuation, parse_line
 
 FOLD_BYTES = 1 << 20
@@ -76,16 +84,128 @@ def fold(lines: DataFrame, head: Column | None = None, most: int = FOLD_BYTES) -
     )
 
 
+def with_record(rows: DataFrame, record: Column) -> DataFrame:
+    """Adds a record's fields; a generator evaluates it once, where fields of a struct might each evaluate it anew."""
+    return rows.select("*", F.inline(F.array(record))).withColumnRenamed("ts", "ts_ms")
+
+
 def with_effective_time(rows: DataFrame) -> DataFrame:
     """Adds eff_ts: the latest ts_ms so far in the file, so that late rows stay where they stand. Rows are written first, so that they are parsed once."""
     return running(cut(rows, "rows"), F.col("ts_ms"), "eff_ts", "max", "row_seq")
 
 
+SPLIT_ROWS = (
+    "file_id int, file string, part struct<file_path: string, file_block_start: bigint>, seq bigint, at bigint, kind int, ts_ms bigint, top bigint, "
+    "level int, service string, message string, raw string, folded int, size bigint, last boolean, odd boolean"
+)
+NO_TIME = -(1 << 63)
+
+
+def fold_in_order(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over a scan's parsed lines: the rows of each split, with at most `most` bytes of a row held at a time.
+
+    seq counts a split's rows from 1; what goes on from the split before has seq 0. top is the largest time so far in
+    the split, last marks a split's last row. odd rows are too long, or begin with a byte order mark: another way is needed."""
+    names = [column.split()[0] for column in SPLIT_ROWS.replace("file_path: string, file_block_start: bigint", "").split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = first = None  # the split at hand; the first line of its open row
+        texts: list[str] = []
+        marked = False
+        folded = size = at = lines = seq = 0
+        top = NO_TIME
+
+        def made(firsts: pa.RecordBatch, raw: pa.Array, seqs, ats, more, tops, sizes, last: bool) -> pa.RecordBatch:
+            tops, sizes = np.asarray(tops, dtype=np.int64), np.asarray(sizes, dtype=np.int64)
+            given = {c: firsts.column(c) for c in ("file_id", "file", "part", "kind", "level", "service", "message")}
+            given |= {"ts_ms": firsts.column("ts"), "seq": pa.array(seqs, pa.int64()), "at": pa.array(ats, pa.int64()), "top": pa.array(tops, mask=tops == NO_TIME), "raw": raw}
+            given |= {"folded": pa.array(more, pa.int32()), "size": pa.array(sizes), "last": pa.array(np.full(len(sizes), last)), "odd": pa.array((sizes > most) | marked)}
+            return pa.record_batch([given[c] for c in names], names)
+
+        def close(last: bool) -> pa.RecordBatch:
+            raw = pa.array(["" if size > most else "\n".join(texts)], pa.string())
+            return made(first, raw, [seq], [at], [folded], [top if seq else NO_TIME], [size], last)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path, start = batch.column("part").flatten()
+            other = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(start[1:], start[:-1])).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                some, key = batch.slice(a, b - a), (path[a].as_py(), start[a].as_py())
+                values = some.column("value")
+                if key != part:
+                    if first is not None:
+                        yield close(True)
+                    part, first, lines, seq, top = key, None, 0, 0, NO_TIME
+                    marked = key[1] == 0 and values[0].as_py().startswith("\ufeff")
+                heads = np.flatnonzero(some.column("head").to_numpy(zero_copy_only=False))
+                lead = int(heads[0]) if len(heads) else b - a
+                if lead:  # lines of the open row
+                    if first is None:
+                        first, texts, folded, size, at = some.slice(0, 1), [], -1, -1, lines
+                    before = values.slice(0, lead)
+                    folded, size = folded + lead, size + lead + pc.sum(pc.binary_length(before)).as_py()
+                    texts = texts + before.to_pylist() if size <= most else []
+                if len(heads):
+                    if first is not None:
+                        yield close(False)
+                    bounds = np.append(heads, b - a)
+                    raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values), "\n")
+                    firsts, sizes, more = some.take(pa.array(heads)), pc.binary_length(raw).to_numpy(), np.diff(bounds) - 1
+                    tops = np.maximum.accumulate(np.append(top, firsts.column("ts").fill_null(NO_TIME).to_numpy()))[1:]
+                    seqs, ats, k = seq + 1 + np.arange(len(heads)), lines + heads, len(heads) - 1
+                    if k:
+                        yield made(firsts.slice(0, k), raw.slice(0, k), seqs[:k], ats[:k], more[:k], tops[:k], sizes[:k], False)
+                    first, texts = firsts.slice(k, 1), [raw[k].as_py()]
+                    folded, size, at, seq, top = int(more[k]), int(sizes[k]), int(ats[k]), int(seqs[k]), int(tops[k])
+                lines += b - a
+        if first is not None:
+            yield close(True)
+
+    return run
+
+
+def split_rows(tagged: DataFrame, parse: Callable[[Column], Column], head: Column | None = None, most: int = FOLD_BYTES) -> tuple[DataFrame, list[DataFrame]] | None:
+    """A scan's lines (file_id, file, part, value; in order inside a split) to the table with COLUMNS, and the tables that it reads.
+
+    None where a row outgrows `most` bytes, or a file begins with a byte order mark or a line that would continue a
+    row: those take number_lines() and fold(). At most two rows of a split are exchanged."""
+    head = F.coalesce(~is_continuation(F.col("value")) if head is None else head, F.lit(True))
+    lines = tagged.select("file_id", "file", "part", "value", head.alias("head"))
+    rows = cut(lines.select("*", F.inline(F.array(F.when(F.col("head"), parse(F.col("value")))))).mapInArrow(fold_in_order(most), SPLIT_ROWS), "rows")
+    starts = F.col("seq") > 0
+    totals = rows.groupBy("file_id", "part").agg(
+        F.count_if(starts).alias("n"), F.sum(F.col("folded") + 1).alias("lines"), F.max("top").alias("top"), F.max("odd").alias("odd"),
+        F.max(F.when(~starts, F.col("size") + 1)).alias("goes_on"), F.max(F.when(starts & F.col("last"), F.col("size"))).alias("last_size"),
+    )
+    before = Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    splits = cut(totals.select(
+        "file_id", "part", "odd", "goes_on", "last_size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
+        F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("lines_before"), F.max("top").over(before).alias("top_before"),
+        F.last(F.when(F.col("n") > 0, F.col("part")), True).over(before).alias("anchor"),
+    ), "splits")
+    more = splits.where("goes_on IS NOT NULL").groupBy("file_id", F.col("anchor").alias("part")).agg(F.sum("goes_on").alias("more"))
+    long = splits.join(more, ["file_id", "part"]).where(F.col("last_size") + F.col("more") > most)
+    if not splits.where("odd OR goes_on IS NOT NULL AND anchor IS NULL").isEmpty() or not long.isEmpty():
+        discard(tagged.sparkSession, rows, splits)
+        return None
+    placed = rows.join(splits.drop("odd", "goes_on", "last_size"), ["file_id", "part"]).select(
+        "*", (F.col("rows_before") + F.col("seq") - 1).alias("row_seq"), (F.col("lines_before") + F.col("at") + 1).alias("line_no"), F.greatest("top", "top_before").alias("eff_ts"),
+    )
+    edge = F.col("last") | ~starts
+    own = [c for c in COLUMNS if c not in ("raw", "folded")]
+    joined = placed.where(edge).groupBy("file_id", F.when(starts, F.col("part")).otherwise(F.col("anchor")).alias("of")).agg(
+        F.max(F.when(starts, F.struct(*own))).alias("own"), F.array_sort(F.collect_list(F.struct("part", "raw"))).alias("texts"), F.sum(F.col("folded") + F.when(starts, 0).otherwise(1)).cast("int").alias("folded"),
+    )
+    joined = joined.select("own.*", F.array_join("texts.raw", "\n").alias("raw"), "folded")
+    return placed.where(~edge).select(*COLUMNS).unionByName(joined.select(*COLUMNS)), [rows, splits]
+
+
 def build_logs(lines: DataFrame, now_ms: Column | None = None) -> DataFrame:
     """Numbered lines (file_id, file, part, line_no, value) to the table with COLUMNS."""
-    rows = fold(lines).withColumn("r", parse_line(F.col("text"), now_ms))
-    rows = rows.select("*", "r.kind", F.col("r.ts").alias("ts_ms"), "r.level", "r.service", "r.message").drop("r")
-    return with_effective_time(rows).select(*COLUMNS)
+    return with_effective_time(with_record(fold(lines), parse_line(F.col("text"), now_ms))).select(*COLUMNS)
 
 
 def with_row_ids(logs: DataFrame) -> DataFrame:

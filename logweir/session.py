@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.strptime import compile_time_format
@@ -18,11 +18,11 @@ from .operators import delimited
 from .operators.custom import ColumnSpec, FormatError, PatternFormat, PatternSpec, compile_pattern_format
 from .operators.parsers import CSV, CUSTOM, configure, parse_line
 from .operators.query import FilterSpec, Snapshot, detail, facet_levels, facet_services, histogram, page, position_for_time
-from .operators.rows import COLUMNS, approx_bytes, cap_services, file_stats, fold, with_effective_time, with_row_ids
-from .sources.lines import file_head, read_lines, text_lines
+from .operators.rows import COLUMNS, approx_bytes, cap_services, file_stats, fold, split_rows, with_effective_time, with_record, with_row_ids
+from .sources.lines import file_head, read_lines, tagged_lines, text_lines
 from .sources.registry import FormatRegistry, Spec
 from .sources.sample import FILES, sample_lines
-from .work import cut, new_dir
+from .work import cut, discard, new_dir
 
 HEAD_LINES = 12
 
@@ -38,6 +38,7 @@ class LogFile:
     spec: Spec | None
     pattern: PatternFormat | None
     table: str
+    scan: DataFrame | None = None
 
 
 class LogSession:
@@ -48,13 +49,14 @@ class LogSession:
         self.folder = folder or new_dir(spark, "logs")
         self.now = F.lit(now_ms) if now_ms is not None else None
         self.files: list[LogFile] = []
+        self._records: dict[str, Column] = {}
 
     # --- adding -----------------------------------------------------------------------------------
 
     def add_file(self, path: str, name: str | None = None, spec: Spec | None = None) -> LogFile:
-        k = len(self.files)
-        lines = read_lines(self.spark, [path], k).withColumn("file", F.lit(name or path.rsplit("/", 1)[-1]))
-        return self._add(k, name or path.rsplit("/", 1)[-1], lines, file_head(self.spark, path), spec)
+        k, name = len(self.files), name or path.rsplit("/", 1)[-1]
+        lines, scan = (read(self.spark, [path], k).withColumn("file", F.lit(name)) for read in (read_lines, tagged_lines))
+        return self._add(k, name, lines, file_head(self.spark, path), spec, scan)
 
     def add_text(self, name: str, text: str, spec: Spec | None = None) -> LogFile:
         k = len(self.files)
@@ -73,40 +75,58 @@ class LogSession:
     def reparse(self, file_id: int, spec: Spec | None) -> LogFile:
         """Makes one file's rows anew, by a spec or, for None, by what is known of its signature."""
         old = self.files[file_id]
-        self.files[file_id] = self._build(file_id, old.name, old.lines, old.head, spec)
+        self.files[file_id] = self._build(file_id, old.name, old.lines, old.head, spec, old.scan)
         return self.files[file_id]
 
     def reset(self) -> None:
         self.files = []
 
-    def _add(self, k: int, name: str, lines: DataFrame, head: str, spec: Spec | None) -> LogFile:
-        self.files.append(self._build(k, name, lines, head, spec))
+    def _add(self, k: int, name: str, lines: DataFrame, head: str, spec: Spec | None, scan: DataFrame | None = None) -> LogFile:
+        self.files.append(self._build(k, name, lines, head, spec, scan))
         return self.files[k]
 
-    def _build(self, k: int, name: str, lines: DataFrame, head: str, spec: Spec | None) -> LogFile:
+    def _build(self, k: int, name: str, lines: DataFrame, head: str, spec: Spec | None, scan: DataFrame | None = None) -> LogFile:
         dialect = delimited.sniff(head)
         mark = signature(dialect.header_line if dialect else None, head.split("\n", 1)[0].removesuffix("\r"))
         spec = spec or self.registry.find(mark)
         pattern = compile_pattern_format(spec, self.spark) if isinstance(spec, PatternSpec) else None
         table = f"{self.folder}/{k}-{uuid.uuid4().hex[:8]}"
-        made = LogFile(k, name, lines, head, mark, dialect, spec, pattern, table)
-        self._rows(made).write.parquet(table)
+        made = LogFile(k, name, lines, head, mark, dialect, spec, pattern, table, scan)
+        found = self._in_order(made) if scan is not None and (pattern or not dialect) else None
+        if found:
+            found[0].write.parquet(table)
+            discard(self.spark, *found[1])
+        else:
+            self._rows(made).write.parquet(table)
         return made
 
+    def _record(self, column: str) -> Column:
+        """The record of a column's lines; building that expression takes longer than reading a small file, so it is built once."""
+        if column not in self._records:
+            self._records[column] = parse_line(F.col(column), self.now)
+        return self._records[column]
+
+    def _in_order(self, file: LogFile) -> tuple[DataFrame, list[DataFrame]] | None:
+        """The rows by one pass over each split, and the tables they are made of; None where that can't be."""
+        if not file.pattern:
+            return split_rows(file.scan, lambda _: self._record("value"))
+        found = split_rows(file.scan, file.pattern.parse, file.pattern.matched(F.col("value")) if file.pattern.fold_unmatched else F.lit(True))
+        return found and (found[0].withColumn("line_no", F.col("row_seq") + 1), found[1])
+
     def _rows(self, file: LogFile) -> DataFrame:
         if file.pattern:
             rows = fold(file.lines, file.pattern.matched(F.col("value")) if file.pattern.fold_unmatched else F.lit(True))
             # rows are numbered by themselves here, not by their lines
-            rows = rows.withColumn("line_no", F.col("row_seq") + 1).withColumn("r", file.pattern.parse(F.col("text")))
+            rows, record = rows.withColumn("line_no", F.col("row_seq") + 1), file.pattern.parse(F.col("text"))
         elif file.dialect:
             found = delimited.records(file.lines, file.dialect.delimiter)
             samples = [r.fields for r in found.where(F.col("rec_no") <= delimited.ROLE_RECORDS).orderBy("rec_no").select("fields").collect()]
             roles = self._roles(file, samples)
-            rows = found.withColumn("r", delimited.parse_record(F.col("fields"), roles, self.now)).select("*", (F.col("rec_no") - 1).alias("row_seq"), F.col("rec_no").alias("line_no"), F.lit(0).alias("folded"))
+            rows = found.select("*", (F.col("rec_no") - 1).alias("row_seq"), F.col("rec_no").alias("line_no"), F.lit(0).alias("folded"))
+            record = delimited.parse_record(F.col("fields"), roles, self.now)
         else:
-            rows = fold(file.lines).withColumn("r", parse_line(F.col("text"), self.now))
-        flat = rows.select("*", "r.kind", F.col("r.ts").alias("ts_ms"), "r.level", "r.service", "r.message").drop("r")
-        return with_effective_time(flat).select(*COLUMNS)
+            rows, record = fold(file.lines), self._record("text")
+        return with_effective_time(with_record(rows, record)).select(*COLUMNS)
 
     def _roles(self, file: LogFile, samples: list[list[str]]) -> delimited.Roles:
         roles = delimited.infer_roles(file.dialect.header, samples)

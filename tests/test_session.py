@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from logweir.operators import delimited, rows
 from logweir.operators.custom import ColumnSpec, FormatError, PatternSpec, compile_pattern_format
+from logweir.operators.parsers import json_object, record
 from logweir.operators.query import FilterSpec, bucket_range, histogram_step
 from logweir.session import LogSession
-from logweir.sources.lines import read_lines
+from logweir.sources.lines import read_lines, tagged_lines
 from logweir.sources.registry import FormatRegistry
 
 NOW = 1_785_100_000_000
@@ -96,6 +97,34 @@ def test_splits_do_not_matter(spark, tmp_path, size):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_one_pass_over_splits_gives_the_same_rows(spark, tmp_path):
+    rng = random.Random(11)
+    lines = ["up 5"] + rng.choices(["", "\tat x", "  more", "a 31", "é 7", "plain 19"], k=60) + ["\tat y"] * 9
+    simple = lambda line: record(4, F.regexp_extract(line, r"(\d+)$", 1).try_cast("bigint"), F.length(line), F.substring(line, 1, 1), line)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    try:
+        for first in ("up 5", "\tat first", "\ufeffup 5"):
+            path = tmp_path / f"{len(first)}.log"
+            path.write_bytes(("\n".join([first, *lines[1:]]) + "\n").encode())
+            made = rows.split_rows(tagged_lines(spark, [str(path)]), simple)
+            assert (made is None) == (first == "\tat first")
+            if made:
+                plain = rows.with_effective_time(rows.with_record(rows.fold(read_lines(spark, [str(path)])), simple(F.col("text")))).select(*rows.COLUMNS)
+                assert sorted(map(repr, made[0].collect())) == sorted(map(repr, plain.collect()))
+        assert rows.split_rows(tagged_lines(spark, [str(tmp_path / "4.log")]), simple, most=40) is None
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_json_objects_alone(spark):
+    good = ['{"a":1}', '{"a":[1,2]}', '{"a":"]"}', '{"a":1} ', "{}"]
+    bad = ['{"a":1}]', '{"a":1}}', '{"a":1},{"b":2}', '{"a":1},null', '{"a":1},"v":{"b":2}', '{"a":1}]x}', '{"a":1}],[{"b":1}', '{"a":1} x', "[1]", '{"a"']
+    df = spark.createDataFrame([(x,) for x in good + bad], "line string")
+    got = [r.x for r in df.select(json_object(F.col("line")).isNotNull().alias("x")).collect()]
+    assert got == [True] * len(good) + [False] * len(bad)
+
+
 def test_long_rows_are_cut(spark):
     lines = [(0, "f", k // 3, k + 1, "head" if k == 0 else " " + "x" * 9) for k in range(10)]
     df = spark.createDataFrame(lines, "file_id int, file string, part int, line_no bigint, value string")
