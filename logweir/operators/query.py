@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import ERROR, UNKNOWN, WARN, level_name
 from ..functions.text import contains_folded
+from .order_index import OrderIndex
 from .parsers import ACCESS, JSON, LOGFMT, access_fields, json_fields, logfmt_map
 
 SECOND, MINUTE, HOUR, DAY = 1000, 60_000, 3_600_000, 86_400_000
@@ -58,6 +59,11 @@ def display_order() -> list[Column]:
     return [F.col("eff_ts").asc_nulls_first(), F.col("file_id").asc(), F.col("row_seq").asc()]
 
 
+def display_index(logs: DataFrame) -> OrderIndex:
+    """The rows in display order, for pages and seeks that read only where they fall."""
+    return OrderIndex.build(logs, display_order(), "eff_ts")
+
+
 def filter_logs(logs: DataFrame, spec: FilterSpec) -> DataFrame:
     return logs.where(spec.condition())
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.levels import BY_WORD, ERROR, UNKNOWN, WARN, level_from_number, level_from_text, level_name
@@ -152,8 +152,8 @@ def effective_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The display order as a rank; over all rows in one window, so for results of a size to look at."""
-    return logs(spark, sf_dir).select("event_id", F.row_number().over(Window.orderBy(*query.display_order())).alias("place"))
+    """The display order as a rank, from ranges of the order and their counts."""
+    return query.display_index(logs(spark, sf_dir).select("event_id", "eff_ts", "file_id", "row_seq")).places().select("event_id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 SPECS = {
@@ -185,6 +185,14 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.page(logs(spark, sf_dir), SPECS["filter_levels"], 40, 90).select("file_id", "row_seq", "ts_ms", "level", "service", "message")
 
 
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page in the middle of all rows and the seek to its first time, both by the order index."""
+    index = query.display_index(logs(spark, sf_dir).select("file_id", "row_seq", "eff_ts", "message"))
+    middle = index.count // 2
+    seek = index.position("eff_ts", 1_706_400_000_000)
+    return index.slice(middle, middle + 256).select("place", "file_id", "row_seq", "eff_ts", "message", F.lit(seek).cast("bigint").alias("seek"))
+
+
 def position_for_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.position_for_time(logs(spark, sf_dir), SPECS["filter_files"], 1_706_650_000_000)
 
@@ -248,7 +256,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_records": csv_records, "fold_lines": fold_lines, "continuations": continuations, "line_numbers": number_rows, "effective_ts": effective_ts,
     "merge_order": merge_order, **{k: filtered(v) for k, v in SPECS.items()}, "documents_search": documents_search,
     "facet_levels": lambda s, d: query.facet_levels(logs(s, d)), "facet_services": facet_services, "facet_files": lambda s, d: rows.file_stats(logs(s, d)),
-    "histogram": histogram_of(None), "histogram_filtered": histogram_of(SPECS["filter_levels"]), "page_rows": page_rows, "position_for_time": position_for_time,
+    "histogram": histogram_of(None), "histogram_filtered": histogram_of(SPECS["filter_levels"]), "page_rows": page_rows, "deep_page": deep_page, "position_for_time": position_for_time,
     "service_cap": service_cap, "signature": signatures, "detail_fields_json": detail_json, "detail_fields_logfmt": detail_logfmt,
     "approx_bytes": lambda s, d: rows.approx_bytes(logs(s, d)), "levels": levels, "display_formats": display_formats, "flagship": flagship,
 }
@@ -325,6 +333,9 @@ ORACLE_SQL: dict[str, str] = {
     "histogram": _histogram(_ROWS, "WHERE true").replace("FILTER ((WHERE true) AND", "FILTER (WHERE"),
     "histogram_filtered": _histogram(_ROWS, "WHERE level IN (0, 1)").replace("FILTER ((WHERE level IN (0, 1)) AND", "FILTER (WHERE level IN (0, 1) AND"),
     "page_rows": f"{_ROWS} SELECT file_id, row_seq, ts_ms, level, service, message FROM l WHERE level IN (0, 1) ORDER BY eff_ts NULLS FIRST, file_id, row_seq LIMIT 50 OFFSET 40",
+    "deep_page": f"""{_ROWS}, o AS (SELECT row_number() OVER (ORDER BY eff_ts NULLS FIRST, file_id, row_seq) - 1 AS place, file_id, row_seq, eff_ts, message FROM l)
+        SELECT *, (SELECT count(*) FROM o WHERE eff_ts IS NULL OR eff_ts < 1706400000000) AS seek FROM o
+        WHERE place >= (SELECT count(*) // 2 FROM o) AND place < (SELECT count(*) // 2 FROM o) + 256""",
     "position_for_time": f"{_ROWS} SELECT count(*) FILTER (WHERE eff_ts IS NULL OR eff_ts < 1706650000000) AS position FROM l WHERE file_id = 1",
     "service_cap": f"""{_ROWS}, f AS (SELECT svc FROM l GROUP BY svc ORDER BY min((file_id, row_seq)) LIMIT 40)
         SELECT f.svc AS service, count(*) AS n FROM l LEFT JOIN f USING (svc) GROUP BY f.svc""",
