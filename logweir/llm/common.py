@@ -27,15 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
+def own_keys(docs: DataFrame, id: str) -> bool:
+    """Whether identifiers are integers of which none is null or repeated, which one count over them tells."""
+    if docs.schema[id].dataType.simpleString() not in INTEGERS:
+        return False
+    counts = docs.groupBy(F.col(id).alias("_row")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where("_row IS NULL OR _n > 1").isEmpty()
+
+
 def keyed(docs: DataFrame, id: str = "doc_id") -> DataFrame:
     """Each row of docs as a struct (_doc) with a key (_row).
 
-    Integer identifiers are the keys where none is null or repeated, which one count over them tells. Else rows are
-    written once with numbers, so that every read finds the same keys."""
-    if docs.schema[id].dataType.simpleString() in INTEGERS:
-        counts = docs.groupBy(F.col(id).alias("_row")).agg(F.count(F.lit(1)).alias("_n"))
-        if counts.where("_row IS NULL OR _n > 1").isEmpty():
-            return docs.select(F.struct("*").alias("_doc"), F.col(id).cast("bigint").alias("_row"))
+    Identifiers are the keys where they tell rows apart. Else rows are written once with numbers, so that every read
+    finds the same keys."""
+    if own_keys(docs, id):
+        return docs.select(F.struct("*").alias("_doc"), F.col(id).cast("bigint").alias("_row"))
     return cut(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "keyed")
 
 
