@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binding import bind
+from .text import SPACES, trimmed
 
 ERROR, WARN, INFO, DEBUG, TRACE, UNKNOWN = range(6)
 NAMES = ("ERROR", "WARN", "INFO", "DEBUG", "TRACE", "—")
@@ -23,17 +23,12 @@ FLOORS = ((50, ERROR), (40, WARN), (30, INFO), (20, DEBUG), (10, TRACE))
 
 
 def level_of_word(text: str) -> int:
-    return BY_WORD.get(text.strip().lower(), UNKNOWN)
+    return BY_WORD.get(text.strip(SPACES).lower(), UNKNOWN)
 
 
 def level_from_text(text: Column) -> Column:
-    def of(word: Column) -> Column:
-        out = None
-        for level, words in WORDS.items():
-            out = (F if out is None else out).when(word.isin(*words), F.lit(level))
-        return out.otherwise(F.lit(UNKNOWN))
-
-    return bind(F.lower(F.trim(text)), of)
+    words = F.find_in_set(F.lower(trimmed(text)), F.lit(",".join(BY_WORD)))
+    return F.coalesce(F.get(F.lit(list(BY_WORD.values())), words - 1), F.lit(UNKNOWN))
 
 
 def level_from_number(number: Column) -> Column:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import trimmed
 from .timestamps import civil_ms, month_of, zone_ms
 
 #: What each directive matches.
@@ -31,8 +32,8 @@ class TimeFormat:
 
     def parse(self, value: Column) -> Column:
         """Epoch milliseconds, or null if the trimmed value doesn't fit the format as a whole."""
-        text = F.trim(value)
-        last = {code: F.regexp_extract(text, f"^{self.pattern}$", k) for k, code in enumerate(self.groups, 1)}
+        text = trimmed(value)
+        last = {code: F.regexp_extract(text, f"^{self.pattern}\\z", k) for k, code in enumerate(self.groups, 1)}
         number = lambda code, default=0: last[code].try_cast("bigint") if code in last else F.lit(default).cast("bigint")
         of_kind = lambda *codes: next((c for c in reversed(self.groups) if c in codes), None)
         if (epoch := of_kind("s", "Q")) is not None:
@@ -56,7 +57,7 @@ class TimeFormat:
             found = civil_ms(year, month, number(day, 1) if day else F.lit(1), h, number("M"), number("S"), ms)
             if "z" in last:
                 found = found - zone_ms(last["z"])
-        return F.when(text.rlike(f"^{self.pattern}$"), found.cast("bigint"))
+        return F.when(text.rlike(f"^{self.pattern}\\z"), found.cast("bigint"))
 
 
 def compile_time_format(text: str) -> TimeFormat | None:

@@ -7,9 +7,28 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space at a value's ends, and how a number is written.
+SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space at either end, of any kind."""
+    return F.btrim(text, F.lit(SPACES))
+
+
+def number_of(text: Column) -> Column:
+    """The number that a text is, but for white space around it; null for other texts, such as numbers with a type's letter."""
+    digits = trimmed(text)
+    return F.when(digits.rlike(f"^{NUMBER}\\z"), digits.try_cast("double"))
+
+
+def plain_number(text: str) -> float | None:
+    """The same for a value at hand."""
+    return float(text.strip(SPACES)) if re.fullmatch(NUMBER, text.strip(SPACES)) else None
+
+
 def fold_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 

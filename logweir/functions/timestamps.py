@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binding import bind
+from .staged import Stage, Values, in_expression
+from .text import number_of, trimmed
 
 HEAD = 96
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -17,6 +18,8 @@ ISO = r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?(?:Z|[+-]\d{
 CLF = r"\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}(?: [+-]\d{4})?"
 SYSLOG = r"^[A-Za-z]{3} {1,2}\d{1,2} \d{2}:\d{2}:\d{2}"
 EPOCH = r"^\d{10}(?:\d{3}|\.\d{1,6})?\b"
+#: Any of these, in a text's head. Those with a month's name have one.
+ANY = "|".join((ISO, *(p.replace("[A-Za-z]{3}", "(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)") for p in (CLF, SYSLOG)), EPOCH))
 #: A date without a time, and a date in words, which field values may have besides.
 FIELD_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm", "d MMM yyyy HH:mm:ss Z", "MMM d, yyyy")
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
@@ -52,49 +55,81 @@ def zone_ms(zone: Column) -> Column:
     return F.coalesce(F.when(zone.startswith("-"), -size).when(zone.startswith("+"), size), F.lit(0))
 
 
-def _iso(m: Column) -> Column:
-    rest = F.substring(m, 20, 64)
-    ms = fraction_ms(F.regexp_extract(rest, r"^[.,](\d{1,9})", 1))
-    return civil_ms(*(part(m, *x) for x in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))), ms) - zone_ms(F.regexp_extract(rest, r"([+-]\d{2}:?\d{2})$", 1))
-
-
-def _clf(m: Column) -> Column:
-    month = month_of(F.substring(m, 4, 3))
-    return civil_ms(part(m, 8, 4), month, *(part(m, *x) for x in ((1, 2), (13, 2), (16, 2), (19, 2))), F.lit(0)) - zone_ms(F.substring(m, 22, 5))
-
-
-def _syslog(m: Column, now_ms: Column, year: int | None) -> Column:
-    month, day = month_of(F.substring(m, 1, 3)), F.regexp_extract(m, r" (\d{1,2}) ", 1).try_cast("bigint")
-    clock = [F.substring(m, x, 2).try_cast("bigint") for x in (-8, -5, -2)]
-    if year is not None:
-        return civil_ms(F.lit(year), month, day, *clock, F.lit(0))
-    this = F.year(F.timestamp_millis(now_ms))
-    found = civil_ms(this, month, day, *clock, F.lit(0))
-    # without a year, a date well in the future is last year's
-    return F.when(found > now_ms + 48 * HOUR, civil_ms(this - 1, month, day, *clock, F.lit(0))).otherwise(found)
-
-
 def _epoch(m: Column) -> Column:
     ms = F.when(F.length(m) == 13, F.when(F.substring(m, 11, 1) == ".", fraction_ms(F.substring(m, 12, 6))).otherwise(part(m, 11, 3))).otherwise(fraction_ms(F.substring(m, 12, 6)))
     return part(m, 1, 10) * 1000 + ms
 
 
-def find_timestamp(text: Column, now_ms: Column | None = None, year: int | None = None) -> Column:
-    """struct(ts, stop): the first timestamp in the text's head and the number of characters up to its end; ts is null for none.
+def time_stages(now_ms: Column | None = None, year: int | None = None) -> list[Stage]:
+    """Stages from `time_text` to `ts` and `stop`: the first timestamp in the text's head and the number of characters up to
+    its end, both null for none.
 
     now_ms: what tells the year of dates without one (the query's time by default); year: that year itself."""
     now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
+    iso, clf, syslog, epoch = range(4)
+
+    def found(text: Column, pattern: str, *unless: Column) -> Column:
+        """What the pattern finds, unless one of the values is there."""
+        out = F.regexp_substr(text, F.lit(pattern))
+        for u in unless:
+            out = F.when(u.isNull(), out)
+        return out
+
+    def layout(v: Values) -> dict[str, Column]:
+        chosen = F.when(v("iso").isNotNull(), F.lit(iso)).when(v("clf_month").isNotNull(), F.lit(clf)).when(v("syslog_month").isNotNull(), F.lit(syslog)).when(v("epoch").isNotNull(), F.lit(epoch))
+        mark = F.coalesce(v("iso"), F.when(v("clf_month").isNotNull(), v("clf")), F.when(v("syslog_month").isNotNull(), v("syslog")), v("epoch"))
+        return {"layout": chosen, "mark": mark}
+
+    def of_layout(v: Values, *values: Column) -> Column:
+        """One value for each of the layouts ISO, CLF and syslog."""
+        out = F
+        for k, x in enumerate(values):
+            out = out.when(v("layout") == k, x)
+        return out
+
+    def fields(v: Values) -> dict[str, Column]:
+        m, size = v("mark"), F.length(v("mark"))
+        clock = of_layout(v, F.lit(12), F.lit(13), size - 7)
+        two = lambda at: F.substring(m, at, F.lit(2)).try_cast("bigint")
+        return {
+            "year": of_layout(v, part(m, 1, 4), part(m, 8, 4), F.lit(year).cast("bigint") if year is not None else F.year(F.timestamp_millis(now_ms)).cast("bigint")),
+            "month": of_layout(v, part(m, 6, 2), v("clf_month"), v("syslog_month")),
+            "day": of_layout(v, part(m, 9, 2), part(m, 1, 2), F.regexp_extract(m, r" (\d{1,2}) ", 1).try_cast("bigint")),
+            "hour": two(clock), "minute": two(clock + 3), "second": two(clock + 6), "rest": of_layout(v, F.substring(m, 20, 64), F.substring(m, 22, 5)), "stop": F.instr(v("head"), m) + size - 1,
+        }
+
+    def small(v: Values) -> dict[str, Column]:
+        rest = v("rest")
+        some = (v("layout") == iso) & (rest != "")
+        return {
+            "ms": F.when(some, fraction_ms(F.regexp_extract(rest, r"^[.,](\d{1,9})", 1))).otherwise(F.lit(0)),
+            "zone": F.when(some, zone_ms(F.regexp_extract(rest, r"([+-]\d{2}:?\d{2})$", 1))).when(v("layout") == clf, zone_ms(rest)).otherwise(F.lit(0)),
+        }
+
+    def civil(v: Values, years_ago: int = 0) -> Column:
+        return civil_ms(v("year") - years_ago, *map(v, ("month", "day", "hour", "minute", "second", "ms")))
+
+    def chosen(v: Values) -> dict[str, Column]:
+        at = F.when(v("layout") == epoch, _epoch(v("mark"))).otherwise(v("civil") - v("zone"))
+        if year is None:  # without a year, a date well in the future is last year's
+            at = F.when((v("layout") == syslog) & (v("civil") > now_ms + 48 * HOUR), civil(v, 1)).otherwise(at)
+        return {"ts": at.cast("bigint")}
+
+    return [
+        lambda v: {"head": F.substring(v("time_text"), 1, HEAD)},
+        lambda v: {"iso": found(v("head"), ISO)},
+        lambda v: {"clf": found(v("head"), CLF, v("iso"))},
+        lambda v: {"clf_month": month_of(F.substring(v("clf"), 4, 3))},
+        lambda v: {"syslog": found(v("head"), SYSLOG, v("iso"), v("clf_month"))},
+        lambda v: {"syslog_month": month_of(F.substring(v("syslog"), 1, 3))},
+        lambda v: {"epoch": found(v("head"), EPOCH, v("iso"), v("clf_month"), v("syslog_month"))},
+        layout, fields, small, lambda v: {"civil": civil(v)}, chosen,
+    ]
 
-    def of(head: Column) -> Column:
-        def one(pattern: str, value) -> Column:
-            made = lambda m: F.struct(value(m).cast("bigint").alias("ts"), (F.instr(head, m) + F.length(m) - 1).alias("stop"))
-            return bind(F.regexp_substr(head, F.lit(pattern)), lambda m: F.when(m.isNotNull(), made(m)))
 
-        dated = lambda found: F.when(found["ts"].isNotNull(), found)  # noqa: E731  a month may be no month
-        tried = (one(ISO, _iso), bind(one(CLF, _clf), dated), bind(one(SYSLOG, lambda m: _syslog(m, now_ms, year)), dated), one(EPOCH, _epoch))
-        return F.coalesce(*tried, F.struct(F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("int").alias("stop")))
-
-    return bind(F.substring(text, 1, HEAD), of)
+def find_timestamp(text: Column, now_ms: Column | None = None, year: int | None = None) -> Column:
+    """struct(ts, stop) of time_stages, as one Column."""
+    return in_expression(time_stages(now_ms, year), {"time_text": text}, lambda v: F.struct(v("ts").alias("ts"), v("stop").alias("stop")))
 
 
 def number_timestamp(value: Column) -> Column:
@@ -103,12 +138,28 @@ def number_timestamp(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).when(value > 1e12, rounded(value)).when(value > 1e9, rounded(value * 1000))
 
 
-def text_timestamp(value: Column, now_ms: Column | None = None) -> Column:
-    """A field's value: a timestamp, a number, or one of FIELD_FORMATS."""
+def has_time(text: Column) -> Column:
+    """Whether there is a timestamp in the text's head."""
+    return F.substring(text, 1, HEAD).rlike(ANY)
+
+
+def other_time(text: Column) -> Column:
+    """Of a field's value without a timestamp: what it means as a number, or else in one of FIELD_FORMATS."""
+    plain = F.regexp_replace(trimmed(text), "^[A-Za-z]{3}, ", "")
+    dates = F.coalesce(*[F.unix_millis(F.try_to_timestamp(plain, F.lit(f))) for f in FIELD_FORMATS])
+    return F.when(number_of(text).isNotNull(), number_timestamp(number_of(text))).otherwise(dates)
+
 
-    def other(text: Column) -> Column:
-        plain = F.regexp_replace(text, "^[A-Za-z]{3}, ", "")
-        dates = F.coalesce(*[F.unix_millis(F.try_to_timestamp(plain, F.lit(f))) for f in FIELD_FORMATS])
-        return bind(text.try_cast("double"), lambda number: F.when(number.isNotNull(), number_timestamp(number)).otherwise(dates))
+def is_field_time(text: Column) -> Column:
+    """Whether a field's value has a time."""
+    return has_time(text) | other_time(text).isNotNull()
 
-    return F.coalesce(find_timestamp(value, now_ms)["ts"], other(F.trim(value)))
+
+def field_stages(now_ms: Column | None = None) -> list[Stage]:
+    """Stages from a field's value `time_text` to its time `ts`: a timestamp, a number or a date."""
+    return [*time_stages(now_ms), lambda v: {"ts": F.coalesce(v("ts"), F.when(v("ts").isNull(), other_time(v("time_text"))))}]
+
+
+def text_timestamp(value: Column, now_ms: Column | None = None) -> Column:
+    """field_stages as one Column."""
+    return in_expression(field_stages(now_ms), {"time_text": value}, lambda v: v("ts"))

@@ -1,19 +1,22 @@
 """One log line to one record: struct(kind, ts, level, service, message), by Column expressions alone.
 
-parse_line tries the families in a fixed order and takes the first that fits; a line that fits none is a raw record.
-Each family's test is cheap and stands apart from its fields, so that only one family's fields are computed for a line.
+The families are tried in a fixed order and the first that fits is taken; a line that fits none is a raw record. Parsing
+is a chain of projections (line_stages): a line's family, then where its time, level, service and message stand, then
+their values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binding import bind
 from ..functions.levels import INFO, UNKNOWN, level_from_number, level_from_status, level_from_text
-from ..functions.timestamps import find_timestamp, number_timestamp, text_timestamp
+from ..functions.staged import PREFIX, Stage, Values, named, value, with_stages
+from ..functions.timestamps import is_field_time, number_timestamp, other_time, time_stages
 
 JSON, LOGFMT, ACCESS, SYSLOG, GENERIC, RAW, CONTINUATION, CSV, CUSTOM = range(9)
 KINDS = ("json", "logfmt", "access", "syslog", "generic", "raw", "continuation", "csv", "custom")
@@ -61,93 +64,83 @@ def service_name(value: Column) -> Column:
 # --- JSON ---------------------------------------------------------------------------------------
 
 
-def json_object(line: Column) -> Column:
-    """The line as a variant if it is one JSON object and nothing else."""
-    # in a list, the line must be one value; only a line with a bracket may close the list early, which the second wrapping refuses
+def wrapped_json(line: Column) -> Column:
+    """A line that begins as an object, as the only element of a list: what stands behind it would be another element."""
+    return F.when(line.startswith("{"), F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
+
+
+def only_element(line: Column, wrapped: Column) -> Column:
+    """The list's element if the line is nothing else. A line with a bracket may have closed the list early, which a second wrapping refuses."""
     whole = ~F.contains(line, F.lit("]")) | F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}"))).isNotNull()
-    only = lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull() & whole, F.try_variant_get(v, "$[0]", "variant"))
-    return F.when(line.startswith("{"), bind(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))), only))
+    return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull() & whole, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
-def json_values(fields: Column, keys: tuple[str, ...]) -> Column:
-    """The values of those keys that an object's fields have, in the order of keys."""
-    return F.filter(F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.try_element_at(fields, k)), lambda v: v.isNotNull())
+def json_object(line: Column) -> Column:
+    """The line as a variant if it is one JSON object and nothing else."""
+    return bind(wrapped_json(line), lambda wrapped: only_element(line, wrapped))
 
 
-def typed(value: Column, text: Callable[[Column], Column], number: Callable[[Column], Column] | None = None) -> Column:
-    """text() of a variant that is a string, number() of one that is a number; null for others."""
+def json_fields(line: Column) -> Column:
+    """The object's fields, each as JSON text."""
+    return json_object(line).try_cast("map<string,variant>")
 
-    def of(kind: Column) -> Column:
-        out = F.when(kind == "STRING", text(value.try_cast("string")))
-        return out.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), number(value.try_cast("double"))) if number else out
 
-    return bind(F.schema_of_variant(value), of)
+def json_values(keys: tuple[str, ...]) -> list[str]:
+    """SQL for the values of keys in the stages' `body`."""
+    return [f"""try_variant_get({PREFIX}body, '$["{key}"]', 'variant')""" for key in keys]
 
 
-def parse_json(line: Column, now_ms: Column | None = None, body: Column | None = None) -> Column:
-    """body: the line's variant, if it is at hand."""
+NUMERIC = ("BIGINT", "DOUBLE", "FLOAT")
 
-    def of(fields: Column) -> Column:
-        ts = first_of(json_values(fields, TIME_KEYS), lambda v: typed(v, lambda t: text_timestamp(t, now_ms), number_timestamp))
-        level = first_of(json_values(fields, LEVEL_KEYS), lambda v: known_level(typed(v, level_from_text, level_from_number)))
-        message = first_of(json_values(fields, MESSAGE_KEYS), lambda v: typed(v, lambda t: F.nullif(t, F.lit(""))))
-        service = first_of(json_values(fields, SERVICE_KEYS), lambda v: typed(v, service_name))
-        return record(JSON, ts, F.coalesce(level, F.lit(UNKNOWN)), service, F.coalesce(message, line))
 
-    return bind((json_object(line) if body is None else body).try_cast("map<string,variant>"), of)
+def variant_text(value: Column) -> Column:
+    """A variant's text if it is a string."""
+    return F.when(F.schema_of_variant(value) == "STRING", value.try_cast("string"))
 
 
-def json_fields(line: Column) -> Column:
-    """The object's fields, each as JSON text."""
-    return json_object(line).try_cast("map<string,variant>")
+def variant_number(value: Column, kind: Column) -> Column:
+    """A variant's number, given its kind, if it is one."""
+    return F.when(kind.isin(*NUMERIC) | kind.startswith("DECIMAL"), value.try_cast("double"))
 
 
-# --- key=value ----------------------------------------------------------------------------------
+def is_json_time(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    return F.coalesce(F.when(kind == "STRING", is_field_time(value.try_cast("string"))).otherwise(number_timestamp(variant_number(value, kind)).isNotNull()), F.lit(False))
 
 
-def logfmt_map(line: Column, most: int | None = PAIRS) -> Column:
-    """Keys and values; a key's last value counts. most: how many pairs are read."""
-    found = F.regexp_extract_all(line, F.lit(PAIR), F.lit(0))
-    found = F.slice(found, 1, most) if most else found
+def json_level(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    text = F.when(kind == "STRING", level_from_text(value.try_cast("string")))
+    number = variant_number(value, kind)
+    return known_level(F.coalesce(text, F.when(number.isNotNull(), level_from_number(number))))
 
-    def entry(pair: Column) -> Column:
-        key = F.substring_index(pair, "=", 1)
-        # a quoted value loses its first and its last character, whatever that is
-        inner = lambda raw: F.regexp_replace(F.substring(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0))), r"\\(.)", "$1")
-        value = bind(F.substring(pair, F.length(key) + 2, F.length(pair)), lambda raw: F.when(raw.startswith('"'), inner(raw)).otherwise(raw))
-        return F.struct(key.alias("key"), value.alias("value"))
 
-    return F.map_from_entries(F.transform(found, entry))
+# --- key=value ----------------------------------------------------------------------------------
 
 
-def logfmt_fields(line: Column) -> Column:
-    """The map of a line that has two pairs and two keys with a value, or null."""
-    pairs = F.size(F.slice(F.regexp_extract_all(line, F.lit(PAIR), F.lit(0)), 1, PAIRS))
-    enough = lambda fields: F.when(F.size(F.filter(F.map_values(fields), lambda v: v != "")) >= 2, fields)
-    return F.when(F.contains(line, F.lit("=")), F.when(pairs >= 2, bind(logfmt_map(line), enough)))
+def logfmt_pairs(line: Column, most: int | None = PAIRS) -> Column:
+    found = F.regexp_extract_all(line, F.lit(PAIR), F.lit(0))
+    return F.slice(found, 1, most) if most else found
 
 
-def parse_logfmt(line: Column, now_ms: Column | None = None, fields: Column | None = None) -> Column:
-    """fields: the line's map, if it is at hand."""
+def pairs_map(pairs: Column) -> Column:
+    """Keys and values; a key's last value counts. A quoted value loses its first and its last character, whatever that is."""
 
-    def of(fields: Column) -> Column:
-        values = lambda keys: F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.try_element_at(fields, k))
-        ts = F.coalesce(first_of(values(TIME_KEYS), lambda v: text_timestamp(v, now_ms)), find_timestamp(line, now_ms)["ts"])
-        level = first_of(values(LEVEL_KEYS), lambda v: known_level(level_from_text(v)))
-        message = first_of(values(MESSAGE_KEYS), lambda v: F.nullif(v, F.lit("")))
-        service = first_of(values(SERVICE_KEYS), service_name)
-        return record(LOGFMT, ts, F.coalesce(level, F.lit(UNKNOWN)), service, F.coalesce(message, line))
+    def entry(pair: Column) -> Column:
+        key = F.substring_index(pair, "=", 1)
+        raw = F.substring(pair, F.length(key) + 2, F.length(pair))
+        inner = F.regexp_replace(F.substring(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0))), r"\\(.)", "$1")
+        return F.struct(key.alias("key"), F.when(raw.startswith('"'), inner).otherwise(raw).alias("value"))
 
-    return bind(logfmt_fields(line), of) if fields is None else of(fields)
+    return F.map_from_entries(F.transform(pairs, entry))
 
 
-# --- other families -----------------------------------------------------------------------------
+def logfmt_map(line: Column, most: int | None = PAIRS) -> Column:
+    """A line's keys and values. most: how many pairs are read."""
+    return pairs_map(logfmt_pairs(line, most))
 
 
-def parse_access(line: Column, now_ms: Column | None = None) -> Column:
-    group = lambda k: F.regexp_extract(line, ACCESS_LINE, k)
-    message = F.concat_ws(" ", group(6), group(4), group(5))
-    return record(ACCESS, find_timestamp(group(3), now_ms)["ts"], level_from_status(group(6).try_cast("int")), F.lit(None), message)
+# --- lines --------------------------------------------------------------------------------------
 
 
 def access_fields(line: Column) -> Column:
@@ -156,36 +149,109 @@ def access_fields(line: Column) -> Column:
     return F.when(line.rlike(ACCESS_LINE), F.create_map(*pairs))
 
 
-def level_in(text: Column) -> Column:
-    """The first level word in the text's head."""
-    token = F.regexp_extract(F.substring(text, 1, 160), LEVEL_TOKEN, 1)
-    return bind(token, lambda t: F.when(t == "", F.lit(UNKNOWN)).otherwise(level_from_text(t)))
-
-
-def parse_syslog(line: Column, now_ms: Column | None = None, year: int | None = None) -> Column:
-    ts = find_timestamp(line, now_ms, year)["ts"]
-    level = lambda body: F.coalesce(known_level(level_in(body)), F.lit(INFO))
-    made = lambda body: record(SYSLOG, ts, level(body), F.regexp_extract(line, SYSLOG_LINE, 2), F.when(body == "", line).otherwise(body))
-    return bind(F.regexp_extract(line, SYSLOG_LINE, 4), made)
-
-
-def parse_generic(line: Column, now_ms: Column | None = None, year: int | None = None) -> Column:
-    def service(found: Column) -> Column:
-        group = lambda after, k: F.nullif(F.regexp_extract(after, GENERIC_SERVICE, k), F.lit(""))
-        name = bind(F.substring(line, found["stop"] + 1, F.lit(120)), lambda after: F.coalesce(group(after, 1), group(after, 2)))
-        return F.when(found["ts"].isNotNull(), bind(name, lambda n: F.when(level_from_text(n) == UNKNOWN, n)))
-
-    kind = lambda found, level: F.when(found["stop"].isNotNull() | (level != UNKNOWN), F.lit(GENERIC)).otherwise(F.lit(RAW))
-    made = lambda found, level: record(kind(found, level), found["ts"], level, service(found), line)
-    return bind(find_timestamp(line, now_ms, year), lambda found: bind(level_in(line), lambda level: made(found, level)))
+@lru_cache(maxsize=64)
+def line_stages(context: int, now_ms: int | None = None, year: int | None = None, only: int | None = None) -> list[dict[str, Column]]:
+    """Stages from `line` to its record: kind, ts, level, service, message. context: what they are kept for.
+
+    The family comes first, then the texts that hold its time, level, service and message, and only then is one time read,
+    whatever the family. Of several keys for one purpose, the first whose value will do counts: most often that is the
+    first that is there, so the others are looked at only where it won't. only: the family that the lines are known to
+    have; other lines have null records."""
+    families = (JSON, ACCESS, SYSLOG, LOGFMT, GENERIC) if only is None else (only,)
+    none = lambda kind: F.lit(None).cast(kind)
+    maybe = lambda family, make, kind="string": make() if family in families else none(kind)
+    is_kind = lambda v, family: (v("family") == family) if family in families else F.lit(False)
+
+    def family(v: Values) -> dict[str, Column]:
+        if only in (ACCESS, SYSLOG, GENERIC):
+            return {"family": F.lit(only)}
+        out = F.when(v("body").isNotNull(), F.lit(JSON))
+        return {"family": out if only is not None else out.when(v("line").rlike(ACCESS_LINE), F.lit(ACCESS)).when(v("line").rlike(SYSLOG_LINE), F.lit(SYSLOG))}
+
+    def loose(v: Values) -> dict[str, Column]:
+        enough = lambda: F.when(F.size(F.array_remove(F.map_values(v("fields")), "")) >= 2, F.lit(LOGFMT))
+        return {"family": F.coalesce(v("family"), maybe(LOGFMT, enough, "int"), maybe(GENERIC, lambda: F.lit(GENERIC), "int"))}
+
+    def pick(first: Column, keys: tuple[str, ...], made: Callable[[Column], Column]) -> Column:
+        """made() of the first value at hand, or else of the first other for which it isn't null."""
+        return F.when(first.isNotNull(), F.coalesce(made(first), first_of(F.expr(f"array({', '.join(json_values(keys))})"), made)))
+
+    def keyed(keys: tuple[str, ...], made: Callable[[Column], Column]) -> Column:
+        fields = F.when(value("family") == LOGFMT, value("fields"))
+        return F.when(fields.isNotNull(), first_of(F.lit(list(keys)), lambda k: made(F.try_element_at(fields, k))))
+
+    def picks(v: Values) -> dict[str, Column]:
+        text = lambda t: F.nullif(t, F.lit(""))
+        roles = {"level": (LEVEL_KEYS, json_level, lambda t: known_level(level_from_text(t))), "service": (SERVICE_KEYS, lambda x: service_name(variant_text(x)), service_name), "message": (MESSAGE_KEYS, lambda x: text(variant_text(x)), text)}
+        out = {"json_time": maybe(JSON, lambda: pick(v("json_time"), TIME_KEYS, lambda x: F.when(is_json_time(x), x)), "variant"), "key_time": maybe(LOGFMT, lambda: keyed(TIME_KEYS, lambda t: F.when(is_field_time(t), t)))}
+        for role, (keys, of_json, of_text) in roles.items():
+            kind = "int" if role == "level" else "string"
+            out[role] = F.coalesce(maybe(JSON, lambda: pick(v(f"json_{role}"), keys, of_json), kind), maybe(LOGFMT, lambda: keyed(keys, of_text), kind))  # noqa: B023
+        return out
+
+    def spans(v: Values) -> dict[str, Column]:
+        return {
+            "bracket": maybe(ACCESS, lambda: F.when(is_kind(v, ACCESS), F.regexp_extract(v("line"), ACCESS_LINE, 3))), "status": maybe(ACCESS, lambda: F.when(is_kind(v, ACCESS), F.regexp_extract(v("line"), ACCESS_LINE, 6))),
+            "body_text": maybe(SYSLOG, lambda: F.when(is_kind(v, SYSLOG), F.regexp_extract(v("line"), SYSLOG_LINE, 4))),
+        }
+
+    def time_text(v: Values) -> dict[str, Column]:
+        by_json = maybe(JSON, lambda: variant_text(v("json_time")))
+        return {"time_text": F.when(is_kind(v, JSON), by_json).when(is_kind(v, ACCESS), v("bracket")).otherwise(F.coalesce(v("key_time"), v("line")))}
+
+    def field_time(v: Values) -> dict[str, Column]:
+        """Keys' values may also be numbers or dates."""
+        text = F.when(v("ts").isNull() & (is_kind(v, JSON) | v("key_time").isNotNull()), other_time(v("time_text")))
+        number = maybe(JSON, lambda: F.when(v("json_time").isNotNull(), number_timestamp(variant_number(v("json_time"), F.schema_of_variant(v("json_time"))))), "bigint")
+        return {"ts": F.coalesce(v("ts"), text, number)}
+
+    def token(v: Values) -> dict[str, Column]:
+        """The first level word in the head of what is said."""
+        said = F.coalesce(v("body_text"), F.when(is_kind(v, GENERIC), v("line")))
+        after = F.when(is_kind(v, GENERIC) & v("ts").isNotNull(), F.substring(v("line"), v("stop") + 1, F.lit(120)))
+        return {"token": F.regexp_extract(F.substring(said, 1, 160), LEVEL_TOKEN, 1), "after": after}
+
+    def level(v: Values) -> dict[str, Column]:
+        spoken = known_level(level_from_text(v("token")))
+        said = F.when(is_kind(v, SYSLOG), F.coalesce(spoken, F.lit(INFO))).when(is_kind(v, GENERIC), spoken).when(is_kind(v, ACCESS), level_from_status(v("status").try_cast("int")))
+        group = lambda k: F.nullif(F.regexp_extract(v("after"), GENERIC_SERVICE, k), F.lit(""))
+        return {"level": F.coalesce(v("level"), said, F.lit(UNKNOWN)).cast("int"), "name": maybe(GENERIC, lambda: F.coalesce(group(1), group(2)))}
+
+    def rest(v: Values) -> dict[str, Column]:
+        process = maybe(SYSLOG, lambda: F.when(is_kind(v, SYSLOG), F.regexp_extract(v("line"), SYSLOG_LINE, 2)))
+        request = maybe(ACCESS, lambda: F.when(is_kind(v, ACCESS), F.concat_ws(" ", v("status"), F.regexp_extract(v("line"), ACCESS_LINE, 4), F.regexp_extract(v("line"), ACCESS_LINE, 5))))
+        raw = is_kind(v, GENERIC) & v("stop").isNull() & (v("level") == UNKNOWN)
+        return {
+            "service": F.coalesce(v("service"), process, maybe(GENERIC, lambda: F.when(level_from_text(v("name")) == UNKNOWN, v("name")))),
+            "message": F.coalesce(v("message"), request, F.nullif(v("body_text"), F.lit("")), v("line")), "kind": F.when(raw, F.lit(RAW)).otherwise(v("family")).cast("int"),
+        }
+
+    def first_values(role: str, keys: tuple[str, ...]) -> Stage:
+        return lambda v: {f"json_{role}": F.expr(f"coalesce({', '.join(json_values(keys))})")}
+
+    structured = [
+        lambda v: {"wrapped": wrapped_json(v("line"))}, lambda v: {"body": only_element(v("line"), v("wrapped"))}, first_values("time", TIME_KEYS), first_values("level", LEVEL_KEYS),
+        first_values("service", SERVICE_KEYS), first_values("message", MESSAGE_KEYS),
+    ]
+    paired = [
+        lambda v: {"pairs": F.when(v("family").isNull() & F.contains(v("line"), F.lit("=")), logfmt_pairs(v("line")))},
+        lambda v: {"fields": F.when(F.size(v("pairs")) >= 2, pairs_map(v("pairs")))},
+    ]
+    now = F.lit(now_ms) if now_ms is not None else None
+    return named([
+        *(structured if JSON in families else [lambda v: {"body": none("variant")}]), family, *(paired if LOGFMT in families else [lambda v: {"fields": none("map<string,string>")}]),
+        loose, picks, spans, time_text, *time_stages(now, year), field_time, token, level, rest,
+    ])
+
+
+RECORD = ("kind", "ts", "level", "service", "message")
+
+
+def with_line_record(df: DataFrame, line: Column, now_ms: int | None = None, year: int | None = None, only: int | None = None, ts: str = "ts_ms") -> DataFrame:
+    """Adds the record of each line: kind, ts_ms, level, service, message. now_ms: what tells the year of dates without one."""
+    stages = line_stages(id(df.sparkSession.sparkContext), now_ms, year, only)
+    return with_stages(df, stages, {"line": line}, {ts if c == "ts" else c: c for c in RECORD})
 
 
 def is_continuation(line: Column) -> Column:
     return (line == "") | line.rlike(CONTINUES)
-
-
-def parse_line(line: Column, now_ms: Column | None = None, year: int | None = None) -> Column:
-    """The record of a line."""
-    other = F.when(line.rlike(ACCESS_LINE), parse_access(line, now_ms)).when(line.rlike(SYSLOG_LINE), parse_syslog(line, now_ms, year))
-    loose = bind(logfmt_fields(line), lambda fields: F.when(fields.isNotNull(), parse_logfmt(line, now_ms, fields)).otherwise(parse_generic(line, now_ms, year)))
-    return bind(json_object(line), lambda body: F.when(body.isNotNull(), parse_json(line, now_ms, body)).otherwise(other.otherwise(loose)))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..work import cut, discard
-from .parsers import is_continuation, parse_line
+from .parsers import is_continuation, with_line_record
 
 FOLD_BYTES = 1 << 20
 #: Columns of the table that all queries read.
@@ -84,9 +84,9 @@ def fold(lines: DataFrame, head: Column | None = None, most: int = FOLD_BYTES) -
     )
 
 
-def with_record(rows: DataFrame, record: Column) -> DataFrame:
+def with_record(rows: DataFrame, record: Column, ts: str = "ts_ms") -> DataFrame:
     """Adds a record's fields; a generator evaluates it once, where fields of a struct might each evaluate it anew."""
-    return rows.select("*", F.inline(F.array(record))).withColumnRenamed("ts", "ts_ms")
+    return rows.select("*", F.inline(F.array(record))).withColumnRenamed("ts", ts)
 
 
 def with_effective_time(rows: DataFrame) -> DataFrame:
@@ -167,14 +167,14 @@ def fold_in_order(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def split_rows(tagged: DataFrame, parse: Callable[[Column], Column], head: Column | None = None, most: int = FOLD_BYTES) -> tuple[DataFrame, list[DataFrame]] | None:
+def split_rows(tagged: DataFrame, parse: Callable[[DataFrame, Column], DataFrame], head: Column | None = None, most: int = FOLD_BYTES) -> tuple[DataFrame, list[DataFrame]] | None:
     """A scan's lines (file_id, file, part, value; in order inside a split) to the table with COLUMNS, and the tables that it reads.
 
-    None where a row outgrows `most` bytes, or a file begins with a byte order mark or a line that would continue a
+    parse adds a line's kind, ts, level, service and message. None where a row outgrows `most` bytes, or a file begins with a byte order mark or a line that would continue a
     row: those take number_lines() and fold(). At most two rows of a split are exchanged."""
     head = F.coalesce(~is_continuation(F.col("value")) if head is None else head, F.lit(True))
     lines = tagged.select("file_id", "file", "part", "value", head.alias("head"))
-    rows = cut(lines.select("*", F.inline(F.array(F.when(F.col("head"), parse(F.col("value")))))).mapInArrow(fold_in_order(most), SPLIT_ROWS), "rows")
+    rows = cut(parse(lines, F.when(F.col("head"), F.col("value"))).mapInArrow(fold_in_order(most), SPLIT_ROWS), "rows")
     starts = F.col("seq") > 0
     totals = rows.groupBy("file_id", "part").agg(
         F.count_if(starts).alias("n"), F.sum(F.col("folded") + 1).alias("lines"), F.max("top").alias("top"), F.max("odd").alias("odd"),
@@ -203,9 +203,9 @@ def split_rows(tagged: DataFrame, parse: Callable[[Column], Column], head: Colum
     return placed.where(~edge).select(*COLUMNS).unionByName(joined.select(*COLUMNS)), [rows, splits]
 
 
-def build_logs(lines: DataFrame, now_ms: Column | None = None) -> DataFrame:
+def build_logs(lines: DataFrame, now_ms: int | None = None) -> DataFrame:
     """Numbered lines (file_id, file, part, line_no, value) to the table with COLUMNS."""
-    return with_effective_time(with_record(fold(lines), parse_line(F.col("text"), now_ms))).select(*COLUMNS)
+    return with_effective_time(with_line_record(fold(lines), F.col("text"), now_ms)).select(*COLUMNS)
 
 
 def with_row_ids(logs: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ from ..functions.text import format_bucket, format_bytes, highlight, line_signat
 from ..functions.timestamps import find_timestamp, text_timestamp
 from ..operators import delimited, query, rows
 from ..operators.custom import PatternSpec, compile_pattern_format
-from ..operators.parsers import configure, is_continuation, json_fields, logfmt_map, parse_access, parse_generic, parse_json, parse_line, parse_logfmt, parse_syslog
+from ..operators.parsers import ACCESS, GENERIC, JSON, LOGFMT, SYSLOG, configure, is_continuation, json_fields, logfmt_map, with_line_record
+from ..work import spread
 
 #: 2024-02-01: after all events, so that dates without a year are of 2024.
 NOW_MS = 1_706_745_600_000
@@ -31,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with ms (epoch milliseconds), word (a level word) and svc."""
-    df = table(spark, sf_dir, "events")
+    df = spread(table(spark, sf_dir, "events"))
     word = F.get(F.array(*[F.lit(w) for w in WORDS]), (F.col("event_id") % len(WORDS)).cast("int"))
     return df.select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_type", "user_id", "props", word.alias("word"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("svc"))
 
@@ -64,8 +65,9 @@ def parsed(df: DataFrame, record: Column) -> DataFrame:
     return df.select("event_id", F.explode(F.array(record)).alias("r")).select("event_id", "r.kind", F.col("r.ts").alias("ts_ms"), "r.level", "r.service", "r.message")
 
 
-def parse_query(family: str, parse: Callable[[Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: parsed(events(spark, sf_dir).withColumn("line", line_of(family)), parse(F.col("line")))
+def parse_query(family: str, only: int) -> Callable[[SparkSession, str], DataFrame]:
+    lines = lambda spark, sf_dir: events(spark, sf_dir).select("event_id", line_of(family).alias("line"))
+    return lambda spark, sf_dir: with_line_record(lines(spark, sf_dir), F.col("line"), NOW_MS, only=only).drop("line")
 
 
 FAMILIES = ("json", "logfmt", "access", "syslog", "generic", "raw")
@@ -79,7 +81,7 @@ def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(mixed_lines(spark, sf_dir), parse_line(F.col("line"), F.lit(NOW_MS))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("ts_ms").alias("sum_ts"), F.count("service").alias("services"))
+    return with_line_record(mixed_lines(spark, sf_dir).select("line"), F.col("line"), NOW_MS).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("ts_ms").alias("sum_ts"), F.count("service").alias("services"))
 
 
 def time_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +120,7 @@ def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = lines.select(F.lit(0).alias("file_id"), F.lit("events.csv").alias("file"), F.floor(F.col("line_no") / 4096).alias("part"), F.col("line_no").cast("bigint").alias("line_no"), "value")
     found = delimited.records(tagged, ",")
     roles = delimited.infer_roles(tuple(head.split(",")), [r.fields for r in found.where("rec_no <= 24").orderBy("rec_no").select("fields").collect()])
-    return found.withColumn("r", F.explode(F.array(delimited.parse_record(F.col("fields"), roles, F.lit(NOW_MS))))).select("rec_no", F.col("r.ts").alias("ts_ms"), "r.level", "r.service", "r.message")
+    return delimited.with_field_record(found, F.col("fields"), roles, NOW_MS).select("rec_no", "ts_ms", "level", "service", "message")
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,16 +244,16 @@ def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered lines of all families through folding, parsing and merging to a histogram of errors and warnings."""
     df = mixed_lines(spark, sf_dir).select(F.lit(0).alias("file_id"), F.lit("mixed.log").alias("file"), F.floor(F.col("event_id") / 4096).alias("part"), (F.col("event_id") + 1).cast("bigint").alias("line_no"), F.col("line").alias("value"))
-    return query.histogram(rows.build_logs(df, F.lit(NOW_MS)), SPECS["filter_levels"])
+    return query.histogram(rows.build_logs(df, NOW_MS), SPECS["filter_levels"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "json_lines_parse": parse_query("json", lambda c: parse_json(c, F.lit(NOW_MS))),
-    "json_numeric_level": parse_query("number", lambda c: parse_json(c, F.lit(NOW_MS))),
-    "logfmt_parse": parse_query("logfmt", lambda c: parse_logfmt(c, F.lit(NOW_MS))),
-    "access_parse": parse_query("access", lambda c: parse_access(c, F.lit(NOW_MS))),
-    "syslog_parse": parse_query("syslog", lambda c: parse_syslog(c, F.lit(NOW_MS))),
-    "generic_parse": parse_query("generic", lambda c: parse_generic(c, F.lit(NOW_MS))),
+    "json_lines_parse": parse_query("json", JSON),
+    "json_numeric_level": parse_query("number", JSON),
+    "logfmt_parse": parse_query("logfmt", LOGFMT),
+    "access_parse": parse_query("access", ACCESS),
+    "syslog_parse": parse_query("syslog", SYSLOG),
+    "generic_parse": parse_query("generic", GENERIC),
     "mixed_dispatch": mixed_dispatch, "time_layouts": time_layouts, "strptime_custom": strptime_custom, "pattern_format": pattern_format,
     "csv_records": csv_records, "fold_lines": fold_lines, "continuations": continuations, "line_numbers": number_rows, "effective_ts": effective_ts,
     "merge_order": merge_order, **{k: filtered(v) for k, v in SPECS.items()}, "documents_search": documents_search,

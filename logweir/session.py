@@ -9,14 +9,14 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.strptime import compile_time_format
 from .functions.text import signature
 from .operators import delimited
 from .operators.custom import ColumnSpec, FormatError, PatternFormat, PatternSpec, compile_pattern_format
-from .operators.parsers import CSV, CUSTOM, configure, parse_line
+from .operators.parsers import CSV, CUSTOM, configure, with_line_record
 from .operators.query import FilterSpec, Snapshot, detail, facet_levels, facet_services, histogram, page, position_for_time
 from .operators.rows import COLUMNS, approx_bytes, cap_services, file_stats, fold, split_rows, with_effective_time, with_record, with_row_ids
 from .sources.lines import file_head, read_lines, tagged_lines, text_lines
@@ -47,9 +47,8 @@ class LogSession:
         configure(spark)
         self.spark, self.registry, self.max_services = spark, registry or FormatRegistry(), max_services
         self.folder = folder or new_dir(spark, "logs")
-        self.now = F.lit(now_ms) if now_ms is not None else None
+        self.now = now_ms
         self.files: list[LogFile] = []
-        self._records: dict[str, Column] = {}
 
     # --- adding -----------------------------------------------------------------------------------
 
@@ -100,33 +99,27 @@ class LogSession:
             self._rows(made).write.parquet(table)
         return made
 
-    def _record(self, column: str) -> Column:
-        """The record of a column's lines; building that expression takes longer than reading a small file, so it is built once."""
-        if column not in self._records:
-            self._records[column] = parse_line(F.col(column), self.now)
-        return self._records[column]
-
     def _in_order(self, file: LogFile) -> tuple[DataFrame, list[DataFrame]] | None:
         """The rows by one pass over each split, and the tables they are made of; None where that can't be."""
         if not file.pattern:
-            return split_rows(file.scan, lambda _: self._record("value"))
-        found = split_rows(file.scan, file.pattern.parse, file.pattern.matched(F.col("value")) if file.pattern.fold_unmatched else F.lit(True))
+            return split_rows(file.scan, lambda lines, line: with_line_record(lines, line, self.now, ts="ts"))
+        taught = lambda lines, line: with_record(lines, F.when(line.isNotNull(), file.pattern.parse(line)), ts="ts")
+        found = split_rows(file.scan, taught, file.pattern.matched(F.col("value")) if file.pattern.fold_unmatched else F.lit(True))
         return found and (found[0].withColumn("line_no", F.col("row_seq") + 1), found[1])
 
     def _rows(self, file: LogFile) -> DataFrame:
         if file.pattern:
             rows = fold(file.lines, file.pattern.matched(F.col("value")) if file.pattern.fold_unmatched else F.lit(True))
             # rows are numbered by themselves here, not by their lines
-            rows, record = rows.withColumn("line_no", F.col("row_seq") + 1), file.pattern.parse(F.col("text"))
+            rows = with_record(rows.withColumn("line_no", F.col("row_seq") + 1), file.pattern.parse(F.col("text")))
         elif file.dialect:
             found = delimited.records(file.lines, file.dialect.delimiter)
             samples = [r.fields for r in found.where(F.col("rec_no") <= delimited.ROLE_RECORDS).orderBy("rec_no").select("fields").collect()]
-            roles = self._roles(file, samples)
             rows = found.select("*", (F.col("rec_no") - 1).alias("row_seq"), F.col("rec_no").alias("line_no"), F.lit(0).alias("folded"))
-            record = delimited.parse_record(F.col("fields"), roles, self.now)
+            rows = delimited.with_field_record(rows, F.col("fields"), self._roles(file, samples), self.now)
         else:
-            rows, record = fold(file.lines), self._record("text")
-        return with_effective_time(with_record(rows, record)).select(*COLUMNS)
+            rows = with_line_record(fold(file.lines), F.col("text"), self.now)
+        return with_effective_time(rows).select(*COLUMNS)
 
     def _roles(self, file: LogFile, samples: list[list[str]]) -> delimited.Roles:
         roles = delimited.infer_roles(file.dialect.header, samples)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.parsers import configure, parse_line
+from ..operators.parsers import configure, with_line_record
 from ..sources.lines import clean
 
 
@@ -21,8 +21,7 @@ def tail_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100) -
 def parsed(lines: DataFrame, now_ms=None) -> DataFrame:
     """Each line as a record of its own, without folding: no state."""
     configure(lines.sparkSession)
-    rows = lines.withColumn("r", parse_line(F.col("value"), now_ms))
-    return rows.select("file", "arrived", "value", "r.kind", F.col("r.ts").alias("ts_ms"), "r.level", "r.service", "r.message")
+    return with_line_record(lines, F.col("value"), now_ms)
 
 
 def with_effective_time(rows: DataFrame) -> DataFrame:

@@ -36,6 +36,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the session has cores, dealt evenly, for work that is heavy for each row; others are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(spark: SparkSession, *made: DataFrame | str) -> None:
     """Deletes tables of cut() or folders that nothing will read again."""
     for one in made:

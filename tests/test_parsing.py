@@ -7,7 +7,7 @@ from logweir.functions.levels import level_from_number, level_from_text, parse_l
 from logweir.functions.strptime import compile_time_format
 from logweir.functions.text import contains_folded, format_bucket, format_bytes, signature
 from logweir.functions.timestamps import find_timestamp, text_timestamp
-from logweir.operators.parsers import configure, is_continuation, parse_line
+from logweir.operators.parsers import configure, is_continuation, with_line_record
 
 T = 1_762_158_031_000  # 2025-11-03 08:20:31 UTC
 NOW = T + 36 * 3_600_000
@@ -37,8 +37,9 @@ def values(spark, rows, kind, *columns):
 
 def test_lines(spark):
     configure(spark)
-    got = values(spark, [a for a, _ in LINES], "string", F.expr("1"), parse_line(F.col("v"), F.lit(NOW)).alias("r"))
-    for (line, want), (_, r) in zip(LINES, got, strict=True):
+    df = spark.createDataFrame([(k, line) for k, (line, _) in enumerate(LINES)], "k int, v string")
+    got = with_line_record(df, F.col("v"), NOW).orderBy("k").select("kind", "ts_ms", "level", "service", "message").collect()
+    for (line, want), r in zip(LINES, got, strict=True):
         assert tuple(r) == want, line
 
 

@@ -101,18 +101,19 @@ def test_one_pass_over_splits_gives_the_same_rows(spark, tmp_path):
     rng = random.Random(11)
     lines = ["up 5"] + rng.choices(["", "\tat x", "  more", "a 31", "é 7", "plain 19"], k=60) + ["\tat y"] * 9
     simple = lambda line: record(4, F.regexp_extract(line, r"(\d+)$", 1).try_cast("bigint"), F.length(line), F.substring(line, 1, 1), line)
+    one = lambda lines, line: rows.with_record(lines, simple(line), ts="ts")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
     try:
         for first in ("up 5", "\tat first", "\ufeffup 5"):
             path = tmp_path / f"{len(first)}.log"
             path.write_bytes(("\n".join([first, *lines[1:]]) + "\n").encode())
-            made = rows.split_rows(tagged_lines(spark, [str(path)]), simple)
+            made = rows.split_rows(tagged_lines(spark, [str(path)]), one)
             assert (made is None) == (first == "\tat first")
             if made:
                 plain = rows.with_effective_time(rows.with_record(rows.fold(read_lines(spark, [str(path)])), simple(F.col("text")))).select(*rows.COLUMNS)
                 assert sorted(map(repr, made[0].collect())) == sorted(map(repr, plain.collect()))
-        assert rows.split_rows(tagged_lines(spark, [str(tmp_path / "4.log")]), simple, most=40) is None
+        assert rows.split_rows(tagged_lines(spark, [str(tmp_path / "4.log")]), one, most=40) is None
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
@@ -133,22 +134,39 @@ def test_long_rows_are_cut(spark):
     assert sum(r.folded + 1 for r in got) == 10
 
 
+def line_turn(line, delimiter, quoted):
+    """Whether a quoted field is open after the line, character by character."""
+    empty, at = not quoted, 0
+    while at < len(line):
+        char = line[at]
+        if quoted and char == '"' and line[at + 1 : at + 2] == '"':
+            at += 1
+        elif quoted and char == '"':
+            quoted, empty = False, False
+        elif not quoted and char == '"' and empty:
+            quoted = True
+        elif not quoted:
+            empty = char == delimiter
+        at += 1
+    return quoted
+
+
 def test_records_match_a_plain_reader(spark):
     rng = random.Random(3)
-    for trial in range(4):
+    for trial in range(6):
         text = "".join(rng.choice('ab,"\n') for _ in range(120)) + "\n"
         lines = text.split("\n")[:-1]
         state, want, raw = False, [], []
         for line in lines:
             raw.append(line)
-            state = delimited.line_turn(line, ",", state)
+            state = line_turn(line, ",", state)
             if not state:
                 want.append("\n".join(raw))
                 raw = []
         want = [w for w in want + (["\n".join(raw)] if raw else []) if delimited.split_fields(w, ",") != [""]][1:]
         df = spark.createDataFrame([(0, "f", k // 5, k + 1, x) for k, x in enumerate(lines)], "file_id int, file string, part int, line_no bigint, value string")
-        got = delimited.records(df, ",").orderBy("rec_no").select("raw").collect()
-        assert [r.raw for r in got] == want, trial
+        got = delimited.records(df, ",").orderBy("rec_no").select("rec_no", "raw", "fields").collect()
+        assert [(r.rec_no, r.raw, r.fields) for r in got] == [(k, w, delimited.split_fields(w, ",")) for k, w in enumerate(want, 1)], trial
 
 
 def test_sniffing_and_helpers():
