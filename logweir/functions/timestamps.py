@@ -5,10 +5,12 @@ Dates roll over as in civil arithmetic: month 13 is January of the next year, da
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .staged import Stage, Values, in_expression
+from .staged import Stage, Values, in_expression, named
 from .text import number_of, trimmed
 
 HEAD = 96
@@ -127,6 +129,12 @@ def time_stages(now_ms: Column | None = None, year: int | None = None) -> list[S
     ]
 
 
+@lru_cache(maxsize=64)
+def kept_time_stages(context: int, now_ms: int | None = None, year: int | None = None) -> list[dict[str, Column]]:
+    """time_stages for with_stages, made once. context: what they are kept for."""
+    return named(time_stages(F.lit(now_ms) if now_ms is not None else None, year))
+
+
 def find_timestamp(text: Column, now_ms: Column | None = None, year: int | None = None) -> Column:
     """struct(ts, stop) of time_stages, as one Column."""
     return in_expression(time_stages(now_ms, year), {"time_text": text}, lambda v: F.struct(v("ts").alias("ts"), v("stop").alias("stop")))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.binding import bind
 from ..functions.levels import INFO, UNKNOWN, level_from_number, level_from_status, level_from_text
 from ..functions.staged import PREFIX, Stage, Values, named, value, with_stages
-from ..functions.timestamps import is_field_time, number_timestamp, other_time, time_stages
+from ..functions.timestamps import is_field_time, kept_time_stages, number_timestamp, other_time
 
 JSON, LOGFMT, ACCESS, SYSLOG, GENERIC, RAW, CONTINUATION, CSV, CUSTOM = range(9)
 KINDS = ("json", "logfmt", "access", "syslog", "generic", "raw", "continuation", "csv", "custom")
@@ -237,11 +237,11 @@ def line_stages(context: int, now_ms: int | None = None, year: int | None = None
         lambda v: {"pairs": F.when(v("family").isNull() & F.contains(v("line"), F.lit("=")), logfmt_pairs(v("line")))},
         lambda v: {"fields": F.when(F.size(v("pairs")) >= 2, pairs_map(v("pairs")))},
     ]
-    now = F.lit(now_ms) if now_ms is not None else None
-    return named([
+    before, after = [
         *(structured if JSON in families else [lambda v: {"body": none("variant")}]), family, *(paired if LOGFMT in families else [lambda v: {"fields": none("map<string,string>")}]),
-        loose, picks, spans, time_text, *time_stages(now, year), field_time, token, level, rest,
-    ])
+        loose, picks, spans, time_text,
+    ], [field_time, token, level, rest]
+    return [*named(before), *kept_time_stages(context, now_ms, year), *named(after)]
 
 
 RECORD = ("kind", "ts", "level", "service", "message")

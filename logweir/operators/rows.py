@@ -215,10 +215,20 @@ def with_row_ids(logs: DataFrame) -> DataFrame:
     return logs.join(counts.select("file_id", before.alias("_before")), "file_id").withColumn("row_id", F.col("_before") + F.col("row_seq")).drop("_before")
 
 
+def in_places(rows: DataFrame) -> DataFrame:
+    """Rows sorted by their place inside each task, so that written row groups tell which places they have."""
+    return rows.sortWithinPartitions("row_seq")
+
+
+def first_services(logs: DataFrame, most: int) -> DataFrame:
+    """The first services in order of appearance."""
+    seen = logs.where(F.col("service").isNotNull()).groupBy("service").agg(F.min(F.struct("file_id", "row_seq")).alias("_first"))
+    return seen.orderBy("_first").limit(most).select("service")
+
+
 def cap_services(logs: DataFrame, most: int = 512) -> DataFrame:
     """Keeps the first `most` services in order of appearance; the rest become null. The kept list is bounded by `most`."""
-    seen = logs.where(F.col("service").isNotNull()).groupBy("service").agg(F.min(F.struct("file_id", "row_seq")).alias("_first"))
-    kept = seen.orderBy("_first").limit(most).select(F.col("service").alias("_kept"))
+    kept = first_services(logs, most).withColumnRenamed("service", "_kept")
     return logs.join(F.broadcast(kept), F.col("service") == F.col("_kept"), "left").withColumn("service", F.col("_kept")).drop("_kept")
 
 

@@ -7,7 +7,10 @@ column pruning, pushed filters and pruning by file apply. Asking changes nothing
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +20,19 @@ from .functions.text import signature
 from .operators import delimited
 from .operators.custom import ColumnSpec, FormatError, PatternFormat, PatternSpec, compile_pattern_format
 from .operators.parsers import CSV, CUSTOM, configure, with_line_record
-from .operators.query import FilterSpec, Snapshot, detail, facet_levels, facet_services, histogram, page, position_for_time
-from .operators.rows import COLUMNS, approx_bytes, cap_services, file_stats, fold, split_rows, with_effective_time, with_record, with_row_ids
+from .operators.order_index import OrderIndex
+from .operators.query import PAGE_COLUMNS, FilterSpec, Snapshot, Totals, detail, display_index, filter_logs, page, position_for_time, snapshot, totals_of
+from .operators.rows import COLUMNS, first_services, fold, in_places, split_rows, with_effective_time, with_record
+from .progress import watched
 from .sources.lines import file_head, read_lines, tagged_lines, text_lines
 from .sources.registry import FormatRegistry, Spec
 from .sources.sample import FILES, sample_lines
 from .work import cut, discard, new_dir
 
 HEAD_LINES = 12
+#: Pages that end before this place are found without an index.
+SHALLOW = 10_000
+ROW_SCHEMA = "file_id int, file string, row_seq bigint, line_no bigint, kind int, ts_ms bigint, eff_ts bigint, level int, service string, message string, raw string, folded int"
 
 
 @dataclass(frozen=True)
@@ -41,6 +49,20 @@ class LogFile:
     scan: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class KnownFiles:
+    """What is found once for a set of tables: rows before each file, all rows, and the services that are kept (None: all)."""
+
+    tables: tuple[str, ...]
+    before: dict[int, int]
+    rows: int
+    services: tuple[str, ...] | None
+
+
+class Superseded(Exception):
+    """A question whose jobs were ended, since another took its place."""
+
+
 class LogSession:
     def __init__(self, spark: SparkSession, folder: str | None = None, registry: FormatRegistry | None = None, now_ms: int | None = None, max_services: int | None = 512):
         """folder: where rows are kept; on a cluster, one that all machines share (spark.checkpoint.dir by default)."""
@@ -48,11 +70,21 @@ class LogSession:
         self.spark, self.registry, self.max_services = spark, registry or FormatRegistry(), max_services
         self.folder = folder or new_dir(spark, "logs")
         self.now = now_ms
+        self.name = uuid.uuid4().hex[:8]
         self.files: list[LogFile] = []
+        self._known: KnownFiles | None = None
+        self._totals: Totals | None = None
+        self._index: tuple[FilterSpec, OrderIndex] | None = None
+        self._lock, self._epoch, self._running = Lock(), 0, None
 
     # --- adding -----------------------------------------------------------------------------------
 
-    def add_file(self, path: str, name: str | None = None, spec: Spec | None = None) -> LogFile:
+    def add_file(self, path: str, name: str | None = None, spec: Spec | None = None, on_progress: Callable[[int, int], None] | None = None) -> LogFile:
+        """Adds a file by its path. on_progress: called with the bytes read so far and the file's size, a few times a second
+        and once at the end."""
+        if on_progress is not None:
+            with watched(self.spark, path, on_progress):
+                return self.add_file(path, name, spec)
         k, name = len(self.files), name or path.rsplit("/", 1)[-1]
         lines, scan = (read(self.spark, [path], k).withColumn("file", F.lit(name)) for read in (read_lines, tagged_lines))
         return self._add(k, name, lines, file_head(self.spark, path), spec, scan)
@@ -78,7 +110,10 @@ class LogSession:
         return self.files[file_id]
 
     def reset(self) -> None:
-        self.files = []
+        """Forgets all files and deletes their tables."""
+        discard(self.spark, *[f.table for f in self.files])
+        self.files, self._known, self._totals = [], None, None
+        self._drop_index()
 
     def _add(self, k: int, name: str, lines: DataFrame, head: str, spec: Spec | None, scan: DataFrame | None = None) -> LogFile:
         self.files.append(self._build(k, name, lines, head, spec, scan))
@@ -93,10 +128,10 @@ class LogSession:
         made = LogFile(k, name, lines, head, mark, dialect, spec, pattern, table, scan)
         found = self._in_order(made) if scan is not None and (pattern or not dialect) else None
         if found:
-            found[0].write.parquet(table)
+            in_places(found[0]).write.parquet(table)
             discard(self.spark, *found[1])
         else:
-            self._rows(made).write.parquet(table)
+            in_places(self._rows(made)).write.parquet(table)
         return made
 
     def _in_order(self, file: LogFile) -> tuple[DataFrame, list[DataFrame]] | None:
@@ -130,60 +165,141 @@ class LogSession:
         if spec.timestamp_format and spec.timestamp_format.strip():
             time_format = compile_time_format(spec.timestamp_format)
             if time_format is None:
-                raise FormatError(f'invalid timestamp format "{spec.timestamp_format}"')
+                raise FormatError(f"the time layout {spec.timestamp_format!r} has a directive that is not known")
         wanted = {k: getattr(spec, k) for k in ("time", "level", "status", "message", "service")}
         return delimited.with_overrides(roles, file.dialect.header, wanted, time_format)
 
     # --- asking -----------------------------------------------------------------------------------
 
     def logs(self) -> DataFrame:
-        """The rows of all files, with row_id."""
-        schema = "file_id int, file string, row_seq bigint, line_no bigint, kind int, ts_ms bigint, eff_ts bigint, level int, service string, message string, raw string, folded int"
+        """The rows of all files, with row_id. What the files are known for, and the services that are kept, is found once for each set of files."""
         if not self.files:
-            return self.spark.createDataFrame([], schema + ", row_id bigint")
-        rows = self.spark.read.schema(schema).parquet(*[f.table for f in self.files])
-        return with_row_ids(cap_services(rows, self.max_services) if self.max_services else rows)
+            return self.spark.createDataFrame([], f"{ROW_SCHEMA}, row_id bigint")
+        rows = self.spark.read.schema(ROW_SCHEMA).parquet(*[f.table for f in self.files])
+        known = self._known_files()
+        if known.services is not None:  # max_services at most
+            rows = rows.withColumn("service", F.when(F.col("service").isin(*known.services), F.col("service")))
+        before = F.lit([known.before[f.file_id] for f in self.files]).cast("array<bigint>")
+        return rows.withColumn("row_id", F.get(before, F.col("file_id")) + F.col("row_seq"))
+
+    def _known_files(self) -> KnownFiles:
+        """A row for each file and the first services, kept until a file is added or read anew."""
+        tables = tuple(f.table for f in self.files)
+        if self._known is None or self._known.tables != tables:
+            rows = self.spark.read.schema(ROW_SCHEMA).parquet(*tables)
+            counts = {r.file_id: r.n for r in rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+            before, at = {}, 0
+            for f in self.files:
+                before[f.file_id] = at
+                at += counts.get(f.file_id, 0)
+            services = None
+            if self.max_services:
+                services = tuple(r.service for r in first_services(rows, self.max_services + 1).collect())
+                services = services[: self.max_services] if len(services) > self.max_services else None
+            self._known = KnownFiles(tables, before, at, services)
+            self._totals = None
+            self._drop_index()
+        return self._known
 
     def view(self, name: str = "logs") -> None:
         """Makes the rows known to SQL."""
         self.logs().createOrReplaceTempView(name)
 
     def query(self, spec: FilterSpec = FilterSpec(), tag: str | None = None) -> Snapshot:
-        """tag: names the jobs of this question, so that spark.interruptTag(tag) drops it once another takes its place."""
-        if tag:
-            self.spark.addTag(tag)
+        """The answer to a question; it ends the jobs of the question before, which another thread may still be waiting for (Superseded).
+
+        tag: a further name for the question's jobs, for spark.interruptTag(tag)."""
+        with self._asking() as epoch:
+            try:
+                if tag:
+                    self.spark.addTag(tag)
+                logs = self.logs()
+                if self._totals is None:
+                    self._totals = totals_of(logs)
+                return snapshot(logs, spec, self._totals)
+            except Exception as problem:
+                if self._epoch != epoch:
+                    raise Superseded(f"question {epoch} gave way to question {self._epoch}") from problem
+                raise
+            finally:
+                if tag:
+                    self.spark.removeTag(tag)
+
+    @contextmanager
+    def _asking(self) -> Iterator[int]:
+        """Numbers a question, whose jobs carry the number as a tag, and ends the jobs of the one before."""
+        context = self.spark.sparkContext
+        name = lambda epoch: f"logweir-{self.name}-{epoch}"
+        with self._lock:
+            self._epoch += 1
+            epoch, running = self._epoch, self._running
+            self._running = epoch
+        if running is not None:
+            context.cancelJobsWithTag(name(running))
+        context.addJobTag(name(epoch))
+        context.setInterruptOnCancel(True)
         try:
-            logs = self.logs()
-            state = logs.agg(F.count_if(spec.condition()).alias("hits"), F.count(F.lit(1)).alias("rows")).first()
-            buckets = histogram(logs, spec)
-            rows = lambda df, *order: [r.asDict() for r in df.orderBy(*order).collect()]
-            return Snapshot(
-                state.hits, state.rows, approx_bytes(logs).first().bytes, rows(facet_levels(logs), "level"),
-                [r.asDict() for r in facet_services(logs).collect()], rows(file_stats(logs), "file_id"), rows(buckets, "bucket") if buckets is not None else None,
-            )
+            yield epoch
         finally:
-            if tag:
-                self.spark.removeTag(tag)
+            context.removeJobTag(name(epoch))
+            context.setInterruptOnCancel(False)
+            with self._lock:
+                if self._running == epoch:
+                    self._running = None
 
     def rows(self, spec: FilterSpec, start: int, stop: int) -> DataFrame:
-        return page(self.logs(), spec, start, stop)
+        """A page of the filtered rows in display order. Pages near the start are the smallest rows of each task; deeper ones
+        come from the order index, which is made once for a filter and kept until another one is asked for."""
+        if stop <= SHALLOW:
+            return page(self.logs(), spec, start, stop)
+        return self.order_index(spec).slice(start, stop).select(*PAGE_COLUMNS)
+
+    def order_index(self, spec: FilterSpec) -> OrderIndex:
+        """The filtered rows' places in display order."""
+        logs = self.logs()
+        if self._index is None or self._index[0] != spec:
+            self._drop_index()
+            self._index = (spec, display_index(filter_logs(logs, spec).select(*PAGE_COLUMNS, "eff_ts")))
+        return self._index[1]
+
+    def _drop_index(self) -> None:
+        if self._index is not None:
+            self._index[1].discard()
+            self._index = None
 
     def position_for_time(self, spec: FilterSpec, ms: int) -> int:
-        return position_for_time(self.logs(), spec, ms).first().position
+        """How many filtered rows stand before a time; from the order index, if it is at hand for the filter."""
+        logs = self.logs()
+        if self._index is not None and self._index[0] == spec:
+            return self._index[1].position("eff_ts", ms)
+        return position_for_time(logs, spec, ms).first().position
+
+    def row(self, row_id: int) -> DataFrame:
+        """The row with an id. The file and the place in it follow from the id; a file's rows are written sorted, so that the
+        Parquet reader skips all row groups but the one that holds the place."""
+        known = self._known_files() if self.files else None
+        if known is None or not 0 <= row_id < known.rows:
+            return self.logs().where(F.lit(False))
+        file = max((f for f in self.files if known.before[f.file_id] <= row_id), key=lambda f: (known.before[f.file_id], f.file_id))
+        seq = row_id - known.before[file.file_id]
+        one = self.spark.read.schema(ROW_SCHEMA).parquet(file.table).where(F.col("row_seq") == seq)
+        if known.services is not None:
+            one = one.withColumn("service", F.when(F.col("service").isin(*known.services), F.col("service")))
+        return one.withColumn("row_id", F.lit(row_id).cast("bigint"))
 
     def detail(self, row_id: int) -> dict | None:
-        row = self.logs().where(F.col("row_id") == row_id)
-        found = row.select("file_id", "kind").first()
+        """A row's whole text and its fields."""
+        row = self.row(row_id)
+        found = row.select("file_id", "kind", "raw").first()
         if found is None:
             return None
-        file, own = self.files[found.file_id], None
+        file, one = self.files[found.file_id], self.spark.createDataFrame([tuple(found)], "file_id int, kind int, raw string").withColumn("row_seq", F.lit(0))
+        own = None
         if found.kind == CUSTOM:
             own = file.pattern.fields(F.substring_index("raw", "\n", 1))
         elif found.kind == CSV:
-            delimiter = file.dialect.delimiter
-            one = F.udf(lambda v: delimited.split_fields(v, delimiter), "array<string>")  # one row
-            own = delimited.record_fields(one("raw"), file.dialect.header)
-        out = detail(row, own).first()
+            own = delimited.record_fields(delimited.record_cells(F.col("raw"), file.dialect.delimiter), file.dialect.header)
+        out = detail(one, own).first()
         return {"row_id": row_id, "full_text": out.full_text, "fields": out.fields}
 
     def file_info(self, file_id: int) -> dict:
