@@ -33,7 +33,7 @@ from .common import ascii_lower, text_batches
 LENGTH, HIDDEN = 192, 8
 #: A window function with a limit up to 1000 is cut before its exchange.
 PER_LANGUAGE, WINDOWS, LANGUAGES = 1000, 2, 256
-EPOCHS, BATCH, RATE, SEED = 8, 256, 0.01, 7
+EPOCHS, BATCH, RATE, SEED, LEAST_STEPS = 8, 256, 0.01, 7, 400
 #: Windows are labelled so many at a time.
 AT_ONCE = 1024
 
@@ -130,7 +130,8 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fit(samples: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
-    """Adam over shuffled batches of windows; the same samples give the same network."""
+    """Adam over shuffled batches of windows; the same samples give the same network. A small sample is gone through more
+    often, since a network needs LEAST_STEPS steps whatever the sample's size."""
     samples = sorted((bytes(b), lang) for b, lang in samples if b)
     languages = sorted({lang for _, lang in samples})
     if not languages:
@@ -141,7 +142,7 @@ def fit(samples: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = SEED
     labels = np.array([code[lang] for _, lang in samples])[owner]
     m = {k: np.zeros_like(v) for k, v in network.p.items()}
     v = {k: np.zeros_like(v) for k, v in network.p.items()}
-    step = 0
+    step, epochs = 0, max(epochs, -(-LEAST_STEPS // -(-len(labels) // BATCH)))
     for epoch in range(epochs):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):

@@ -74,8 +74,9 @@ def repeated(words: Column, order: Column, mask: Column) -> Column:
         return (words[p] == words[q]) & (words[p + 1] == words[q + 1]) & (words[p + 2] == words[q + 2])
 
     def sure(found: Column) -> Column:
-        # a neighbour past either end is null: no match
-        return F.filter(found, lambda p, j: same(p, F.get(found, j + 1)) | same(p, F.get(found, j - 1)))
+        # a neighbour past either end is null: no match. Where equal hash bits stand for different windows, all others are tried
+        beside = lambda p, j: F.coalesce(same(p, F.get(found, j + 1)), F.lit(False)) | F.coalesce(same(p, F.get(found, j - 1)), F.lit(False))
+        return F.filter(found, lambda p, j: beside(p, j) | F.exists(found, lambda q: (q != p) & same(p, q)))
 
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda acc, p: F.struct((acc["n"] + p + 3 - F.greatest(acc["end"], p)).alias("n"), (p + 3).alias("end"))

@@ -49,13 +49,20 @@ WINDOWS = 1 << 18
 PAD = 256
 
 
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each `width` neighbours, from running minima of blocks in both directions."""
+def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each `width` neighbours, the leftmost of equal ones, from running minima of blocks in both directions."""
     n = len(x)
-    blocks = np.concatenate([x, np.full(-n % width, ~np.uint64(0))]).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    padded = np.concatenate([x, np.full(-n % width, ~np.uint64(0))])
+    blocks, places = padded.reshape(-1, width), np.arange(len(padded)).reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1)
+    new = np.ones(blocks.shape, dtype=bool)
+    new[:, 1:] = blocks[:, 1:] < ahead[:, :-1]
+    at_ahead = np.maximum.accumulate(np.where(new, places, 0), axis=1).reshape(-1)
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]
+    new[:, :-1], new[:, -1] = blocks[:, :-1] <= behind[:, 1:], True
+    at_behind = np.minimum.accumulate(np.where(new, places, len(padded))[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    left, right = at_behind[: n - width + 1], at_ahead[width - 1 : n]
+    return np.where(x[left] <= x[right], left, right)
 
 
 class Anchored:
@@ -73,13 +80,13 @@ class Anchored:
             _, down = powers(n + 1)
             with np.errstate(over="ignore"):
                 grams = mix((self.sums[gram:] - self.sums[:-gram]) * down[: n - gram + 1])
-            bits = np.uint64(n.bit_length())
-            least = sliding_min(grams >> bits << bits | np.arange(len(grams), dtype=np.uint64), span - gram + 1)
+            least = sliding_argmin(grams, span - gram + 1)
             inside = np.zeros(len(least) + 1, dtype=np.int64)
             np.add.at(inside, self.offsets[:-1][good], 1)
             np.add.at(inside, self.offsets[1:][good] - span + 1, -1)
-            chosen = least[np.cumsum(inside)[:-1] > 0] & ((np.uint64(1) << bits) - np.uint64(1))
-            place = np.unique(chosen).astype(np.int64)
+            chosen = least[np.cumsum(inside)[:-1] > 0]
+            # anchors rise, or else stay, from window to window
+            place = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] if len(chosen) else place
         # anchors have the least hashes; mixed again, they spread over all buckets
         self.place, self.hash = place, mix(grams[place])
         self.text = np.searchsorted(self.offsets, place, side="right") - 1
