@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logweir.functions.levels import level_from_number, level_from_text, parse_level_map
 from logweir.functions.strptime import compile_time_format
-from logweir.functions.text import contains_folded, format_bucket, format_bytes, signature
+from logweir.functions.text import contains_folded, format_bucket, format_bytes, format_count, format_date, format_date_time, format_time, signature
 from logweir.functions.timestamps import find_timestamp, text_timestamp
 from logweir.operators.parsers import configure, is_continuation, with_line_record
 
@@ -84,3 +84,19 @@ def test_text(spark):
     assert signature(None, "a 12 b 345") == "line:a # b #" and signature("x,y", "") == "csv:x,y"
     assert [g[0] for g in values(spark, [5, 2048, 3 << 20], "bigint", format_bytes(F.col("v")))] == ["5 B", "2.0 KB", "3.0 MB"]
     assert [g[0] for g in values(spark, [5000, 60_000, 21_600_000], "bigint", format_bucket(F.col("v")))] == ["5s", "1m", "6h"]
+
+
+def test_white_space_and_numbers(spark):
+    words = ["error\t", "error\r", " warn　", "﻿info", "err​or"]
+    assert [g[0] for g in values(spark, words, "string", level_from_text(F.col("v")))] == [0, 0, 1, 2, 5]
+    assert values(spark, ["\t2025.11.03\r"], "string", compile_time_format("%Y.%m.%d").parse(F.col("v")))[0][0] == T - 30_031_000
+    fields = [("1762158031d", T), ("1762158031250.4 ", T + 250), ("\t1762158031.5e0\r", T + 500), ("1762158031f", T), ("x1762158031", None), ("17621580310d", None), ("1.762158031e9d", None), ("1.762158031e9", T), ("0x69087c5f", None), ("NaN", None)]
+    assert [g[0] for g in values(spark, [f for f, _ in fields], "string", text_timestamp(F.col("v"), F.lit(NOW)))] == [None if f in ("1762158031d", "1762158031f") else t for f, t in fields]
+    df = spark.createDataFrame([('{"level":"error\t","msg":"x"}'.replace("\t", "\\t"),), ("level=warn\tmsg=x b=2",)], "v string")
+    assert [r.level for r in with_line_record(df, F.col("v"), NOW).collect()] == [0, 1]
+
+
+def test_displayed_times_and_counts(spark):
+    shown = lambda f: [g[0] for g in values(spark, [T + 250, None], "bigint", f(F.col("v")))]
+    assert shown(format_time) == ["08:20:31.250", "—"] and shown(format_date)[0] == "2025-11-03" and shown(format_date_time)[0] == "2025-11-03 08:20:31"
+    assert [g[0] for g in values(spark, [1234567, 12], "bigint", format_count(F.col("v")))] == ["1,234,567", "12"]

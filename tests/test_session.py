@@ -47,26 +47,26 @@ def test_merge_clamp_and_seek(session):
 
 
 def test_delimited_file(session):
-    text = 'timestampInMs,level,message,responseStatusCode,function\r\n1753495200123,error,"a ""q"", b\nsecond",500,f1\r\n\r\n1753495200999,,,404,\n'
+    text = 'eventTime,severity,description,httpStatus,component\r\n1804195807123,error,"a ""q"", b\nsecond",500,f1\r\n\r\n1804195807999,,,404,\n'
     file = session.add_text("x.csv", text)
     got = session.rows(FilterSpec(), 0, 9).collect()
-    assert [(r.ts_ms, r.level, r.service, r.message, r.line_no) for r in got] == [(1753495200123, 0, "f1", 'a "q", b\nsecond', 1), (1753495200999, 1, None, "404", 2)]
-    assert session.detail(1)["fields"] == {"timestampInMs": "1753495200999", "responseStatusCode": "404"}
+    assert [(r.ts_ms, r.level, r.service, r.message, r.line_no) for r in got] == [(1804195807123, 0, "f1", 'a "q", b\nsecond', 1), (1804195807999, 1, None, "404", 2)]
+    assert session.detail(1)["fields"] == {"eventTime": "1804195807999", "httpStatus": "404"}
     assert session.file_info(0)["head_lines"][0] == file.dialect.header_line
-    session.reparse(0, ColumnSpec(message="function", level="(none)"))
+    session.reparse(0, ColumnSpec(message="component", level="(none)"))
     assert [(r.level, r.message) for r in session.rows(FilterSpec(), 0, 9).collect()] == [(0, "f1"), (1, "404")]
 
 
 def test_taught_format(session, tmp_path):
     session.registry = FormatRegistry(str(tmp_path / "formats.json"))
-    text = "26.07.2026 02:14:04 | KABOOM | core | it broke\nno match here\n26.07.2026 02:14:05 | OKAY | core | fine\n"
+    text = "04/03/2027 21h30m07 # MELTED # pump-3 # coil is gone\n  and its seal\n04/03/2027 21h30m09 # STEADY # pump-3 # spare took over\n"
     session.add_text("inv.log", text)
-    spec = PatternSpec((r"^(?<timestamp>[\d.]+ [\d:]+) \| (?<level>\w+) \| (?<my_service>\w+) \| (?<message>.*)$",), ("%d.%m.%Y %H:%M:%S",), {"error": ("KABOOM",), "info": ("okay",)})
+    spec = PatternSpec((r"^(?<timestamp>[\d/]+ [\dhm]+) # (?<level>\w+) # (?<my_device>[\w-]+) # (?<message>.*)$",), ("%d/%m/%Y %Hh%Mm%S",), {"error": ("MELTED",), "info": ("steady",)})
     assert [p["matched"] for p in session.preview(0, spec)] == [True, False, True]
     session.teach(0, spec)
     got = session.rows(FilterSpec(), 0, 9).collect()
-    assert [(r.level, r.message, r.folded, r.line_no) for r in got] == [(0, "it broke", 1, 1), (2, "fine", 0, 2)]
-    assert session.detail(0)["fields"]["my_service"] == "core"
+    assert [(r.level, r.message, r.folded, r.line_no) for r in got] == [(0, "coil is gone", 1, 1), (2, "spare took over", 0, 2)]
+    assert session.detail(0)["fields"]["my_device"] == "pump-3"
     assert session.add_text("again", text).spec == spec
     (tmp_path / "formats.json").write_text("{damaged")
     assert session.registry.known() == {}
@@ -78,7 +78,7 @@ def test_taught_format(session, tmp_path):
 @pytest.mark.parametrize("size", ["24", "1k", "128m"])
 def test_splits_do_not_matter(spark, tmp_path, size):
     rng = random.Random(5)
-    lines = [rng.choice(["", "\tat x", "2026-07-26T02:14:04Z INFO é", "plain " * rng.randint(1, 9), "tail\r"]) for _ in range(200)]
+    lines = [rng.choice(["", "\tat x", "2027-03-04T21:30:07Z INFO é", "plain " * rng.randint(1, 9), "tail\r"]) for _ in range(200)]
     (tmp_path / "f.log").write_bytes(("﻿" + "\n".join(lines) + "\n").encode())
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", size)
