@@ -26,7 +26,8 @@ def with_stages(df: DataFrame, stages: Sequence[dict[str, Column]], given: dict[
     df = df.withColumns({PREFIX + k: v for k, v in given.items()})
     for stage in stages:
         df = df.withColumns({PREFIX + k: v for k, v in stage.items()})
-    return df.select(*own, *[value(v).alias(k) for k, v in results.items()])
+    # a generator keeps filters on the results above it: pushed through the stages, they would repeat these over and over
+    return df.select(*own, F.inline(F.array(F.struct(*[value(v).alias(k) for k, v in results.items()]))))
 
 
 def value(name: str) -> Column:

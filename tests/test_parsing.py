@@ -100,3 +100,10 @@ def test_displayed_times_and_counts(spark):
     shown = lambda f: [g[0] for g in values(spark, [T + 250, None], "bigint", f(F.col("v")))]
     assert shown(format_time) == ["08:20:31.250", "—"] and shown(format_date)[0] == "2025-11-03" and shown(format_date_time)[0] == "2025-11-03 08:20:31"
     assert [g[0] for g in values(spark, [1234567, 12], "bigint", format_count(F.col("v")))] == ["1,234,567", "12"]
+
+
+def test_filters_stay_above_the_stages(spark):
+    df = spark.createDataFrame([(line,) for line, _ in LINES], "v string")
+    found = with_line_record(df, F.col("v"), NOW).where(F.col("ts_ms").isNotNull() & (F.col("level") == 0))
+    assert found.count() == sum(r[1] is not None and r[2] == 0 for _, r in LINES)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 200_000
