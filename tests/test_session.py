@@ -59,7 +59,7 @@ def test_delimited_file(session):
 
 def test_taught_format(session, tmp_path):
     session.registry = FormatRegistry(str(tmp_path / "formats.json"))
-    text = "04/03/2027 21h30m07 # MELTED # pump-3 # coil is gone\n  and its seal\n04/03/2027 21h30m09 # STEADY # pump-3 # spare took over\n"
+    text = "04/03/2027 21h30m07 # MELTED # pump-3 # coil is gone\nseal and valve too\n04/03/2027 21h30m09 # STEADY # pump-3 # spare took over\n"
     session.add_text("inv.log", text)
     spec = PatternSpec((r"^(?<timestamp>[\d/]+ [\dhm]+) # (?<level>\w+) # (?<my_device>[\w-]+) # (?<message>.*)$",), ("%d/%m/%Y %Hh%Mm%S",), {"error": ("MELTED",), "info": ("steady",)})
     assert [p["matched"] for p in session.preview(0, spec)] == [True, False, True]
