@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..work import cut, discard
 from .parsers import is_continuation, with_line_record
@@ -47,33 +47,100 @@ def number_lines(tagged: DataFrame) -> DataFrame:
     return tagged.withColumn("_place", place).join(offsets, ["file_id", "part"]).withColumn("line_no", (F.col("_place") + F.col("_before")).cast("bigint")).drop("_place", "_before", "mid")
 
 
-def split_long_groups(lines: DataFrame, most: int = FOLD_BYTES) -> DataFrame:
-    """Marks as heads the lines at which a row would outgrow `most` bytes. lines: file_id, line_no, group, size, head."""
+MARK = "_mark"
+#: What a line or a mark in a chunk is: a line of the chunk, a line of the next one that its last rows may take in, a place where a row begins.
+OWN, NEXT, BEGINS = 0, 1, 2
+STEP = "file_id int, group bigint, at bigint, to bigint, line_no bigint"
+
+
+def next_rows(most: int, chunk: int, entries: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For applyInPandas over a chunk of one long row's lines: where its rows begin.
+
+    A row that begins at byte `at` goes on to the last line end that keeps it at `most` bytes, or to its first line's
+    end. With entries: for each place in the chunk's first bytes, and each place known to begin a row, where the first row behind
+    the chunk begins. Without: the lines at which rows begin, from the places marked as such."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", MARK])
+        lines, marks = pdf[pdf[MARK] != BEGINS], pdf[pdf[MARK] == BEGINS]
+        begins, ends = lines["at"].to_numpy(), lines["to"].to_numpy()
+        own = begins[lines[MARK].to_numpy() == OWN]
+        low = int(pdf["chunk"].iloc[0]) * chunk
+        if entries:
+            starts = np.union1d(own[own - low <= most + 1], np.intersect1d(marks["at"], own))
+        else:
+            starts = np.intersect1d(marks["at"], own)
+        open_ones, found, at = np.arange(len(starts)), [starts], starts.copy()
+        while len(open_ones):
+            furthest = ends[np.maximum(np.searchsorted(ends, at[open_ones] + most + 1, "right") - 1, 0)]
+            at[open_ones] = np.maximum(furthest, ends[np.searchsorted(begins, at[open_ones])])
+            inside = at[open_ones] < low + chunk
+            inside[inside] = np.isin(at[open_ones[inside]], own)
+            open_ones = open_ones[inside]
+            if not entries:  # paths that have met go on as one
+                _, firsts = np.unique(at[open_ones], return_index=True)
+                open_ones = open_ones[firsts]
+                found.append(at[open_ones])
+        key = {"file_id": pdf["file_id"].iloc[0], "group": pdf["group"].iloc[0]}
+        if entries:
+            return pd.DataFrame({**key, "at": starts, "to": at, "line_no": 0})
+        heads = np.unique(np.concatenate(found))
+        return pd.DataFrame({**key, "at": heads, "to": heads, "line_no": lines["line_no"].to_numpy()[np.searchsorted(begins, heads)]})
+
+    return run
 
-    def greedy(pdf):
-        pdf = pdf.sort_values("line_no")
-        held, heads = 0, []
-        for k, size in enumerate(pdf["size"].tolist()):
-            full = k == 0 or held + size + 1 > most
-            heads.append(full)
-            held = size if full else held + size + 1
-        return pdf.assign(head=heads)[["file_id", "line_no", "head"]]
 
-    return lines.groupBy("file_id", "group").applyInPandas(greedy, T.StructType([T.StructField("file_id", T.IntegerType()), T.StructField("line_no", T.LongType()), T.StructField("head", T.BooleanType())]))
+def split_long_groups(lines: DataFrame, most: int = FOLD_BYTES, chunks: int = 16) -> DataFrame:
+    """The lines (file_id, line_no) at which long rows are cut, so that none outgrows `most` bytes unless a single line
+    does: each row takes lines as long as they fit. lines: file_id, part, line_no, group, size.
+
+    Where a row ends follows from where it begins, so cuts form a chain. Lines are placed by the bytes before them and dealt to chunks of
+    `chunks` times `most` bytes; each finds, from any place at which a row may enter it, where the first row behind it begins. These
+    links alone are followed across chunks, by links of twice the length each time; then each chunk follows the rows that do enter it."""
+    chunk = chunks * (most + 1)
+    placed = running(lines, F.col("size") + 1, "to")
+    placed = placed.select("file_id", "group", (F.col("to") - F.col("size") - 1).alias("at"), "to", "line_no", F.col("size").alias("_size"))
+    number = F.floor(F.col("at") / chunk)
+    early = (F.col("at") % chunk <= most) & (number > 0)
+    copies = F.array_compact(F.array(F.struct(number.alias("chunk"), F.lit(OWN).alias(MARK)), F.when(early, F.struct((number - 1).alias("chunk"), F.lit(NEXT).alias(MARK)))))
+    dealt = cut(placed.select("file_id", "group", "at", "to", "line_no", "_size", F.inline(copies)), "long-rows")
+    own = dealt.where(F.col(MARK) == OWN)
+    # a long row's first line begins a row, and so does the line after one that is too long by itself
+    sure = own.groupBy("file_id", "group").agg(F.min("at").alias("at")).union(own.where(F.col("_size") > most).select("file_id", "group", F.col("to").alias("at"))).distinct()
+
+    def with_marks(places: DataFrame) -> DataFrame:
+        marks = places.select("file_id", "group", "at", F.col("at").alias("to"), F.lit(0).cast("bigint").alias("line_no"), F.floor(F.col("at") / chunk).alias("chunk"), F.lit(BEGINS).alias(MARK))
+        return dealt.drop("_size").unionByName(marks).groupBy("file_id", "group", "chunk")
+
+    spark = lines.sparkSession
+    links = cut(with_marks(sure).applyInPandas(next_rows(most, chunk, True), STEP).drop("line_no"), "links")
+    ends = own.groupBy("file_id", "group").agg((F.max("chunk") - F.min("chunk")).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
+    reached, reach, made = cut(sure, "reached"), 1, [links]
+    made.append(reached)
+    while reach <= ends:  # all within reach - 1 links of a sure place are known
+        more = reached.join(links, ["file_id", "group", "at"]).select("file_id", "group", F.col("to").alias("at"))
+        reached = cut(reached.union(more).distinct(), "reached")
+        onward = links.select("file_id", "group", F.col("at").alias("to"), F.col("to").alias("_then"))
+        links = cut(links.join(onward, ["file_id", "group", "to"]).select("file_id", "group", "at", F.col("_then").alias("to")), "links")
+        made += [reached, links]
+        reach *= 2
+    heads = cut(with_marks(reached).applyInPandas(next_rows(most, chunk, False), STEP).select("file_id", "line_no"), "heads")
+    discard(spark, dealt, *made)
+    return heads
 
 
 def fold(lines: DataFrame, head: Column | None = None, most: int = FOLD_BYTES) -> DataFrame:
     """Lines to rows: file_id, file, part, row_seq (from 0), line_no and text of the first line, raw, folded.
 
-    head: which lines begin a row (those that don't continue one, by default); a file's first line always does. Only
-    rows above `most` bytes are cut one line after the other; all others are grouped by running sums."""
+    head: which lines begin a row (those that don't continue one, by default); a file's first line always does. Rows
+    above `most` bytes are cut by split_long_groups(); all others are grouped by running sums."""
     head = ~is_continuation(F.col("value")) if head is None else head
     marked = lines.withColumn("head", F.coalesce(head, F.lit(True)) | (F.col("line_no") == 1)).withColumn("size", F.octet_length("value"))
     grouped = cut(running(marked, F.col("head").cast("bigint"), "group"), "lines")
     long = grouped.groupBy("file_id", "group").agg((F.sum("size") + F.count(F.lit(1)) - 1).alias("_bytes")).where(F.col("_bytes") > most).select("file_id", "group")
     if not long.isEmpty():
-        cuts = split_long_groups(grouped.join(long, ["file_id", "group"], "left_semi").select("file_id", "line_no", "group", "size"), most)
-        again = grouped.drop("group").join(cuts.select("file_id", "line_no", F.col("head").alias("_cut")), ["file_id", "line_no"], "left")
+        cuts = split_long_groups(grouped.join(long, ["file_id", "group"], "left_semi").select("file_id", "part", "line_no", "group", "size"), most)
+        again = grouped.drop("group").join(cuts.withColumn("_cut", F.lit(True)), ["file_id", "line_no"], "left")
         again = cut(again.withColumn("head", F.coalesce("_cut", "head")).drop("_cut"), "lines")
         grouped = running(again, F.col("head").cast("bigint"), "group")
     first = F.min(F.struct("line_no", "part", "value"))

@@ -126,12 +126,35 @@ def test_json_objects_alone(spark):
     assert got == [True] * len(good) + [False] * len(bad)
 
 
-def test_long_rows_are_cut(spark):
-    lines = [(0, "f", k // 3, k + 1, "head" if k == 0 else " " + "x" * 9) for k in range(10)]
+def greedy_cuts(sizes, most):
+    """Numbers of the lines that begin a row, one after the other."""
+    held, heads = 0, []
+    for k, size in enumerate(sizes):
+        if k == 0 or held + size + 1 > most:
+            heads.append(k)
+            held = size
+        else:
+            held += size + 1
+    return heads
+
+
+@pytest.mark.parametrize("most", [26, 1, 200])
+def test_long_rows_are_cut(spark, most):
+    """Several files whose rows span many chunks, with empty lines, lines longer than the bound and a last line that is."""
+    made = random.Random(most)
+    rows_of = {
+        0: [5, *([9] * 30)], 1: [0] * 400, 2: [made.choice((0, 1, 3, 9, 25, 26, 27, 80)) for _ in range(700)], 3: [most * 90, 3, 3, most * 40], 4: [most, most, 1],
+        5: [made.randrange(1, most + 2) for _ in range(300)],
+    }
+    lines = [(f, "f", k // 37, k + 1, ("h" if k == 0 else " ")[:size] + "x" * (size - 1)) for f, sizes in rows_of.items() for k, size in enumerate(sizes)]
     df = spark.createDataFrame(lines, "file_id int, file string, part int, line_no bigint, value string")
-    got = rows.fold(df, most=26).orderBy("row_seq").collect()
-    assert [r.folded for r in got] == [2, 1, 1, 1, 0] or [len(r.raw) <= 26 for r in got] == [True] * len(got)
-    assert sum(r.folded + 1 for r in got) == 10
+    got = {}
+    for r in rows.fold(df, head=F.col("line_no") == 1, most=most).orderBy("file_id", "row_seq").collect():
+        got.setdefault(r.file_id, []).append(r)
+    for f, sizes in rows_of.items():
+        heads = greedy_cuts(sizes, most)
+        assert [r.line_no - 1 for r in got[f]] == heads
+        assert [r.folded + 1 for r in got[f]] == [b - a for a, b in zip(heads, [*heads[1:], len(sizes)], strict=True)]
 
 
 def line_turn(line, delimiter, quoted):
