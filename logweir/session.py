@@ -22,6 +22,7 @@ from .operators.custom import ColumnSpec, FormatError, PatternFormat, PatternSpe
 from .operators.parsers import CSV, CUSTOM, configure, with_line_record
 from .operators.order_index import OrderIndex
 from .operators.query import PAGE_COLUMNS, FilterSpec, Snapshot, Totals, detail, display_index, filter_logs, page, position_for_time, snapshot, totals_of
+from .operators.search_index import SearchIndex
 from .operators.rows import COLUMNS, first_services, fold, in_places, split_rows, with_effective_time, with_record
 from .progress import watched
 from .sources.lines import file_head, read_lines, tagged_lines, text_lines
@@ -75,6 +76,7 @@ class LogSession:
         self._known: KnownFiles | None = None
         self._totals: Totals | None = None
         self._index: tuple[FilterSpec, OrderIndex] | None = None
+        self._text: tuple[tuple[str, ...], SearchIndex] | None = None
         self._lock, self._epoch, self._running = Lock(), 0, None
 
     # --- adding -----------------------------------------------------------------------------------
@@ -114,6 +116,7 @@ class LogSession:
         discard(self.spark, *[f.table for f in self.files])
         self.files, self._known, self._totals = [], None, None
         self._drop_index()
+        self._drop_text()
 
     def _add(self, k: int, name: str, lines: DataFrame, head: str, spec: Spec | None, scan: DataFrame | None = None) -> LogFile:
         self.files.append(self._build(k, name, lines, head, spec, scan))
@@ -247,19 +250,39 @@ class LogSession:
                 if self._running == epoch:
                     self._running = None
 
+    def index_text(self) -> SearchIndex:
+        """Makes the text of all files known to searches, until a file is added or read anew."""
+        tables = tuple(f.table for f in self.files)
+        if self._text is None or self._text[0] != tables:
+            self._drop_text()
+            self._text = (tables, SearchIndex.build(self.logs().select("file_id", "row_seq", "raw", "message")))
+        return self._text[1]
+
+    def _drop_text(self) -> None:
+        if self._text is not None:
+            self._text[1].discard()
+            self._text = None
+
+    def search(self, spec: FilterSpec) -> DataFrame:
+        """The filtered rows. After index_text(), only the stretches of rows that can hold the query's text are read."""
+        logs = self.logs()
+        if spec.query and self._text is not None and self._text[0] == tuple(f.table for f in self.files):
+            logs = self._text[1].narrowed(logs, spec.query)
+        return filter_logs(logs, spec)
+
     def rows(self, spec: FilterSpec, start: int, stop: int) -> DataFrame:
         """A page of the filtered rows in display order. Pages near the start are the smallest rows of each task; deeper ones
         come from the order index, which is made once for a filter and kept until another one is asked for."""
         if stop <= SHALLOW:
-            return page(self.logs(), spec, start, stop)
+            return page(self.search(spec), FilterSpec(), start, stop)
         return self.order_index(spec).slice(start, stop).select(*PAGE_COLUMNS)
 
     def order_index(self, spec: FilterSpec) -> OrderIndex:
         """The filtered rows' places in display order."""
-        logs = self.logs()
+        self._known_files()
         if self._index is None or self._index[0] != spec:
             self._drop_index()
-            self._index = (spec, display_index(filter_logs(logs, spec).select(*PAGE_COLUMNS, "eff_ts")))
+            self._index = (spec, display_index(self.search(spec).select(*PAGE_COLUMNS, "eff_ts")))
         return self._index[1]
 
     def _drop_index(self) -> None:
