@@ -10,6 +10,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
 from .staged import Stage, Values, in_expression, named
 from .text import number_of, trimmed
 
@@ -22,8 +23,17 @@ SYSLOG = r"^[A-Za-z]{3} {1,2}\d{1,2} \d{2}:\d{2}:\d{2}"
 EPOCH = r"^\d{10}(?:\d{3}|\.\d{1,6})?\b"
 #: Any of these, in a text's head. Those with a month's name have one.
 ANY = "|".join((ISO, *(p.replace("[A-Za-z]{3}", "(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)") for p in (CLF, SYSLOG)), EPOCH))
-#: A date without a time, and a date in words, which field values may have besides.
-FIELD_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm", "d MMM yyyy HH:mm:ss Z", "MMM d, yyyy")
+#: How a field's value may begin with a date, besides: in words with the day or the month first, month/day/year, and by numbers
+#: with the year first; each is followed by what writes it as year, month and day.
+DATES = (
+    (r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]{0,6}[ -](\d{4})(?!\d)", "$3 $2 $1"), (r"^([A-Za-z]{3})[a-z]{0,6}\.? (\d{1,2}),? (\d{4})(?!\d)", "$3 $1 $2"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?!\d)", "$3 $1 $2"), (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?!\d)", "$1 $2 $3"),
+)
+#: Year, month and day, then maybe a clock of 24 or 12 hours, a zone and a remark.
+WHOLE_DATE = (
+    r"^(\d{4}) (\d{1,2}|[A-Za-z]{3}) (\d{1,2})(?:,?[ T](\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?(?: ?([AaPp])[Mm])?"
+    r"(?: ?(?:Z|UTC|GMT|UT))?(?: ?([+-]\d{2}:?\d{2}))?)?(?: \([^)]*\))?\z"
+)
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
 
 
@@ -151,11 +161,28 @@ def has_time(text: Column) -> Column:
     return F.substring(text, 1, HEAD).rlike(ANY)
 
 
+def written_date(text: Column) -> Column:
+    """Epoch milliseconds of a date in one of the forms of DATES, maybe after a weekday; null for other texts. Days up to
+    31 roll over into the next month; other numbers out of range are no date."""
+    plain = F.regexp_replace(trimmed(text), "^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]{0,6},? ", "")
+    for form, ordered in DATES:
+        plain = F.regexp_replace(plain, form, ordered)
+    parts = F.split(F.regexp_replace(plain, WHOLE_DATE, "|".join(f"${k}" for k in range(1, 10))), r"\|")
+
+    def made(p: Column) -> Column:
+        number = lambda k: F.coalesce(F.get(p, F.lit(k)).try_cast("bigint"), F.lit(0).cast("bigint"))
+        month = F.coalesce(F.get(p, F.lit(1)).try_cast("bigint"), month_of(F.get(p, F.lit(1))))
+        half = F.lower(F.get(p, F.lit(7)))
+        hour = F.when(half == "", number(3)).when(number(3).between(1, 12), number(3) % 12 + F.when(half == "p", 12).otherwise(0))
+        at = civil_ms(number(0), month, number(2), hour, number(4), number(5), F.floor(fraction_ms(F.get(p, F.lit(6))))) - zone_ms(F.get(p, F.lit(8)))
+        return F.when(month.between(1, 12) & number(2).between(1, 31) & (hour < 24) & (number(4) < 60) & (number(5) < 60), at)
+
+    return bind(F.when(plain.rlike(WHOLE_DATE), parts), made)
+
+
 def other_time(text: Column) -> Column:
-    """Of a field's value without a timestamp: what it means as a number, or else in one of FIELD_FORMATS."""
-    plain = F.regexp_replace(trimmed(text), "^[A-Za-z]{3}, ", "")
-    dates = F.coalesce(*[F.unix_millis(F.try_to_timestamp(plain, F.lit(f))) for f in FIELD_FORMATS])
-    return F.when(number_of(text).isNotNull(), number_timestamp(number_of(text))).otherwise(dates)
+    """Of a field's value without a timestamp: what it means as a number, or else as a written date."""
+    return F.when(number_of(text).isNotNull(), number_timestamp(number_of(text))).otherwise(written_date(text))
 
 
 def is_field_time(text: Column) -> Column:

@@ -46,7 +46,11 @@ def text_lines(spark: SparkSession, name: str, text: str, file_id: int = 0) -> D
 def file_head(spark: SparkSession, path: str, chars: int = HEAD_CHARS) -> str:
     """The first characters of a file, for telling its shape."""
     taken, size = [], 0
-    for row in spark.read.option("lineSep", "\n").text(path).limit(2048).toLocalIterator():
+    lines = spark.read.option("lineSep", "\n").text(path)
+    files = lines.inputFiles()
+    if len(files) > 1:  # a folder is read in the order of its files' names
+        lines = spark.read.option("lineSep", "\n").text(min(files))
+    for row in lines.limit(2048).toLocalIterator():
         taken.append(row.value)
         size += len(row.value) + 1
         if size >= chars:

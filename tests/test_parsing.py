@@ -96,6 +96,19 @@ def test_white_space_and_numbers(spark):
     assert [r.level for r in with_line_record(df, F.col("v"), NOW).collect()] == [0, 1]
 
 
+def test_written_dates(spark):
+    day = 1762128000000  # 2025-11-03
+    clock = day + 8 * 3_600_000 + 20 * 60_000
+    known = {
+        "2025-11-03": day, "2025/11/3": day, "11/3/2025": day, "3 Nov 2025": day, "03-Nov-2025": day, "Nov 3, 2025": day, "November 3 2025": day, "Monday, November 3, 2025": day,
+        "2025-11-03T08:20": clock, "2025-11-03 08:20": clock, "11/3/2025, 8:20 AM": clock, "11/3/2025 8:20:00 PM": clock + 12 * 3_600_000, "Nov 3, 2025 12:20 am": clock - 8 * 3_600_000,
+        "Mon, 03 Nov 2025 08:20:31 GMT": T, "Mon, 03 Nov 2025 09:20:31 +0100": T, "Mon Nov 03 2025 09:20:31 GMT+0100 (CET)": T, " 3 November 2025 08:20:31.250\t": T + 250,
+        "Feb 30 2025": 1740873600000,
+    }
+    wrong = ["13/3/2025", "Nov 32 2025", "Now 3 2025", "3 Nov 2025 24:10", "3 Nov 2025 13:10 pm", "3 Nov 2025 8:60", "2025-11", "Nov 2025", "3 Nov 20255", "", "yesterday", "3 Nov 2025 later", "2025|11|3"]
+    assert [g[0] for g in values(spark, [*known, *wrong, None], "string", text_timestamp(F.col("v"), F.lit(NOW)))] == [*known.values(), *[None] * (len(wrong) + 1)]
+
+
 def test_displayed_times_and_counts(spark):
     shown = lambda f: [g[0] for g in values(spark, [T + 250, None], "bigint", f(F.col("v")))]
     assert shown(format_time) == ["08:20:31.250", "—"] and shown(format_date)[0] == "2025-11-03" and shown(format_date_time)[0] == "2025-11-03 08:20:31"
