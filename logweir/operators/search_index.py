@@ -15,8 +15,8 @@ from ..functions.text import fold_ascii
 from ..work import cut, discard
 
 RUN = 3
-#: Rows of a stretch, and as many stretches as a question names one by one; above, all rows are read.
-STRETCH, NAMED = 1024, 2000
+#: Rows of a stretch; as many stretches as a question names, above which all rows are read; as many ranges as its condition has.
+STRETCH, NAMED, RANGES = 1024, 2000, 128
 
 
 def runs_in(text: Column) -> Column:
@@ -58,17 +58,12 @@ class SearchIndex:
         some = found.limit(NAMED + 1).collect() if found is not None else None  # NAMED bounds what comes to the driver
         if some is None or len(some) > NAMED:
             return None
-        out = F.lit(False)
-        by_file: dict[int, list[int]] = {}
-        for r in some:
-            by_file.setdefault(r.file_id, []).append(r.stretch)
-        for file_id, places in sorted(by_file.items()):
-            ranges = None
-            for low, high in neighbours(sorted(places)):
-                one = (F.col("row_seq") >= low * self.stretch) & (F.col("row_seq") < (high + 1) * self.stretch)
-                ranges = one if ranges is None else ranges | one
-            out |= (F.col("file_id") == file_id) & ranges
-        return out
+        spans = joined(sorted((r.file_id, r.stretch) for r in some), RANGES)
+        files = sorted({file_id for file_id, _, _ in spans})
+        if len(spans) > RANGES:
+            return F.col("file_id").isin(*files)
+        at = lambda low, high: (F.col("row_seq") >= low * self.stretch) & (F.col("row_seq") < (high + 1) * self.stretch)
+        return any_of([(F.col("file_id") == file_id) & at(low, high) for file_id, low, high in spans])
 
     def narrowed(self, rows: DataFrame, query: str) -> DataFrame:
         """The rows that can hold a query's text; the query itself is still to be tested on them."""
@@ -80,12 +75,26 @@ class SearchIndex:
         discard(self.spark, self.path)
 
 
-def neighbours(places: list[int]) -> list[tuple[int, int]]:
-    """Ascending numbers as runs of neighbours, first to last."""
-    out: list[tuple[int, int]] = []
-    for k in places:
-        if out and out[-1][1] == k - 1:
-            out[-1] = (out[-1][0], k)
+def joined(places: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """Ascending (file, stretch) as spans (file, first, last) of neighbours. Above `most` spans, those of a file that lie closest
+    become one; spans of different files stay apart, even if they are more."""
+    spans: list[tuple[int, int, int]] = []
+    limit = 1
+    gaps = sorted(k - j for (f, j), (g, k) in zip(places, places[1:], strict=False) if f == g and k - j > 1)
+    files = len({f for f, _ in places})
+    if files + len(gaps) > most:
+        limit = gaps[min(files + len(gaps) - most, len(gaps)) - 1] if gaps else 1
+    for f, k in places:
+        if spans and spans[-1][0] == f and k - spans[-1][2] <= limit:
+            spans[-1] = (f, spans[-1][1], k)
         else:
-            out.append((k, k))
-    return out
+            spans.append((f, k, k))
+    return spans
+
+
+def any_of(conditions: list[Column]) -> Column:
+    """Whether one of them holds, as a balanced tree, since planning goes down a tree's depth."""
+    if len(conditions) < 2:
+        return conditions[0] if conditions else F.lit(False)
+    middle = len(conditions) // 2
+    return any_of(conditions[:middle]) | any_of(conditions[middle:])

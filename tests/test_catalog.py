@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from logweir.plans.catalog import ORACLE_SQL, QUERIES
+from logweir.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweir.operators import query
 from logweir.operators.query import FilterSpec
-from logweir.operators.search_index import SearchIndex, neighbours, runs_of
+from logweir.operators.search_index import SearchIndex, joined, runs_of
 from logweir.session import LogSession
 
 
@@ -37,7 +37,22 @@ def test_stretches_that_cannot_match_are_left_out(rows):
     assert [tuple(r) for r in index.stretches("other téxt").orderBy("file_id").collect()] == [(0, 7), (1, 7), (2, 7)]
     assert index.stretches("nowhere").count() == 0 and index.stretches("ab") is None
     assert index.narrowed(rows, "far away").count() == 1
-    assert runs_of("abab") == ["aba", "bab"] and neighbours([1, 2, 3, 7, 9, 10]) == [(1, 3), (7, 7), (9, 10)]
+    assert runs_of("abab") == ["aba", "bab"]
+
+
+def test_spans_of_stretches():
+    places = [(0, 1), (0, 2), (0, 3), (0, 7), (0, 9), (0, 10), (1, 0), (1, 50)]
+    assert joined(places, 9) == [(0, 1, 3), (0, 7, 7), (0, 9, 10), (1, 0, 0), (1, 50, 50)]
+    assert joined(places, 4) == [(0, 1, 3), (0, 7, 10), (1, 0, 0), (1, 50, 50)]
+    assert joined(places, 3) == [(0, 1, 10), (1, 0, 0), (1, 50, 50)] and joined(places, 1) == [(0, 1, 10), (1, 0, 50)] and joined([], 3) == []
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 9])
+def test_wide_spans_find_the_same(rows, monkeypatch, ranges):
+    monkeypatch.setattr("logweir.operators.search_index.RANGES", ranges)
+    index = SearchIndex.build(rows, 5)
+    hit = FilterSpec(query="abc").condition()
+    assert index.narrowed(rows, "abc").where(hit).count() == rows.where(hit).count() > 20
 
 
 def test_many_stretches_fall_back_on_a_scan(rows, monkeypatch):
