@@ -235,10 +235,20 @@ def fold_in_order(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def split_rows(tagged: DataFrame, parse: Callable[[DataFrame, Column], DataFrame], head: Column | None = None, most: int = FOLD_BYTES) -> tuple[DataFrame, list[DataFrame]] | None:
-    """A scan's lines (file_id, file, part, value; in order inside a split) to the table with COLUMNS, and the tables that it reads.
+    """fold_splits() where all files can be made so, else None."""
+    out, made, _, others = fold_splits(tagged, parse, head, most)
+    if others:
+        discard(tagged.sparkSession, *made)
+        return None
+    return out, made
+
 
-    parse adds a line's kind, ts, level, service and message. None where a row outgrows `most` bytes, or a file begins with a byte order mark or a line that would continue a
-    row: those take number_lines() and fold(). At most two rows of a split are exchanged."""
+def fold_splits(tagged: DataFrame, parse: Callable[[DataFrame, Column], DataFrame], head: Column | None = None, most: int = FOLD_BYTES) -> tuple[DataFrame, list[DataFrame], set[int], set[int]]:
+    """A scan's lines (file_id, file, part, value; in order inside a split) to the table with COLUMNS, the tables that it reads,
+    the files whose rows these are, and the files that take number_lines() and fold(): those with a row above `most` bytes,
+    and those that begin with a byte order mark or a line that would continue a row.
+
+    parse adds a line's kind, ts, level, service and message. At most two rows of a split are exchanged, and a row for each file is collected."""
     head = F.coalesce(~is_continuation(F.col("value")) if head is None else head, F.lit(True))
     lines = tagged.select("file_id", "file", "part", "value", head.alias("head"))
     rows = cut(parse(lines, F.when(F.col("head"), F.col("value"))).mapInArrow(fold_in_order(most), SPLIT_ROWS), "rows")
@@ -255,10 +265,11 @@ def split_rows(tagged: DataFrame, parse: Callable[[DataFrame, Column], DataFrame
     ), "splits")
     more = splits.where("goes_on IS NOT NULL").groupBy("file_id", F.col("anchor").alias("part")).agg(F.sum("goes_on").alias("more"))
     long = splits.join(more, ["file_id", "part"]).where(F.col("last_size") + F.col("more") > most)
-    if not splits.where("odd OR goes_on IS NOT NULL AND anchor IS NULL").isEmpty() or not long.isEmpty():
-        discard(tagged.sparkSession, rows, splits)
-        return None
-    placed = rows.join(splits.drop("odd", "goes_on", "last_size"), ["file_id", "part"]).select(
+    odd = splits.select("file_id", F.expr("odd OR goes_on IS NOT NULL AND anchor IS NULL").alias("odd")).union(long.select("file_id", F.lit(True)))
+    found = {r.file_id: r.odd for r in odd.groupBy("file_id").agg(F.max("odd").alias("odd")).collect()}
+    others = {k for k, is_odd in found.items() if is_odd}
+    kept = rows.where(~F.col("file_id").isin(others)) if others else rows
+    placed = kept.join(splits.drop("odd", "goes_on", "last_size"), ["file_id", "part"]).select(
         "*", (F.col("rows_before") + F.col("seq") - 1).alias("row_seq"), (F.col("lines_before") + F.col("at") + 1).alias("line_no"), F.greatest("top", "top_before").alias("eff_ts"),
     )
     edge = F.col("last") | ~starts
@@ -267,7 +278,7 @@ def split_rows(tagged: DataFrame, parse: Callable[[DataFrame, Column], DataFrame
         F.max(F.when(starts, F.struct(*own))).alias("own"), F.array_sort(F.collect_list(F.struct("part", "raw"))).alias("texts"), F.sum(F.col("folded") + F.when(starts, 0).otherwise(1)).cast("int").alias("folded"),
     )
     joined = joined.select("own.*", F.array_join("texts.raw", "\n").alias("raw"), "folded")
-    return placed.where(~edge).select(*COLUMNS).unionByName(joined.select(*COLUMNS)), [rows, splits]
+    return placed.where(~edge).select(*COLUMNS).unionByName(joined.select(*COLUMNS)), [rows, splits], found.keys() - others, others
 
 
 def build_logs(lines: DataFrame, now_ms: int | None = None) -> DataFrame:

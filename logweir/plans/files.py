@@ -21,6 +21,7 @@ from ..work import cut, new_dir
 from .catalog import _EVENTS, _LEVEL, _LINES, _ROWS, _SECONDS, _STEP, FAMILIES, NOW_MS, SPECS, document_lines, events, line_of, logs, mixed_lines, stamp
 
 LOG_COLUMNS = ("row_seq", "line_no", "kind", "ts_ms", "eff_ts", "level", "service", "folded")
+MANY = 5
 DOTTED = PatternSpec((r"^(?<timestamp>[\d.]+ [\d:]+) \| (?<level>\w+) \| (?<service>\w+) \| (?<message>.*)$",), ("%d.%m.%Y %H:%M:%S",), {"error": ("weird",)})
 
 
@@ -49,6 +50,17 @@ def ingest_log_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.logs().select(*LOG_COLUMNS, F.octet_length("raw").alias("raw_bytes"))
 
 
+def ingest_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines dealt to files by number, each a folder of its own, added at once: they become rows in one pass."""
+    configure(spark)
+    path = new_dir(spark, "many")
+    lines = mixed_lines(spark, sf_dir).withColumn("line", with_trace()).select("event_id", (F.floor(F.col("event_id") / 11) % MANY).alias("of"), F.col("line").alias("value"))
+    lines.repartitionByRange("event_id").sortWithinPartitions("of", "event_id").drop("event_id").write.partitionBy("of").text(path)
+    session = session_of(spark)
+    session.add_files([f"{path}/of={k}" for k in range(MANY)])
+    return session.logs().select("file_id", *LOG_COLUMNS, F.octet_length("raw").alias("raw_bytes"))
+
+
 def ingest_taught_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a format that is taught to the session; lines that don't match it go on with the row before. A second file,
     whose first line has the same shape (and level word), is read by what was taught."""
@@ -128,7 +140,7 @@ def untidy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "ingest_log_folder": ingest_log_folder, "ingest_taught_format": ingest_taught_format, "ingest_csv_file": ingest_csv_file, "question_counts": question,
+    "ingest_log_folder": ingest_log_folder, "ingest_many_files": ingest_many_files, "ingest_taught_format": ingest_taught_format, "ingest_csv_file": ingest_csv_file, "question_counts": question,
     "detail_fields_access": detail_access, "detail_fields_csv": detail_csv, "detail_fields_custom": detail_custom, "indexed_search": indexed_search, "untidy_values": untidy_values,
 }
 
@@ -140,19 +152,26 @@ _CLF = "strftime(make_timestamp(ms * 1000), '%d/%b/%Y:%H:%M:%S')"
 _SYSLOG_TIME = "strftime(make_timestamp(ms * 1000), '%b %-d %H:%M:%S')"
 _COMMA = "strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M:%S,%g')"
 
+
+def _ingested(file: str = "", parts: str = "") -> str:
+    """Rows of the mixed lines with stack frames, numbered in each of `parts`."""
+    return f"""{_EVENTS}, x AS (SELECT *, event_id % 6 AS f, row_number() OVER ({parts}ORDER BY event_id) - 1 AS row_seq, (event_id % 7 = 0)::INTEGER AS folded FROM e),
+    q AS (SELECT event_id, row_seq, folded, f::INTEGER AS kind, CASE WHEN f IN (0, 1, 4) THEN ms WHEN f IN (2, 3) THEN {_SECONDS} END AS ts_ms,
+        (CASE WHEN f IN (0, 1, 4) THEN {_LEVEL} WHEN f = 2 THEN {_STATUS_LEVEL} WHEN f = 3 THEN {_SYSLOG_LEVEL} ELSE {UNKNOWN} END)::INTEGER AS level,
+        CASE WHEN f IN (0, 1, 3) THEN svc WHEN f = 4 THEN 'com.app.' || svc END AS service,
+        CASE f WHEN 0 THEN '{{"time":"' || {_ISO} || '","level":"' || word || '","service":"' || svc || '","msg":"event ' || event_id || '"}}'
+            WHEN 1 THEN 'ts=' || {_ISO} || ' level=' || word || ' service=' || svc || ' msg="event \\"' || event_id || '\\""'
+            WHEN 2 THEN '10.0.0.1 - ' || svc || ' [' || {_CLF} || ' +0000] "GET /e/' || event_id || ' HTTP/1.1" 200 512 "-" "ua"'
+            WHEN 3 THEN {_SYSLOG_TIME} || ' host1 ' || svc || '[' || event_id || ']: ' || upper(word) || ' event ' || event_id
+            WHEN 4 THEN {_COMMA} || ' ' || upper(word) || ' com.app.' || svc || ' - event ' || event_id ELSE 'event number ' || event_id END AS line FROM x)
+    SELECT {file}row_seq, row_seq + 1 + coalesce(sum(folded) OVER ({parts}ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_no, kind, ts_ms,
+        max(ts_ms) OVER ({parts}ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS eff_ts, level, service, folded,
+        (octet_length(encode(line)) + CASE WHEN folded = 1 THEN 29 + length(event_id::VARCHAR) ELSE 0 END)::INTEGER AS raw_bytes FROM q"""
+
+
 ORACLE_SQL: dict[str, str] = {
-    "ingest_log_folder": f"""{_EVENTS}, x AS (SELECT *, event_id % 6 AS f, row_number() OVER (ORDER BY event_id) - 1 AS row_seq, (event_id % 7 = 0)::INTEGER AS folded FROM e),
-        q AS (SELECT event_id, row_seq, folded, f::INTEGER AS kind, CASE WHEN f IN (0, 1, 4) THEN ms WHEN f IN (2, 3) THEN {_SECONDS} END AS ts_ms,
-            (CASE WHEN f IN (0, 1, 4) THEN {_LEVEL} WHEN f = 2 THEN {_STATUS_LEVEL} WHEN f = 3 THEN {_SYSLOG_LEVEL} ELSE {UNKNOWN} END)::INTEGER AS level,
-            CASE WHEN f IN (0, 1, 3) THEN svc WHEN f = 4 THEN 'com.app.' || svc END AS service,
-            CASE f WHEN 0 THEN '{{"time":"' || {_ISO} || '","level":"' || word || '","service":"' || svc || '","msg":"event ' || event_id || '"}}'
-                WHEN 1 THEN 'ts=' || {_ISO} || ' level=' || word || ' service=' || svc || ' msg="event \\"' || event_id || '\\""'
-                WHEN 2 THEN '10.0.0.1 - ' || svc || ' [' || {_CLF} || ' +0000] "GET /e/' || event_id || ' HTTP/1.1" 200 512 "-" "ua"'
-                WHEN 3 THEN {_SYSLOG_TIME} || ' host1 ' || svc || '[' || event_id || ']: ' || upper(word) || ' event ' || event_id
-                WHEN 4 THEN {_COMMA} || ' ' || upper(word) || ' com.app.' || svc || ' - event ' || event_id ELSE 'event number ' || event_id END AS line FROM x)
-        SELECT row_seq, row_seq + 1 + coalesce(sum(folded) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_no, kind, ts_ms,
-            max(ts_ms) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS eff_ts, level, service, folded,
-            (octet_length(encode(line)) + CASE WHEN folded = 1 THEN 29 + length(event_id::VARCHAR) ELSE 0 END)::INTEGER AS raw_bytes FROM q""",
+    "ingest_log_folder": _ingested(),
+    "ingest_many_files": _ingested(f"(event_id // 11 % {MANY})::INTEGER AS file_id, ", f"PARTITION BY event_id // 11 % {MANY} "),
     "ingest_taught_format": f"""{_EVENTS}, x AS (SELECT *, (event_id // 7 % 2)::INTEGER AS file_id, row_number() OVER (PARTITION BY event_id // 7 % 2 ORDER BY event_id) - 1 AS row_seq FROM e)
         SELECT file_id, row_seq, row_seq + 1 AS line_no, 8::INTEGER AS kind, {_SECONDS} AS ts_ms, max({_SECONDS}) OVER (PARTITION BY file_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS eff_ts,
             (CASE WHEN word = 'weird' THEN 0 ELSE {_LEVEL} END)::INTEGER AS level, svc AS service, (event_id // 7 % 2 = 1 AND event_id % 6 = 1)::INTEGER AS folded, 'event ' || event_id AS message FROM x""",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from threading import Event, Thread
 
@@ -17,11 +17,11 @@ def file_size(spark: SparkSession, path: str) -> int:
 
 
 @contextmanager
-def watched(spark: SparkSession, path: str, on_progress: Callable[[int, int], None], every: float = 0.3) -> Iterator[None]:
+def watched(spark: SparkSession, paths: Sequence[str], on_progress: Callable[[int, int], None], every: float = 0.3) -> Iterator[None]:
     """While the block runs, tells on_progress (bytes read, bytes in all): the share of tasks that have ended in the
     group's largest stage so far. Reports rise; the last one says that all is read. An error in on_progress ends the
     reports and is raised at the end."""
-    context, group, size = spark.sparkContext, f"logweir-{uuid.uuid4().hex[:8]}", file_size(spark, path)
+    context, group, size = spark.sparkContext, f"logweir-{uuid.uuid4().hex[:8]}", sum(file_size(spark, path) for path in paths)
     done, problems = Event(), []
 
     def share() -> float:
@@ -44,7 +44,7 @@ def watched(spark: SparkSession, path: str, on_progress: Callable[[int, int], No
 
     watcher = Thread(target=report, daemon=True)
     before = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description")}
-    context.setJobGroup(group, f"reading {path}")
+    context.setJobGroup(group, f"reading {paths[0]}" if len(paths) == 1 else f"reading {len(paths)} files")
     watcher.start()
     try:
         yield

@@ -7,9 +7,10 @@ column pruning, pushed filters and pruning by file apply. Asking changes nothing
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,14 +24,16 @@ from .operators.parsers import CSV, CUSTOM, configure, with_line_record
 from .operators.order_index import OrderIndex
 from .operators.query import PAGE_COLUMNS, FilterSpec, Snapshot, Totals, detail, display_index, filter_logs, page, position_for_time, snapshot, totals_of
 from .operators.search_index import SearchIndex
-from .operators.rows import COLUMNS, first_services, fold, in_places, split_rows, with_effective_time, with_record
+from .operators.rows import COLUMNS, first_services, fold, fold_splits, in_places, split_rows, with_effective_time, with_record
 from .progress import watched
-from .sources.lines import file_head, read_lines, tagged_lines, text_lines
+from .sources.lines import head_and_files, read_lines, scanned_lines, text_lines
 from .sources.registry import FormatRegistry, Spec
 from .sources.sample import FILES, sample_lines
 from .work import cut, discard, new_dir
 
 HEAD_LINES = 12
+#: How many files' first lines are read at a time.
+HEADS_AT_ONCE = 8
 #: Pages that end before this place are found without an index.
 SHALLOW = 10_000
 ROW_SCHEMA = "file_id int, file string, row_seq bigint, line_no bigint, kind int, ts_ms bigint, eff_ts bigint, level int, service string, message string, raw string, folded int"
@@ -40,14 +43,14 @@ ROW_SCHEMA = "file_id int, file string, row_seq bigint, line_no bigint, kind int
 class LogFile:
     file_id: int
     name: str
-    lines: DataFrame
+    lines: Callable[[], DataFrame]
     head: str
     signature: str
     dialect: delimited.Dialect | None
     spec: Spec | None
     pattern: PatternFormat | None
     table: str
-    scan: DataFrame | None = None
+    scan: Callable[[], DataFrame] | None = None
 
 
 @dataclass(frozen=True)
@@ -85,15 +88,44 @@ class LogSession:
         """Adds a file by its path. on_progress: called with the bytes read so far and the file's size, a few times a second
         and once at the end."""
         if on_progress is not None:
-            with watched(self.spark, path, on_progress):
+            with watched(self.spark, [path], on_progress):
                 return self.add_file(path, name, spec)
-        k, name = len(self.files), name or path.rsplit("/", 1)[-1]
-        lines, scan = (read(self.spark, [path], k).withColumn("file", F.lit(name)) for read in (read_lines, tagged_lines))
-        return self._add(k, name, lines, file_head(self.spark, path), spec, scan)
+        made = self._known_by(len(self.files), path, name, *head_and_files(self.spark, path), spec)
+        return self._add(made)
+
+    def add_files(self, paths: Sequence[str], names: Sequence[str] | None = None, on_progress: Callable[[int, int], None] | None = None) -> list[LogFile]:
+        """Adds many files, in the order given, as add_file() would one by one. Their first lines are read side by side; all logs whose lines tell
+        their own format then become rows in one pass, whatever their number, and only the others (delimited or taught ones, and those
+        that such a pass can't cut into rows) take a pass of their own. Nothing is added if a file can't be read."""
+        if on_progress is not None and paths:
+            with watched(self.spark, paths, on_progress):
+                return self.add_files(paths, names)
+        with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+            heads = list(pool.map(lambda path: head_and_files(self.spark, path), paths))
+        first, together, owners, new = len(self.files), [], {}, []
+        for k, (path, name, (head, files)) in enumerate(zip(paths, names or [None] * len(paths), heads, strict=True), first):
+            made = self._known_by(k, path, name, head, files)
+            new.append(made)
+            if not made.pattern and not made.dialect and owners.keys().isdisjoint(files):  # a path that is given again takes a pass of its own
+                together.append(path)
+                owners |= {file: (file, k, made.name) for file in files}
+        done = self._write_together(together, [*owners.values()]) if len(together) > 1 else {}
+        new = [replace(made, table=done[made.file_id]) if made.file_id in done else self._written(made) for made in new]
+        self.files += new
+        return new
+
+    def _write_together(self, paths: list[str], owners: list[tuple[str, int, str]]) -> dict[int, str]:
+        """Writes the rows of files whose lines tell their own format; the folder of each file for which that could be done."""
+        rows, made, done, _ = fold_splits(scanned_lines(self.spark, paths, owners), lambda lines, line: with_line_record(lines, line, self.now, ts="ts"))
+        folder = f"{self.folder}/together-{uuid.uuid4().hex[:8]}"
+        if done:
+            rows.withColumn("of", F.col("file_id")).sortWithinPartitions("of", "row_seq").write.partitionBy("of").parquet(folder)
+        discard(self.spark, *made)
+        return {k: f"{folder}/of={k}" for k in done}
 
     def add_text(self, name: str, text: str, spec: Spec | None = None) -> LogFile:
         k = len(self.files)
-        return self._add(k, name, text_lines(self.spark, name, text, k), text[: 64 * 1024].removeprefix("﻿"), spec)
+        return self._add(self._told(k, name, lambda: text_lines(self.spark, name, text, k), text[: 64 * 1024].removeprefix("﻿"), spec))
 
     def load_sample(self) -> list[LogFile]:
         out = []
@@ -102,13 +134,13 @@ class LogSession:
             k = len(self.files)
             mine = lines.where(F.col("file_id") == own).withColumn("file_id", F.lit(k))
             head = "\n".join(r.value for r in mine.orderBy("line_no").limit(100).collect())
-            out.append(self._add(k, name, mine, head, None))
+            out.append(self._add(self._told(k, name, lambda mine=mine: mine, head, None)))
         return out
 
     def reparse(self, file_id: int, spec: Spec | None) -> LogFile:
         """Makes one file's rows anew, by a spec or, for None, by what is known of its signature."""
         old = self.files[file_id]
-        self.files[file_id] = self._build(file_id, old.name, old.lines, old.head, spec, old.scan)
+        self.files[file_id] = self._written(self._told(file_id, old.name, old.lines, old.head, spec, old.scan))
         return self.files[file_id]
 
     def reset(self) -> None:
@@ -118,45 +150,54 @@ class LogSession:
         self._drop_index()
         self._drop_text()
 
-    def _add(self, k: int, name: str, lines: DataFrame, head: str, spec: Spec | None, scan: DataFrame | None = None) -> LogFile:
-        self.files.append(self._build(k, name, lines, head, spec, scan))
-        return self.files[k]
+    def _add(self, made: LogFile) -> LogFile:
+        self.files.append(self._written(made))
+        return self.files[-1]
 
-    def _build(self, k: int, name: str, lines: DataFrame, head: str, spec: Spec | None, scan: DataFrame | None = None) -> LogFile:
+    def _known_by(self, k: int, path: str, name: str | None, head: str, files: list[str], spec: Spec | None = None) -> LogFile:
+        """What is told of a file by its path before its rows are made."""
+        name = name or path.rsplit("/", 1)[-1]
+        lines = lambda: read_lines(self.spark, [path], k).withColumn("file", F.lit(name))
+        return self._told(k, name, lines, head, spec, lambda: scanned_lines(self.spark, [path], [(file, k, name) for file in files]))
+
+    def _told(self, k: int, name: str, lines: Callable[[], DataFrame], head: str, spec: Spec | None, scan: Callable[[], DataFrame] | None = None) -> LogFile:
+        """A file's format by its first lines, and the folder that its rows will be in."""
         dialect = delimited.sniff(head)
         mark = signature(dialect.header_line if dialect else None, head.split("\n", 1)[0].removesuffix("\r"))
         spec = spec or self.registry.find(mark)
         pattern = compile_pattern_format(spec, self.spark) if isinstance(spec, PatternSpec) else None
-        table = f"{self.folder}/{k}-{uuid.uuid4().hex[:8]}"
-        made = LogFile(k, name, lines, head, mark, dialect, spec, pattern, table, scan)
-        found = self._in_order(made) if scan is not None and (pattern or not dialect) else None
+        return LogFile(k, name, lines, head, mark, dialect, spec, pattern, f"{self.folder}/{k}-{uuid.uuid4().hex[:8]}", scan)
+
+    def _written(self, made: LogFile) -> LogFile:
+        """Makes and writes a file's rows."""
+        found = self._in_order(made) if made.scan is not None and (made.pattern or not made.dialect) else None
         if found:
-            in_places(found[0]).write.parquet(table)
+            in_places(found[0]).write.parquet(made.table)
             discard(self.spark, *found[1])
         else:
-            in_places(self._rows(made)).write.parquet(table)
+            in_places(self._rows(made)).write.parquet(made.table)
         return made
 
     def _in_order(self, file: LogFile) -> tuple[DataFrame, list[DataFrame]] | None:
         """The rows by one pass over each split, and the tables they are made of; None where that can't be."""
         if not file.pattern:
-            return split_rows(file.scan, lambda lines, line: with_line_record(lines, line, self.now, ts="ts"))
+            return split_rows(file.scan(), lambda lines, line: with_line_record(lines, line, self.now, ts="ts"))
         taught = lambda lines, line: with_record(lines, F.when(line.isNotNull(), file.pattern.parse(line)), ts="ts")
-        found = split_rows(file.scan, taught, file.pattern.matched(F.col("value")) if file.pattern.fold_unmatched else F.lit(True))
+        found = split_rows(file.scan(), taught, file.pattern.matched(F.col("value")) if file.pattern.fold_unmatched else F.lit(True))
         return found and (found[0].withColumn("line_no", F.col("row_seq") + 1), found[1])
 
     def _rows(self, file: LogFile) -> DataFrame:
         if file.pattern:
-            rows = fold(file.lines, file.pattern.matched(F.col("value")) if file.pattern.fold_unmatched else F.lit(True))
+            rows = fold(file.lines(), file.pattern.matched(F.col("value")) if file.pattern.fold_unmatched else F.lit(True))
             # rows are numbered by themselves here, not by their lines
             rows = with_record(rows.withColumn("line_no", F.col("row_seq") + 1), file.pattern.parse(F.col("text")))
         elif file.dialect:
-            found = delimited.records(file.lines, file.dialect.delimiter)
+            found = delimited.records(file.lines(), file.dialect.delimiter)
             samples = [r.fields for r in found.where(F.col("rec_no") <= delimited.ROLE_RECORDS).orderBy("rec_no").select("fields").collect()]
             rows = found.select("*", (F.col("rec_no") - 1).alias("row_seq"), F.col("rec_no").alias("line_no"), F.lit(0).alias("folded"))
             rows = delimited.with_field_record(rows, F.col("fields"), self._roles(file, samples), self.now)
         else:
-            rows = with_line_record(fold(file.lines), F.col("text"), self.now)
+            rows = with_line_record(fold(file.lines()), F.col("text"), self.now)
         return with_effective_time(rows).select(*COLUMNS)
 
     def _roles(self, file: LogFile, samples: list[list[str]]) -> delimited.Roles:

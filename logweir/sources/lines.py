@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..operators.rows import number_lines
 
 HEAD_CHARS = 64 * 1024
+#: A local file's path begins with one slash or with three.
+LOCAL = "^file:/+"
 
 
 def clean(value: Column) -> Column:
@@ -29,6 +32,18 @@ def tagged_lines(spark: SparkSession, paths: Sequence[str], first_id: int = 0) -
     return out
 
 
+def scanned_lines(spark: SparkSession, paths: Sequence[str], owners: Sequence[tuple[str, int, str]]) -> DataFrame:
+    """(file_id, file, part, value) of many files by one scan, in order inside a split. owners: the scan's files with the id and
+    the name they go under; they are broadcast, as they come from the caller's own list. Ids are data here, so that generated code is
+    the same for whatever files."""
+    owned = spark.createDataFrame([*owners], "_path string, file_id int, file string")
+    path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = spark.read.option("lineSep", "\n").text([*paths]).select(
+        F.regexp_replace(path, LOCAL, "file:/").alias("_path"), F.struct(path, start).alias("part"), clean(F.col("value")).alias("value"),
+    )
+    return lines.join(F.broadcast(owned), "_path").select("file_id", "file", "part", "value")
+
+
 def read_lines(spark: SparkSession, paths: Sequence[str], first_id: int = 0) -> DataFrame:
     """(file_id, file, part, line_no, value). A byte order mark at a file's start is dropped."""
     numbered = number_lines(tagged_lines(spark, paths, first_id))
@@ -45,6 +60,11 @@ def text_lines(spark: SparkSession, name: str, text: str, file_id: int = 0) -> D
 
 def file_head(spark: SparkSession, path: str, chars: int = HEAD_CHARS) -> str:
     """The first characters of a file, for telling its shape."""
+    return head_and_files(spark, path, chars)[0]
+
+
+def head_and_files(spark: SparkSession, path: str, chars: int = HEAD_CHARS) -> tuple[str, list[str]]:
+    """The first characters of a file or of a folder's files, and the paths that scanned_lines() knows them by."""
     taken, size = [], 0
     lines = spark.read.option("lineSep", "\n").text(path)
     files = lines.inputFiles()
@@ -55,4 +75,4 @@ def file_head(spark: SparkSession, path: str, chars: int = HEAD_CHARS) -> str:
         size += len(row.value) + 1
         if size >= chars:
             break
-    return "\n".join(taken)[:chars].removeprefix("﻿") + ("\n" if taken else "")
+    return "\n".join(taken)[:chars].removeprefix("﻿") + ("\n" if taken else ""), [re.sub(LOCAL, "file:/", f) for f in files]
