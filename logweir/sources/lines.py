@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rows import number_lines
 
-HEAD_CHARS = 64 * 1024
+HEAD_CHARS, HEAD_ROWS = 64 * 1024, 2048
 #: A local file's path begins with one slash or with three.
 LOCAL = "^file:/+"
 
@@ -64,15 +64,25 @@ def file_head(spark: SparkSession, path: str, chars: int = HEAD_CHARS) -> str:
 
 
 def head_and_files(spark: SparkSession, path: str, chars: int = HEAD_CHARS) -> tuple[str, list[str]]:
-    """The first characters of a file or of a folder's files, and the paths that scanned_lines() knows them by."""
-    taken, size = [], 0
-    lines = spark.read.option("lineSep", "\n").text(path)
-    files = lines.inputFiles()
-    if len(files) > 1:  # a folder is read in the order of its files' names
-        lines = spark.read.option("lineSep", "\n").text(min(files))
-    for row in lines.limit(2048).toLocalIterator():
-        taken.append(row.value)
-        size += len(row.value) + 1
-        if size >= chars:
+    """The first characters of a file or of a folder's files, and the paths that scanned_lines() knows them by. They are read from where the
+    first file begins: a job over its splits could give the lines of any of them first."""
+    files = spark.read.option("lineSep", "\n").text(path).inputFiles()
+    lines: list[str] = []
+    for file in sorted(files):  # a folder is read in the order of its files' names; the first may be empty
+        lines = first_bytes(spark, file, 4 * chars).decode("utf-8", "replace").split("\n")
+        lines = lines[:-1] if lines[-1] == "" else lines
+        if lines:
             break
-    return "\n".join(taken)[:chars].removeprefix("﻿") + ("\n" if taken else ""), [re.sub(LOCAL, "file:/", f) for f in files]
+    return "\n".join(lines[:HEAD_ROWS])[:chars].removeprefix("﻿") + ("\n" if lines else ""), [re.sub(LOCAL, "file:/", f) for f in files]
+
+
+def first_bytes(spark: SparkSession, file: str, most: int) -> bytes:
+    """The first bytes of a file, given its URI; of what it holds, if it is compressed."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    path = hadoop.fs.Path(spark._jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        return bytes((codec.createInputStream(stream) if codec else stream).readNBytes(most))
+    finally:
+        stream.close()

@@ -1,10 +1,13 @@
 """Many files added in one pass."""
 
+import gzip
+
 import pytest
 
 from logweir.operators.custom import PatternSpec
 from logweir.operators.query import FilterSpec
 from logweir.session import LogSession
+from logweir.sources.lines import head_and_files
 
 NOW = 1_785_100_000_000
 TEXTS = {
@@ -88,3 +91,17 @@ def test_nothing_is_added_if_a_file_is_missing(spark, paths):
     with pytest.raises(Exception, match="(?i)not.exist|not_found"):
         session.add_files([paths[0], paths[0] + ".missing"])
     assert session.files == []
+
+
+def test_a_head_is_where_the_first_file_begins(spark, tmp_path):
+    """Not what a job over its splits gives first; a folder's first file may be empty."""
+    (tmp_path / "part-0").write_text("")
+    (tmp_path / "part-1").write_text("first é\r\n" + "".join(f"line {k}\n" for k in range(5000)))
+    with gzip.open(tmp_path / "part-2.gz", "wt") as packed:
+        packed.write("\ufeffpacked\n")
+    spark.sparkContext.setJobGroup("heads", "heads")
+    head, files = head_and_files(spark, str(tmp_path))
+    assert head.startswith("first é\r\nline 0\n") and head.count("\n") == 2048 and head.endswith("line 2046\n") and len(files) == 3
+    assert head_and_files(spark, str(tmp_path / "part-2.gz"))[0] == "packed\n" and head_and_files(spark, str(tmp_path / "part-0"))[0] == ""
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("heads")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
