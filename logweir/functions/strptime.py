@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .staged import Stage, in_expression
 from .text import trimmed
 from .timestamps import civil_ms, month_of, zone_ms
 
@@ -32,32 +33,40 @@ class TimeFormat:
 
     def parse(self, value: Column) -> Column:
         """Epoch milliseconds, or null if the trimmed value doesn't fit the format as a whole."""
-        text = trimmed(value)
-        last = {code: F.regexp_extract(text, f"^{self.pattern}\\z", k) for k, code in enumerate(self.groups, 1)}
+        return in_expression(self.stages(), {"time_text": value}, lambda v: v("ts"))
+
+    def stages(self) -> list[Stage]:
+        """Stages from `time_text` to `ts`; the pattern is matched once and gives all groups."""
+        whole = f"^{self.pattern}\\z"
+        groups = lambda text: F.split(F.regexp_replace(text, whole, "|".join(f"${k}" for k in range(1, len(self.groups) + 1))), r"\|")
+        return [
+            lambda v: {"trimmed": trimmed(v("time_text"))}, lambda v: {"groups": F.when(v("trimmed").rlike(whole), groups(v("trimmed")))},
+            lambda v: {"ts": F.when(v("groups").isNotNull(), self._time(v("groups")).cast("bigint"))},
+        ]
+
+    def _time(self, given: Column) -> Column:
+        last = {code: F.get(given, F.lit(k)) for k, code in enumerate(self.groups)}
         number = lambda code, default=0: last[code].try_cast("bigint") if code in last else F.lit(default).cast("bigint")
         of_kind = lambda *codes: next((c for c in reversed(self.groups) if c in codes), None)
         if (epoch := of_kind("s", "Q")) is not None:
-            found = number(epoch) * (1000 if epoch == "s" else 1)
-        else:
-            year = {None: F.lit(1970), "Y": number("Y"), "y": number("y") + 2000}[of_kind("Y", "y")]
-            month = F.lit(1)
-            if (code := of_kind("m", "b", "B")) == "m":
-                month = number("m")
-            elif code:
-                name = F.lower(last[code])
-                whole = F.array_position(F.array(*[F.lit(m) for m in FULL_MONTHS]), name)
-                month = F.coalesce(F.when(F.length(name) == 3, month_of(name)), F.nullif(whole, F.lit(0)), F.lit(1))
-            day, hour = of_kind("d", "e"), of_kind("H", "I")
-            h = number(hour) if hour else F.lit(0)
-            if "p" in last:
-                pm = F.lower(last["p"]) == "pm"
-                h = F.when(pm & (h < 12), h + 12).when(~pm & (h == 12), F.lit(0)).otherwise(h)
-            small = of_kind("L", "f")
-            ms = F.rpad(F.substring(last[small], 1, 3), 3, "0").try_cast("bigint") if small else F.lit(0)
-            found = civil_ms(year, month, number(day, 1) if day else F.lit(1), h, number("M"), number("S"), ms)
-            if "z" in last:
-                found = found - zone_ms(last["z"])
-        return F.when(text.rlike(f"^{self.pattern}\\z"), found.cast("bigint"))
+            return number(epoch) * (1000 if epoch == "s" else 1)
+        year = {None: F.lit(1970), "Y": number("Y"), "y": number("y") + 2000}[of_kind("Y", "y")]
+        month = F.lit(1)
+        if (code := of_kind("m", "b", "B")) == "m":
+            month = number("m")
+        elif code:
+            name = F.lower(last[code])
+            whole = F.array_position(F.array(*[F.lit(m) for m in FULL_MONTHS]), name)
+            month = F.coalesce(F.when(F.length(name) == 3, month_of(name)), F.nullif(whole, F.lit(0)), F.lit(1))
+        day, hour = of_kind("d", "e"), of_kind("H", "I")
+        h = number(hour) if hour else F.lit(0)
+        if "p" in last:
+            pm = F.lower(last["p"]) == "pm"
+            h = F.when(pm & (h < 12), h + 12).when(~pm & (h == 12), F.lit(0)).otherwise(h)
+        small = of_kind("L", "f")
+        ms = F.rpad(F.substring(last[small], 1, 3), 3, "0").try_cast("bigint") if small else F.lit(0)
+        found = civil_ms(year, month, number(day, 1) if day else F.lit(1), h, number("M"), number("S"), ms)
+        return found - zone_ms(last["z"]) if "z" in last else found
 
 
 def compile_time_format(text: str) -> TimeFormat | None:

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binding import bind
-from .staged import Stage, Values, in_expression, named
+from .staged import Stage, Values, in_expression, named, with_stages
 from .text import number_of, trimmed
 
 HEAD = 96
@@ -37,9 +37,14 @@ WHOLE_DATE = (
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
 
 
+def whole(digits: Column) -> Column:
+    """Digits as a number, null for none. A cast that fails makes an exception for each row, even where that gives null."""
+    return F.when(digits != "", digits.try_cast("bigint"))
+
+
 def part(text: Column, start: int, length: int) -> Column:
     """Digits at a fixed place, as a number; null where they aren't digits."""
-    return F.substring(text, start, length).try_cast("bigint")
+    return whole(F.substring(text, start, length))
 
 
 def civil_ms(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, ms: Column) -> Column:
@@ -167,22 +172,23 @@ def written_date(text: Column) -> Column:
     plain = F.regexp_replace(trimmed(text), "^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]{0,6},? ", "")
     for form, ordered in DATES:
         plain = F.regexp_replace(plain, form, ordered)
-    parts = F.split(F.regexp_replace(plain, WHOLE_DATE, "|".join(f"${k}" for k in range(1, 10))), r"\|")
+    parts = lambda x: F.split(F.regexp_replace(x, WHOLE_DATE, "|".join(f"${k}" for k in range(1, 10))), r"\|")
 
     def made(p: Column) -> Column:
-        number = lambda k: F.coalesce(F.get(p, F.lit(k)).try_cast("bigint"), F.lit(0).cast("bigint"))
-        month = F.coalesce(F.get(p, F.lit(1)).try_cast("bigint"), month_of(F.get(p, F.lit(1))))
+        number = lambda k: F.coalesce(whole(F.get(p, F.lit(k))), F.lit(0).cast("bigint"))
+        name = F.get(p, F.lit(1))
+        month = F.when(name.rlike("^[A-Za-z]"), month_of(name)).otherwise(whole(name))
         half = F.lower(F.get(p, F.lit(7)))
         hour = F.when(half == "", number(3)).when(number(3).between(1, 12), number(3) % 12 + F.when(half == "p", 12).otherwise(0))
         at = civil_ms(number(0), month, number(2), hour, number(4), number(5), F.floor(fraction_ms(F.get(p, F.lit(6))))) - zone_ms(F.get(p, F.lit(8)))
         return F.when(month.between(1, 12) & number(2).between(1, 31) & (hour < 24) & (number(4) < 60) & (number(5) < 60), at)
 
-    return bind(F.when(plain.rlike(WHOLE_DATE), parts), made)
+    return bind(plain, lambda x: bind(F.when(x.rlike(WHOLE_DATE), parts(x)), made))
 
 
 def other_time(text: Column) -> Column:
     """Of a field's value without a timestamp: what it means as a number, or else as a written date."""
-    return F.when(number_of(text).isNotNull(), number_timestamp(number_of(text))).otherwise(written_date(text))
+    return bind(number_of(text), lambda number: F.when(number.isNotNull(), number_timestamp(number)).otherwise(written_date(text)))
 
 
 def is_field_time(text: Column) -> Column:
@@ -195,6 +201,14 @@ def field_stages(now_ms: Column | None = None) -> list[Stage]:
     return [*time_stages(now_ms), lambda v: {"ts": F.coalesce(v("ts"), F.when(v("ts").isNull(), other_time(v("time_text"))))}]
 
 
+def with_times(df: DataFrame, texts: dict[str, Column], stages: list[Stage]) -> DataFrame:
+    """df with the time of each text, by stages of its own: those are projections in generated code."""
+    made = named(stages)
+    for name, text in texts.items():
+        df = with_stages(df, made, {"time_text": text}, {name: "ts"})
+    return df
+
+
 def text_timestamp(value: Column, now_ms: Column | None = None) -> Column:
     """field_stages as one Column."""
     return in_expression(field_stages(now_ms), {"time_text": value}, lambda v: v("ts"))

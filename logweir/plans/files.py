@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import UNKNOWN, level_from_text
 from ..functions.strptime import compile_time_format
-from ..functions.timestamps import text_timestamp
+from ..functions.timestamps import field_stages, with_times
 from ..operators import delimited, query
 from ..operators.custom import ColumnSpec, PatternSpec, compile_pattern_format
 from ..operators.parsers import ACCESS, configure
@@ -135,8 +135,9 @@ def untidy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     level, day = padded(F.upper("word")), padded(stamp("yyyy.MM.dd"))
     df = df.select("event_id", level.alias("_level"), day.alias("_day"), *[t.alias(f"_{k}") for k, t in texts.items()])
-    times = [text_timestamp(F.col(f"_{k}"), F.lit(NOW_MS)).alias(k) for k in texts]
-    return df.select("event_id", level_from_text(F.col("_level")).alias("level"), compile_time_format("%Y.%m.%d").parse(F.col("_day")).alias("day"), *times)
+    df = with_times(df, {k: F.col(f"_{k}") for k in texts}, field_stages(F.lit(NOW_MS)))
+    df = with_times(df, {"day": F.col("_day")}, compile_time_format("%Y.%m.%d").stages())
+    return df.select("event_id", level_from_text(F.col("_level")).alias("level"), "day", *texts)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,8 +1,11 @@
 """Literal lines and values to literal results."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from logweir.functions.binding import bind
 from logweir.functions.levels import level_from_number, level_from_text, parse_level_map
 from logweir.functions.strptime import compile_time_format
 from logweir.functions.text import contains_folded, format_bucket, format_bytes, format_count, format_date, format_date_time, format_time, signature
@@ -120,3 +123,14 @@ def test_filters_stay_above_the_stages(spark):
     found = with_line_record(df, F.col("v"), NOW).where(F.col("ts_ms").isNotNull() & (F.col("level") == 0))
     assert found.count() == sum(r[1] is not None and r[2] == 0 for _, r in LINES)
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+
+
+def test_nested_bindings_cost_no_more_than_their_number(spark):
+    """A nested binding's type was worked out twice by the one around it for each row, so that each further one doubled the time."""
+    out = F.col("v")
+    for _ in range(22):
+        out = bind(out + 1, lambda x: x * 2 - x)
+    nested = lambda k, x: x if k == 0 else bind(x + 1, lambda y: nested(k - 1, y))
+    begin = time.monotonic()
+    assert values(spark, [*range(20), None], "bigint", out, nested(27, F.col("v"))) == [*[(k + 22, k + 27) for k in range(20)], (None, None)]
+    assert time.monotonic() - begin < 60
