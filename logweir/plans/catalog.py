@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.levels import BY_WORD, ERROR, UNKNOWN, WARN, level_from_number, level_from_text, level_name
 from ..functions.strptime import compile_time_format
 from ..functions.text import format_bucket, format_bytes, highlight, line_signature
-from ..functions.timestamps import find_timestamp, text_timestamp
+from ..functions.timestamps import field_stages, time_stages, with_times
 from ..operators import delimited, query, rows
 from ..operators.custom import PatternSpec, compile_pattern_format
 from ..operators.parsers import ACCESS, GENERIC, JSON, LOGFMT, SYSLOG, configure, is_continuation, json_fields, logfmt_map, with_line_record
@@ -93,7 +93,8 @@ def time_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "epoch_ms": F.col("ms").cast("string"), "epoch_frac": F.concat(F.floor(F.col("ms") / 1000).cast("string"), F.lit("."), F.lpad((F.col("ms") % 1000).cast("string"), 3, "0")),
     }
     df = df.select("event_id", *[t.alias(f"_{k}") for k, t in texts.items()])
-    return df.select("event_id", *[find_timestamp(F.col(f"_{k}"), F.lit(NOW_MS))["ts"].alias(k) for k in texts], text_timestamp(F.col("_epoch_ms"), F.lit(NOW_MS)).alias("field_ms"))
+    df = with_times(df, {k: F.col(f"_{k}") for k in texts}, time_stages(F.lit(NOW_MS)))
+    return with_times(df, {"field_ms": F.col("_epoch_ms")}, field_stages(F.lit(NOW_MS))).select("event_id", *texts, "field_ms")
 
 
 def strptime_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
