@@ -101,7 +101,9 @@ def strptime_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir)
     formats = {"dotted": ("%d.%m.%Y %H:%M:%S", "dd.MM.yyyy HH:mm:ss"), "clock12": ("%d %b %Y %I:%M %p", "dd MMM yyyy hh:mm a"), "millis": ("%Y-%m-%d %H:%M:%S,%L", "yyyy-MM-dd HH:mm:ss,SSS"), "zoned": ("%Y%m%d%H%M%S %z", "yyyyMMddHHmmss '+0100'")}
     df = df.select("event_id", *[stamp(p).alias(f"_{k}") for k, (_, p) in formats.items()])
-    return df.select("event_id", *[compile_time_format(f).parse(F.col(f"_{k}")).alias(k) for k, (f, _) in formats.items()])
+    for k, (f, _) in formats.items():
+        df = with_times(df, {k: F.col(f"_{k}")}, compile_time_format(f).stages())
+    return df.select("event_id", *formats)
 
 
 def pattern_format(spark: SparkSession, sf_dir: str) -> DataFrame:

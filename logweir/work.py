@@ -36,10 +36,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: So many splits for each core are dealt evenly enough.
+SPLITS = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer splits than the session has cores, dealt evenly, for work that is heavy for each row; others are left as they are."""
+    """A scan of few splits for the session's cores, dealt evenly, for work that is heavy for each row; others are left as they are. Splits are
+    parts of files by bytes, but rows come with row groups, of which a large file may have one: most of its splits are then empty."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(SPLITS * cores) if df.rdd.getNumPartitions() < SPLITS * cores else df
 
 
 def discard(spark: SparkSession, *made: DataFrame | str) -> None:
