@@ -45,12 +45,24 @@ SPAN, GRAM = 200, 24
 HEAVY, FLUSH_ROWS, MATRIX = 20_000, 10_000, 4_000
 #: Strings over HEAVY anchors are hashed so many at a time.
 WINDOWS = 1 << 18
+#: Windows whose least hashes are sought at a time, and bytes of text that are anchored at a time.
+SECTION, ANCHORED = 1 << 17, 2 << 20
 #: The symbol of columns outside a row's text: no byte equals it.
 PAD = 256
 
 
-def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
-    """The place of the least of each `width` neighbours, the leftmost of equal ones, from running minima of blocks in both directions."""
+def sliding_argmin(x: np.ndarray, width: int, section: int = SECTION) -> np.ndarray:
+    """The place of the least of each `width` neighbours, the leftmost of equal ones; a section of windows at a time, since each takes some ten
+    arrays of its length."""
+    out = np.empty(len(x) - width + 1, dtype=np.int64)
+    for a in range(0, len(out), section):
+        b = min(a + section, len(out))
+        out[a:b] = a + least_in_section(x[a : b + width - 1], width)
+    return out
+
+
+def least_in_section(x: np.ndarray, width: int) -> np.ndarray:
+    """sliding_argmin of all of x, from running minima of blocks in both directions."""
     n = len(x)
     padded = np.concatenate([x, np.full(-n % width, ~np.uint64(0))])
     blocks, places = padded.reshape(-1, width), np.arange(len(padded)).reshape(-1, width)
@@ -260,7 +272,7 @@ def intervals(docs: DataFrame, text: str, span: int = SPAN, gram: int = GRAM, he
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in text_batches(batches, text, most=4 << 20):
+        for batch in text_batches(batches, text, most=ANCHORED):
             held.append(encoded(batch).hash)
             size += len(held[-1])
             if size >= 500_000:
@@ -282,7 +294,7 @@ def intervals(docs: DataFrame, text: str, span: int = SPAN, gram: int = GRAM, he
         return run
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, text, most=4 << 20):
+        for batch in text_batches(batches, text, most=ANCHORED):
             own = encoded(batch)
             seen = repeated_at(folder, bits, own.hash)
             ids = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row")]).astype(np.int64)
