@@ -1,13 +1,18 @@
 """Substring search that reads only the stretches of rows that can hold a text.
 
 Rows are numbered in stretches of equal length inside each file. For every stretch the index has the runs of three
-characters that its searchable texts contain, sorted by them, so that the Parquet reader finds a run's stretches by the statistics
-of a few row groups. A text that holds a needle holds all of its runs: stretches that lack one are never read, and the rows of
-the others are tested again, so that what is found is what a scan would find.
+bytes (of UTF-8) that its searchable texts contain. Each task writes those of its rows, sorted by run, so that nothing is exchanged and the
+Parquet reader finds a run's stretches by the statistics of a few row groups of each part. A text that holds a needle holds all of its runs:
+stretches that lack one are never read, and the rows of the others are tested again, so that what is found is what a scan would find.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +22,42 @@ from ..work import cut, discard
 RUN = 3
 #: Rows of a stretch; as many stretches as a question names, above which all rows are read; as many ranges as its condition has.
 STRETCH, NAMED, RANGES = 1024, 2000, 128
-
-
-def runs_in(text: Column) -> Column:
-    """The different runs of three characters, in one pass over the text; line feeds count as characters."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{RUN}}}))"), F.lit(1)))
+#: Bytes of text whose runs are sought at a time.
+SLICE = 2 << 20
+
+
+def runs_in(texts: pa.Array, owner: np.ndarray) -> np.ndarray:
+    """The runs of each binary text with its owner, each once: owner << 24 | run. Null texts have none."""
+    kind = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[-1] - ends[0] < RUN:
+        return np.zeros(0, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), np.diff(ends))
+    runs = owner[text[:-2]] << 24 | data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+    return np.unique(runs[text[:-2] == text[2:]])
+
+
+def runs_of_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over file_id, stretch and two binary texts of rows: the stretches' runs, from SLICE bytes or one row at a time. A stretch that several
+    slices have rows of may have a run more than once."""
+    for batch in batches:
+        sizes = sum(np.nan_to_num(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(float)) for c in ("text", "other"))
+        slices = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE, prepend=-1, append=-1))
+        for a, b in zip(slices[:-1], slices[1:], strict=True):
+            some = batch.slice(a, b - a)
+            files, stretches = (some.column(c).to_numpy(zero_copy_only=False) for c in ("file_id", "stretch"))
+            heads = np.concatenate([[0], np.flatnonzero((files[1:] != files[:-1]) | (stretches[1:] != stretches[:-1])) + 1])
+            owner = np.repeat(np.arange(len(heads)), np.diff(heads, append=b - a))
+            found = np.unique(np.concatenate([runs_in(some.column(c), owner) for c in ("text", "other")]))
+            at = heads[found >> 24]
+            yield pa.record_batch([pa.array(files[at]), pa.array(stretches[at]), pa.array((found & 0xFFFFFF).astype(np.int32))], ["file_id", "stretch", "run"])
 
 
 def runs_of(needle: str) -> list[str]:
-    return sorted({needle[k : k + RUN] for k in range(len(needle) - RUN + 1)})
+    """The needle's runs, a character for each byte."""
+    data = needle.encode().decode("latin-1")
+    return sorted({data[k : k + RUN] for k in range(len(data) - RUN + 1)})
 
 
 class SearchIndex:
@@ -38,10 +70,11 @@ class SearchIndex:
     def build(cls, rows: DataFrame, stretch: int = STRETCH) -> SearchIndex:
         """rows: file_id, row_seq, raw and message, which query.text_match() searches."""
         at = F.floor(F.col("row_seq") / stretch).cast("bigint").alias("stretch")
-        texts = F.concat(runs_in(F.coalesce(fold_ascii(F.col("raw")), F.lit(""))), F.when(F.col("message") != F.substring_index(F.col("raw"), "\n", 1), runs_in(F.lower("message"))).otherwise(F.array()))
-        found = rows.select("file_id", at, F.explode(texts).alias("run")).distinct()
-        # equal runs may come to lie in several ranges, so that one that all stretches have is no single task
-        index = cut(found.repartitionByRange("run", "file_id", "stretch").sortWithinPartitions("run", "file_id", "stretch"), "runs")
+        first = F.substring_index(F.col("raw"), "\n", 1)
+        other = F.when(~F.col("message").eqNullSafe(first), F.lower("message"))
+        texts = rows.select("file_id", at, fold_ascii(F.col("raw")).cast("binary").alias("text"), other.cast("binary").alias("other"))
+        found = texts.mapInArrow(runs_of_stretches, "file_id int, stretch bigint, run int")
+        index = cut(found.sortWithinPartitions("run"), "runs")
         return cls(rows.sparkSession, index.written_to, index.schema, stretch)
 
     def stretches(self, needle: str) -> DataFrame | None:
@@ -50,7 +83,8 @@ class SearchIndex:
         if not runs:
             return None
         index = self.spark.read.schema(self.schema).parquet(self.path)
-        return index.where(F.col("run").isin(*runs)).groupBy("file_id", "stretch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(runs)).select("file_id", "stretch")
+        codes = [int.from_bytes(r.encode("latin-1")) for r in runs]
+        return index.where(F.col("run").isin(*codes)).groupBy("file_id", "stretch").agg(F.count_distinct("run").alias("n")).where(F.col("n") == len(runs)).select("file_id", "stretch")
 
     def condition(self, needle: str) -> Column | None:
         """Which rows can hold a needle, as ranges of row_seq that are pushed into the scan; None if all rows have to be read."""

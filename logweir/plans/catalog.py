@@ -128,7 +128,7 @@ def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as files of lines; each third line is indented, so that it continues the one before."""
-    df = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("k", "value"))
+    df = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("int").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("k", "value"))
     indented = F.when(F.col("k") % 3 == 2, F.concat(F.lit("\tat "), F.col("value"))).otherwise(F.col("value"))
     return df.select("file_id", F.lit("text").alias("file"), F.floor(F.col("k") / 16).alias("part"), (F.col("k") + 1).cast("bigint").alias("line_no"), indented.alias("value"))
 

@@ -2,12 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from logweir.operators import query
 from logweir.operators.query import FilterSpec
-from logweir.operators.search_index import SearchIndex, joined, runs_of
+from logweir.operators.search_index import SearchIndex, joined, runs_of, runs_of_stretches
 from logweir.session import LogSession
 
 
@@ -88,3 +89,20 @@ def test_a_session_reads_a_fraction(spark, tmp_path):
     assert session.search(spec).count() == 2  # by a scan, until it is indexed again
     session.index_text()
     assert session.search(spec).count() == 2 and session.search(spec).where(F.col("file_id") == 1).count() == 1
+
+
+def test_an_index_is_made_without_an_exchange(spark, rows):
+    spark.sparkContext.setJobGroup("index", "index")
+    index = SearchIndex.build(rows.union(spark.createDataFrame([(5, 0, None, "only a message")], rows.schema)), 50)
+    tracker = spark.sparkContext.statusTracker()
+    assert [len(tracker.getJobInfo(k).stageIds) for k in tracker.getJobIdsForGroup("index")] == [1]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(r) for r in index.stretches("y a mess").collect()] == [(5, 0)]  # a row without raw text
+    index.discard()
+
+
+def test_slices_find_the_same_runs(spark, rows, monkeypatch):
+    monkeypatch.setattr("logweir.operators.search_index.SLICE", 40)
+    batch = pa.RecordBatch.from_pydict({"file_id": [0, 0, 1], "stretch": [0, 0, 0], "text": [b"abcd" * 20, b"bcda", None], "other": [None, b"abx", b"xy"]}, pa.schema([("file_id", pa.int32()), ("stretch", pa.int64()), ("text", pa.binary()), ("other", pa.binary())]))
+    found = {(f, s, r.to_bytes(3)) for out in runs_of_stretches([batch]) for f, s, r in zip(*[c.to_pylist() for c in out.columns], strict=True)}
+    assert found == {(0, 0, r) for r in (b"abc", b"bcd", b"cda", b"dab", b"abx")}
