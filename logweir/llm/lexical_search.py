@@ -34,6 +34,13 @@ def term_bucket(term: Column) -> Column:
     return F.pmod(F.hash(term), F.lit(TERM_BUCKETS))
 
 
+def places(docs: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each term's place in a document: _row, keep, n, term. Of explode() Spark infers that the array isn't empty, and would make all terms
+    once more to test it, where documents are read; so empty ones give a row, which goes then."""
+    found = docs.select("_row", *keep, terms_of(F.col(text)).alias("_terms"))
+    return found.select("_row", *keep, F.size("_terms").alias("n"), F.explode_outer("_terms").alias("term")).where("term IS NOT NULL")
+
+
 class Postings:
     """A table of postings: _row, further columns of the document (keep), term, bucket, tf, n (terms of the document)."""
 
@@ -42,9 +49,7 @@ class Postings:
         self.spark, self.keep = docs.sparkSession, keep
         self.name, self.path = f"postings_{uuid.uuid4().hex[:12]}", new_dir(self.spark, "postings")
         deals = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        found = docs.repartition(deals, "_row").select("_row", *keep, terms_of(F.col(text)).alias("_terms"))
-        terms = found.select("_row", *keep, F.size("_terms").alias("n"), F.explode("_terms").alias("term"))
-        counts = terms.groupBy("_row", *keep, "n", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", term_bucket(F.col("term")))
+        counts = places(docs.repartition(deals, "_row"), text, keep).groupBy("_row", *keep, "n", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", term_bucket(F.col("term")))
         counts.write.bucketBy(deals, "_row").sortBy("bucket", "term").option("path", self.path).option("compression", "zstd").saveAsTable(self.name)
         self.table = self.spark.table(self.name)
         sizes = self.table.groupBy("_row").agg(F.sum("tf").alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
