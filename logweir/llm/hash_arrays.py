@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
-import io
+import math
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, file_bytes, mix, new_dir, put_file
+from .common import bucket_bits, file_bytes, lean, lean_group, mix, new_dir, put_file
+
+
+#: Before each array: its kind, dimensions, first and last length. Blocks are small and many, so a header is read without parsing; arrays begin at multiples of eight.
+HEADER = struct.Struct("<4sIQQ")
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
+    out = []
     for a in arrays:
         if a.dtype.kind in "iu" and a.dtype != np.uint64:
             a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-        np.lib.format.write_array(out, np.ascontiguousarray(a), allow_pickle=False)
-    return out.getvalue()
+        out += [HEADER.pack(a.dtype.str.encode(), a.ndim, a.shape[0], a.shape[-1]), a.tobytes(), bytes(-a.nbytes % 8)]
+    return b"".join(out)
+
+
+def array_at(data: bytes | np.ndarray, at: int) -> tuple[np.ndarray, int]:
+    """The array whose header is there, as a view, and where the next one is."""
+    kind, dims, first, last = HEADER.unpack(bytes(data[at : at + HEADER.size]))
+    kind, shape, at = np.dtype(kind.rstrip(b"\0").decode()), (first, last)[:dims], at + HEADER.size
+    found = np.frombuffer(data, kind, math.prod(shape), at).reshape(shape)
+    return found, at + found.nbytes + -found.nbytes % 8
 
 
-def unpack_arrays(data) -> list[np.ndarray]:
-    src, out = io.BytesIO(data), []
-    while src.tell() < len(data):
-        out.append(np.lib.format.read_array(src, allow_pickle=False))
+def unpack_arrays(data: bytes | np.ndarray) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        found, at = array_at(data, at)
+        out.append(found)
     return out
 
 
@@ -48,15 +62,7 @@ def mapped(uri: str) -> list[np.ndarray]:
     if uri not in _mapped:
         if len(_mapped) > 4096:
             _mapped.clear()
-        data = file_bytes(uri)
-        arrays, at = [], 0
-        while at < len(data):
-            src = io.BytesIO(data[at : at + 256].tobytes())
-            np.lib.format.read_magic(src)
-            shape, _, kind = np.lib.format.read_array_header_1_0(src)
-            start, at = at + src.tell(), at + src.tell() + shape[0] * kind.itemsize
-            arrays.append(data[start:at].view(kind))
-        _mapped[uri] = arrays
+        _mapped[uri] = unpack_arrays(file_bytes(uri))
     return _mapped[uri]
 
 
@@ -102,7 +108,7 @@ def keep(rows: DataFrame, name: str, send, write) -> Store:
         put_file(f"{folder}/{name}-{bucket}.npy", pack_arrays(*write([unpack_arrays(b.as_buffer().to_pybytes()) for b in table.column("block")])))
         return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
-    written = rows.mapInArrow(blocks, "bucket int, block binary").groupBy("bucket").applyInArrow(put, "bucket int")
+    written = rows.mapInArrow(lean(blocks), "bucket int, block binary").groupBy("bucket").applyInArrow(lean_group(put), "bucket int")
     finish(folder, name, [r.bucket for r in written.collect()])
     return folder, name, bits
 

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, cut, discard, hashed_words, mix, need_integers, pair, small_batches, text_batches
+from .common import bucket_bits, cut, discard, hashed_words, lean, lean_group, mix, need_integers, pair, small_batches, text_batches
 from .components import components
 from .hash_arrays import Store, block_rows, groups_of, has_ids, keep_groups, keep_ids, pack_arrays, unpack_arrays
 
@@ -146,7 +146,7 @@ def set_rows(docs: DataFrame, text: str, id: str, runs: int) -> DataFrame:
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(class_of(sets)), pa.array(whole, pa.binary()), pa.array(brief, pa.binary())]
             yield pa.record_batch([batch.column(id), *columns], ["id", "n", "cid", "sketch", "brief"])
 
-    found = docs.select(F.col(id).cast("bigint").alias(id), text).mapInArrow(rows, "id bigint, n bigint, cid bigint, sketch binary, brief binary")
+    found = docs.select(F.col(id).cast("bigint").alias(id), text).mapInArrow(lean(rows), "id bigint, n bigint, cid bigint, sketch binary, brief binary")
     return found.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int"))
 
 
@@ -162,7 +162,7 @@ def frequent_segments(docs: DataFrame, text: str, id: str) -> tuple[np.ndarray,
                 yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owner).view(np.int64))], ["key", "owner"])
 
     sample = docs.where(F.pmod(F.xxhash64(F.lit(1), F.col(id)), F.lit(SAMPLED)) == 0).select(text)
-    counted = sample.mapInArrow(rows, "key bigint, owner bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("a"), F.max("owner").alias("b"))
+    counted = sample.mapInArrow(lean(rows), "key bigint, owner bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("a"), F.max("owner").alias("b"))
     # keys of one set's copies alone say nothing, since those are one class
     top = counted.where((F.col("n") >= LEAST) & (F.col("a") != F.col("b"))).orderBy(F.desc("n"), "key").limit(FREQUENT).select("key", "n").toPandas()
     keys = top["key"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -233,8 +233,8 @@ def candidate_lists(docs: DataFrame, text: str, id: str, order: tuple[np.ndarray
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["gid", "chunk", "ids", "sizes"])
 
-    blocks = docs.select(id, text).mapInArrow(emit, "bucket int, block binary")
-    lists = blocks.groupBy("bucket").applyInArrow(meet, "gid bigint, chunk int, ids array<bigint>, sizes array<bigint>")
+    blocks = docs.select(id, text).mapInArrow(lean(emit), "bucket int, block binary")
+    lists = blocks.groupBy("bucket").applyInArrow(lean_group(meet), "gid bigint, chunk int, ids array<bigint>, sizes array<bigint>")
     return lists.dropDuplicates(["gid", "chunk"])
 
 def fits(a: str, b: str):
@@ -250,7 +250,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, i
             yield batch.select(["a", "b"]).filter(pa.array([may_link(*row) for row in zip(*columns, strict=True)], pa.bool_()))
 
     of = lambda x: classes.select(F.col("rep").alias(x), F.coalesce("sketch", "brief").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    near = cut(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(sift, "a bigint, b bigint"), "near")
+    near = cut(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lean(sift), "a bigint, b bigint"), "near")
     kept = keep_ids(near.select("a").union(near.select("b")).distinct())
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +261,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, i
             yield batch.filter(pa.array(real & has_ids(kept, values)))
 
     # only texts of pairs are exchanged
-    texts = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(needed, "id bigint, text string")
+    texts = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(lean(needed), "id bigint, text string")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -290,7 +290,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, i
 
     left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
     both = near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    out = cut(both.mapInArrow(check, "a bigint, b bigint").distinct(), "links")
+    out = cut(both.mapInArrow(lean(check), "a bigint, b bigint").distinct(), "links")
     discard(docs.sparkSession, near, kept[0])
     return out
 
@@ -411,7 +411,7 @@ def across(rows: DataFrame, classes: DataFrame, left: Store, few: DataFrame | No
     # one of the few counts as settled, so that every open member meets it
     others = blocks if few is None else sketched(few).groupBy("gid").agg(gathered(F.lit(True).alias("settled")))
     met = blocks.where("open").select("gid", F.col("rows").alias("x")).join(others.select("gid", F.col("rows").alias("y")), "gid")
-    out = cut(met.mapInArrow(lambda batches: block_pairs(batches, left, right), "a bigint, b bigint").distinct(), "pairs")
+    out = cut(met.mapInArrow(lean(lambda batches: block_pairs(batches, left, right)), "a bigint, b bigint").distinct(), "pairs")
     discard(rows.sparkSession, left[0], *([blocks] if few is None else [right[0]]))
     return out
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches
+from .common import cut, lean, text_batches
 
 CACHE = 200_000
 _PUNCTUATION = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
@@ -141,7 +141,7 @@ def tokenized(docs: DataFrame, text: str, id: str, tokenizer: str, end: int) ->
         own.forget()
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(id, text).mapInArrow(encode, f"id {kind}, part bigint, part_start bigint, n_ids bigint, width int, ids binary")
+    return docs.select(id, text).mapInArrow(lean(encode), f"id {kind}, part bigint, part_start bigint, n_ids bigint, width int, ids binary")
 
 
 def cut_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
