@@ -2,7 +2,7 @@
 
 Strings that repeat are found by merging positional Burrows-Wheeler transforms of anchored strings.
 
-Anchors. Of the GRAM-byte substrings in any SPAN bytes, the one with the smallest hash (the first, if equal) is an
+Anchors. Of the GRAM-byte substrings in any SPAN bytes, the one with the smallest hash (of 50 bits; the first, if equal) is an
 anchor. It depends on those bytes alone, so equal strings have equal anchors at equal places, and an anchor that
 occurs once lies in no repeated string. One exchange of anchor hashes finds those that occur twice or more; they are
 written as sorted arrays, which workers map into memory.
@@ -45,16 +45,22 @@ SPAN, GRAM = 200, 24
 HEAVY, FLUSH_ROWS, MATRIX = 20_000, 10_000, 4_000
 #: Strings over HEAVY anchors are hashed so many at a time.
 WINDOWS = 1 << 18
-#: Windows whose least hashes are sought at a time, and bytes of text that are anchored at a time.
-SECTION, ANCHORED = 1 << 17, 2 << 20
+#: Bits for a place in a section of windows whose least hashes are sought at a time, and such windows at most.
+PLACE = 14
+SECTION = 1 << PLACE
+#: Bytes of text that are anchored at a time, for rows and for anchors alone.
+ANCHORED, HASHED = 2 << 20, 1 << 19
+#: Hashes that are held before they are sent as blocks, so that a bucket gets few large ones.
+HELD = 500_000
 #: The symbol of columns outside a row's text: no byte equals it.
 PAD = 256
 
 
 def sliding_argmin(x: np.ndarray, width: int, section: int = SECTION) -> np.ndarray:
-    """The place of the least of each `width` neighbours, the leftmost of equal ones; a section of windows at a time, since each takes some ten
-    arrays of its length."""
+    """The place of the least of each `width` neighbours, the leftmost of equal ones; a section of windows at a time, since each takes some
+    arrays of its length. x: below 2 ** (64 - PLACE), since a place in its section stands behind each number."""
     out = np.empty(len(x) - width + 1, dtype=np.int64)
+    section = min(section, (1 << PLACE) - width + 1)
     for a in range(0, len(out), section):
         b = min(a + section, len(out))
         out[a:b] = a + least_in_section(x[a : b + width - 1], width)
@@ -62,19 +68,14 @@ def sliding_argmin(x: np.ndarray, width: int, section: int = SECTION) -> np.ndar
 
 
 def least_in_section(x: np.ndarray, width: int) -> np.ndarray:
-    """sliding_argmin of all of x, from running minima of blocks in both directions."""
-    n = len(x)
-    padded = np.concatenate([x, np.full(-n % width, ~np.uint64(0))])
-    blocks, places = padded.reshape(-1, width), np.arange(len(padded)).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1)
-    new = np.ones(blocks.shape, dtype=bool)
-    new[:, 1:] = blocks[:, 1:] < ahead[:, :-1]
-    at_ahead = np.maximum.accumulate(np.where(new, places, 0), axis=1).reshape(-1)
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]
-    new[:, :-1], new[:, -1] = blocks[:, :-1] <= behind[:, 1:], True
-    at_behind = np.minimum.accumulate(np.where(new, places, len(padded))[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    left, right = at_behind[: n - width + 1], at_ahead[width - 1 : n]
-    return np.where(x[left] <= x[right], left, right)
+    """sliding_argmin of all of x, from minima of twice as many neighbours again and again."""
+    least = (x << np.uint64(PLACE)) | np.arange(len(x), dtype=np.uint64)
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return (least & np.uint64((1 << PLACE) - 1)).astype(np.int64)
 
 
 class Anchored:
@@ -92,7 +93,7 @@ class Anchored:
             _, down = powers(n + 1)
             with np.errstate(over="ignore"):
                 grams = mix((self.sums[gram:] - self.sums[:-gram]) * down[: n - gram + 1])
-            least = sliding_argmin(grams, span - gram + 1)
+            least = sliding_argmin(grams >> np.uint64(PLACE), span - gram + 1)
             inside = np.zeros(len(least) + 1, dtype=np.int64)
             np.add.at(inside, self.offsets[:-1][good], 1)
             np.add.at(inside, self.offsets[1:][good] - span + 1, -1)
@@ -272,10 +273,10 @@ def intervals(docs: DataFrame, text: str, span: int = SPAN, gram: int = GRAM, he
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in text_batches(batches, text, most=ANCHORED):
+        for batch in text_batches(batches, text, most=HASHED):
             held.append(encoded(batch).hash)
             size += len(held[-1])
-            if size >= 500_000:
+            if size >= HELD:
                 yield anchor_blocks(held, bits)
                 held, size = [], 0
         if size:
@@ -303,10 +304,17 @@ def intervals(docs: DataFrame, text: str, span: int = SPAN, gram: int = GRAM, he
                 yield shard(own, pick[at : at + FLUSH_ROWS], ids, bits, span, gram)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in text_batches(batches, text, most=1 << 20):
             own = encoded(batch)
             for hashes, _, _ in window_hashes(own, np.flatnonzero(repeated_at(folder, bits, own.hash) > heavy), span, gram):
-                yield anchor_blocks([hashes], bits)
+                held.append(hashes)
+                size += len(hashes)
+                if size >= HELD:
+                    yield anchor_blocks(held, bits)
+                    held, size = [], 0
+        if size:
+            yield anchor_blocks(held, bits)
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, text, most=1 << 20):
