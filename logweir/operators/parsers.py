@@ -26,6 +26,9 @@ LEVEL_KEYS = ("level", "severity", "lvl", "loglevel", "log.level", "levelname")
 MESSAGE_KEYS = ("msg", "message", "event", "text", "body")
 SERVICE_KEYS = ("service", "logger", "name", "app", "component", "module", "source", "container")
 SERVICE_LENGTH, PAIRS = 128, 64
+#: The largest method that the JVM compiles; it interprets those above for as long as they run. Projections that don't fit into one method together
+#: are generated one by one, in small methods.
+METHOD_BYTES = 8000
 #: The patterns of the families.
 PAIR = r'[A-Za-z0-9_.@-]+=(?:"(?:[^"\\]|\\.)*"|\S*)'
 ACCESS_LINE = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "([A-Z]+) (\S+)[^"]*" (\d{3}) (\S+)'
@@ -36,8 +39,8 @@ CONTINUES = r"^(?:[\s ﻿]+|at\s+\S|Caused by:|\.\.\. \d+ (?:more|common frames
 
 
 def configure(spark: SparkSession) -> None:
-    """The session settings that parsing relies on: UTC, and the last of repeated keys."""
-    for key, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.mapKeyDedupPolicy", "LAST_WIN"), ("spark.sql.variant.allowDuplicateKeys", "true")):
+    """The session settings that parsing relies on: UTC, the last of repeated keys, and a bound on the methods of generated code."""
+    for key, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.mapKeyDedupPolicy", "LAST_WIN"), ("spark.sql.variant.allowDuplicateKeys", "true"), ("spark.sql.codegen.hugeMethodLimit", str(METHOD_BYTES))):
         spark.conf.set(key, value)
 
 
