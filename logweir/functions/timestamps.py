@@ -21,8 +21,12 @@ ISO = r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?(?:Z|[+-]\d{
 CLF = r"\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}(?: [+-]\d{4})?"
 SYSLOG = r"^[A-Za-z]{3} {1,2}\d{1,2} \d{2}:\d{2}:\d{2}"
 EPOCH = r"^\d{10}(?:\d{3}|\.\d{1,6})?\b"
-#: Any of these, in a text's head. Those with a month's name have one.
-ANY = "|".join((ISO, *(p.replace("[A-Za-z]{3}", "(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)") for p in (CLF, SYSLOG)), EPOCH))
+#: Those with a month's name, if it is one.
+NAMED_CLF, NAMED_SYSLOG = (p.replace("[A-Za-z]{3}", "(?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)") for p in (CLF, SYSLOG))
+#: The first text of CLF's form, if it names a month.
+FIRST_CLF = rf"\A(?:(?!{CLF})[\s\S])*+({NAMED_CLF})"
+#: Any of these, in a text's head.
+ANY = "|".join((ISO, NAMED_CLF, NAMED_SYSLOG, EPOCH))
 #: How a field's value may begin with a date, besides: in words with the day or the month first, month/day/year, and by numbers
 #: with the year first; each is followed by what writes it as year, month and day.
 DATES = (
@@ -85,17 +89,16 @@ def time_stages(now_ms: Column | None = None, year: int | None = None) -> list[S
     now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
     iso, clf, syslog, epoch = range(4)
 
-    def found(text: Column, pattern: str, *unless: Column) -> Column:
-        """What the pattern finds, unless one of the values is there."""
-        out = F.regexp_substr(text, F.lit(pattern))
-        for u in unless:
-            out = F.when(u.isNull(), out)
-        return out
+    def mark(v: Values) -> dict[str, Column]:
+        """What the first layout that fits finds; the others aren't looked for."""
+        head = F.substring(v("time_text"), 1, HEAD)
+        find = lambda pattern: F.regexp_substr(head, F.lit(pattern))
+        return {"mark": F.coalesce(find(ISO), F.nullif(F.regexp_extract(head, FIRST_CLF, 1), F.lit("")), find(NAMED_SYSLOG), find(EPOCH))}
 
     def layout(v: Values) -> dict[str, Column]:
-        chosen = F.when(v("iso").isNotNull(), F.lit(iso)).when(v("clf_month").isNotNull(), F.lit(clf)).when(v("syslog_month").isNotNull(), F.lit(syslog)).when(v("epoch").isNotNull(), F.lit(epoch))
-        mark = F.coalesce(v("iso"), F.when(v("clf_month").isNotNull(), v("clf")), F.when(v("syslog_month").isNotNull(), v("syslog")), v("epoch"))
-        return {"layout": chosen, "mark": mark}
+        """Told by the mark: only a syslog time begins with a letter, only CLF has its third character no digit, only an epoch its fifth one a digit."""
+        at = lambda k: F.substring(v("mark"), k, 1)
+        return {"layout": F.when(at(1) > "9", F.lit(syslog)).when(at(3) == "/", F.lit(clf)).when(at(5).isin("-", "/"), F.lit(iso)).when(v("mark").isNotNull(), F.lit(epoch))}
 
     def of_layout(v: Values, *values: Column) -> Column:
         """One value for each of the layouts ISO, CLF and syslog."""
@@ -110,9 +113,9 @@ def time_stages(now_ms: Column | None = None, year: int | None = None) -> list[S
         two = lambda at: F.substring(m, at, F.lit(2)).try_cast("bigint")
         return {
             "year": of_layout(v, part(m, 1, 4), part(m, 8, 4), F.lit(year).cast("bigint") if year is not None else F.year(F.timestamp_millis(now_ms)).cast("bigint")),
-            "month": of_layout(v, part(m, 6, 2), v("clf_month"), v("syslog_month")),
+            "month": of_layout(v, part(m, 6, 2), month_of(F.substring(m, 4, 3)), month_of(F.substring(m, 1, 3))),
             "day": of_layout(v, part(m, 9, 2), part(m, 1, 2), F.regexp_extract(m, r" (\d{1,2}) ", 1).try_cast("bigint")),
-            "hour": two(clock), "minute": two(clock + 3), "second": two(clock + 6), "rest": of_layout(v, F.substring(m, 20, 64), F.substring(m, 22, 5)), "stop": F.instr(v("head"), m) + size - 1,
+            "hour": two(clock), "minute": two(clock + 3), "second": two(clock + 6), "rest": of_layout(v, F.substring(m, 20, 64), F.substring(m, 22, 5)), "stop": F.instr(v("time_text"), m) + size - 1,
         }
 
     def small(v: Values) -> dict[str, Column]:
@@ -133,14 +136,7 @@ def time_stages(now_ms: Column | None = None, year: int | None = None) -> list[S
         return {"ts": at.cast("bigint")}
 
     return [
-        lambda v: {"head": F.substring(v("time_text"), 1, HEAD)},
-        lambda v: {"iso": found(v("head"), ISO)},
-        lambda v: {"clf": found(v("head"), CLF, v("iso"))},
-        lambda v: {"clf_month": month_of(F.substring(v("clf"), 4, 3))},
-        lambda v: {"syslog": found(v("head"), SYSLOG, v("iso"), v("clf_month"))},
-        lambda v: {"syslog_month": month_of(F.substring(v("syslog"), 1, 3))},
-        lambda v: {"epoch": found(v("head"), EPOCH, v("iso"), v("clf_month"), v("syslog_month"))},
-        layout, fields, small, lambda v: {"civil": civil(v)}, chosen,
+        mark, layout, fields, small, lambda v: {"civil": civil(v)}, chosen,
     ]
 
 

@@ -179,17 +179,17 @@ def line_stages(context: int, now_ms: int | None = None, year: int | None = None
         """made() of the first value at hand, or else of the first other for which it isn't null."""
         return F.when(first.isNotNull(), F.coalesce(made(first), first_of(F.expr(f"array({', '.join(json_values(keys))})"), made)))
 
-    def keyed(keys: tuple[str, ...], made: Callable[[Column], Column]) -> Column:
-        fields = F.when(value("family") == LOGFMT, value("fields"))
-        return F.when(fields.isNotNull(), first_of(F.lit(list(keys)), lambda k: made(F.try_element_at(fields, k))))
+    def keyed(first: Column, keys: tuple[str, ...], made: Callable[[Column], Column]) -> Column:
+        """The same for a line of keys and values."""
+        return F.when(first.isNotNull(), F.coalesce(made(first), first_of(F.lit(list(keys)), lambda k: made(F.try_element_at(value("fields"), k)))))
 
     def picks(v: Values) -> dict[str, Column]:
         text = lambda t: F.nullif(t, F.lit(""))
         roles = {"level": (LEVEL_KEYS, json_level, lambda t: known_level(level_from_text(t))), "service": (SERVICE_KEYS, lambda x: service_name(variant_text(x)), service_name), "message": (MESSAGE_KEYS, lambda x: text(variant_text(x)), text)}
-        out = {"json_time": maybe(JSON, lambda: pick(v("json_time"), TIME_KEYS, lambda x: F.when(is_json_time(x), x)), "variant"), "key_time": maybe(LOGFMT, lambda: keyed(TIME_KEYS, lambda t: F.when(is_field_time(t), t)))}
+        out = {"json_time": maybe(JSON, lambda: pick(v("json_time"), TIME_KEYS, lambda x: F.when(is_json_time(x), x)), "variant"), "key_time": maybe(LOGFMT, lambda: keyed(v("first_time"), TIME_KEYS, lambda t: F.when(is_field_time(t), t)))}
         for role, (keys, of_json, of_text) in roles.items():
             kind = "int" if role == "level" else "string"
-            out[role] = F.coalesce(maybe(JSON, lambda: pick(v(f"json_{role}"), keys, of_json), kind), maybe(LOGFMT, lambda: keyed(keys, of_text), kind))  # noqa: B023
+            out[role] = F.coalesce(maybe(JSON, lambda: pick(v(f"json_{role}"), keys, of_json), kind), maybe(LOGFMT, lambda: keyed(v(f"first_{role}"), keys, of_text), kind))  # noqa: B023
         return out
 
     def spans(v: Values) -> dict[str, Column]:
@@ -232,6 +232,10 @@ def line_stages(context: int, now_ms: int | None = None, year: int | None = None
     def first_values(role: str, keys: tuple[str, ...]) -> Stage:
         return lambda v: {f"json_{role}": F.expr(f"coalesce({', '.join(json_values(keys))})")}
 
+    def first_keyed(v: Values) -> dict[str, Column]:
+        keys = {"time": TIME_KEYS, "level": LEVEL_KEYS, "service": SERVICE_KEYS, "message": MESSAGE_KEYS}
+        return {f"first_{role}": F.when(v("family") == LOGFMT, F.coalesce(*[F.try_element_at(v("fields"), F.lit(k)) for k in of])) for role, of in keys.items()}
+
     structured = [
         lambda v: {"wrapped": wrapped_json(v("line"))}, lambda v: {"body": only_element(v("line"), v("wrapped"))}, first_values("time", TIME_KEYS), first_values("level", LEVEL_KEYS),
         first_values("service", SERVICE_KEYS), first_values("message", MESSAGE_KEYS),
@@ -242,7 +246,7 @@ def line_stages(context: int, now_ms: int | None = None, year: int | None = None
     ]
     before, after = [
         *(structured if JSON in families else [lambda v: {"body": none("variant")}]), family, *(paired if LOGFMT in families else [lambda v: {"fields": none("map<string,string>")}]),
-        loose, picks, spans, time_text,
+        loose, *([first_keyed] if LOGFMT in families else []), picks, spans, time_text,
     ], [field_time, token, level, rest]
     return [*named(before), *kept_time_stages(context, now_ms, year), *named(after)]
 

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from logweir.operators import delimited
-from logweir.operators.parsers import METHOD_BYTES, configure
+from logweir.operators.parsers import METHOD_BYTES, configure, with_line_record
 
 
 def test_records_of_many_quotes_take_one_pass(spark):
@@ -26,3 +26,11 @@ def test_generated_methods_are_compiled(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     configure(spark)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == METHOD_BYTES == 8000
+
+
+def test_a_line_takes_few_projections(spark):
+    """Each copies the row; a time's layouts had one for each."""
+    configure(spark)
+    df = spark.range(1).select(F.concat(F.lit("at "), F.col("id").cast("string")).alias("line"))
+    plan = with_line_record(df, F.col("line"), 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project [") <= 24
